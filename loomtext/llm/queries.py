@@ -6,25 +6,83 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.llm.ann import nearest_neighbours
+from loomtext.llm.license_scan import license_scan
+from loomtext.llm.media import media_features
+from loomtext.llm.mixing import mix
+from loomtext.llm.packing import pack_documents
+from loomtext.llm.simhash import near_duplicates
 from loomtext.llm.substring_dedup import substring_dedup
 from loomtext.llm.suffix_dedup import suffix_dedup
+from loomtext.llm.tokens import token_counts
+from loomtext.llm.toxicity import learn, score_toxicity
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_documents(spark, sf_dir), window=20, with_text=False)
+    return substring_dedup(_table(spark, sf_dir, "documents"), window=20, with_text=False)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(_table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), window=1024, closing=0)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_documents(spark, sf_dir), window=100, with_text=False)
+    return suffix_dedup(_table(spark, sf_dir, "documents"), window=100, with_text=False)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), limit=1024)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op8_suffix_dedup": op8_suffix_dedup,
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_media, op4_nearest, op5_mixing, op6_toxicity, op7_packing, op8_suffix_dedup, op9_license_scan, op10_token_counts, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
+#: Every whole-text window of 20 words, grouped; XXH64, tokenizers, draws and fitted models have no SQL form.
+OP1_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}

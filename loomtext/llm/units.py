@@ -87,11 +87,15 @@ def byte_units(raw: np.ndarray, seed: int = 7) -> np.ndarray:
 def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of bytes outside 0x20 and 0x09-0x0D within a document, and
     the len(bounds) bounds of each document's words."""
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    return runs_of(~((raw == 32) | ((raw >= 9) & (raw <= 13))), bounds)
+
+
+def runs_of(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of marked bytes within a document, and each document's bounds in these."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    edges = bounds[(bounds > 0) & (bounds < len(raw))]
+    edges = bounds[(bounds > 0) & (bounds < len(inside))]
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
