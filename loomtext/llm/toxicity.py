@@ -24,20 +24,23 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.runtime import cut
+from loomtext.llm.units import Spans, batch_bytes, mix, word_units, words
 
 #: Labelled rows, at most, from which words and stems are learnt; a larger table is sampled by hash.
-MAX_LABELLED = 200_000
+MAX_LABELLED = 40_000
 #: Words and stems kept, at most, strongest first.
-MAX_ENTRIES = 4_000
+MAX_ENTRIES = 2_000
 STEMS = (4, 5, 6, 7)
-#: What must speak for a word or stem: toxic documents, their share of all toxic ones, and hits in them. A document's hits
-#: are a word's occurrences or the different words that begin with a stem, MOST_HITS at most.
-LEAST_DOCS, LEAST_SHARE, LEAST_HITS, MOST_HITS = 2, 0.003, 7, 5
+#: A document's hits of an entry: a word's occurrences, or the different words that begin with a stem, MOST_HITS at most. An
+#: entry is learnt if at least LEAST_DOCS toxic documents have it and its hits are so one-sided that chance would hardly
+#: do it among all the words and stems there are: about ENTRIES_A_DOC for each labelled document.
+LEAST_DOCS, MOST_HITS, ENTRIES_A_DOC, MARGIN = 3, 4, 50, 3.0
 LEAST_LOG_ODDS = 3.0
 
 # closed classes: fixed words
@@ -126,24 +129,53 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Grammar:
-    """Words and stems that mark toxic rows, by smoothed log odds over documents, then bias and slope."""
-    marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("__doc"), F.col("toxic").cast("int").alias("__toxic"))
+    """Words and stems that mark toxic rows, by smoothed log odds of their hits, then bias and slope.
+
+    Only rows that are not held out are read, at most about ``max_labelled`` of them, sampled by hash. Of copies and
+    near-copies, which min-hashes tell, one is used: the words of a text copied many times would all seem to mark
+    its label. The rows' ids, a bounded number, are broadcast, so no text is shuffled."""
+    marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("__doc"), F.col("toxic").cast("int").alias("__toxic")).dropDuplicates(["__doc"])
     total = marked.count()
-    if total > max_labelled:  # a bounded sample, by hash
+    if total > max_labelled:
         marked = marked.where(F.pmod(F.xxhash64("__doc", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
-    rows = cut(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(marked, F.col("doc_id") == F.col("__doc")).select("text", "__toxic"))
-    n_toxic, n_clean = (rows.where(F.col("__toxic") == k).count() for k in (1, 0))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, a long, b long, c long")
+    one = sketched
+    for key in "abc":
+        one = one.groupBy(key).agg(F.min(F.struct("__doc", "__toxic", *[k for k in "abc" if k != key])).alias("s")).select(key, "s.*")
+    one = cut(one.select("__doc", "__toxic"))
+    rows = texts.join(F.broadcast(one), F.col("doc_id") == F.col("__doc")).select("text", "__toxic")
+    n_toxic, n_clean = (one.where(F.col("__toxic") == k).count() for k in (1, 0))
     weights: dict[str, float] = {}
     if n_toxic and n_clean:
-        counted = rows.mapInArrow(_entries, "entry string, toxic long, clean long, hits long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("hits").alias("hits"))
-        odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-        strong = counted.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)) & (F.col("hits") >= LEAST_HITS)).withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS)
+        counted = rows.mapInArrow(_entries, "entry string, toxic long, hits long, others long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "hits", "others")])
+        odds = F.log((F.col("hits") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("others") + 0.5) / (n_clean + 1.0))
+        share = n_toxic / (n_toxic + n_clean)
+        n = F.col("hits") + F.col("others")
+        sided = F.col("hits") * F.log(F.col("hits") / (n * share)) + F.when(F.col("others") > 0, F.col("others") * F.log(F.col("others") / (n * (1 - share)))).otherwise(0.0)
+        strong = counted.where((F.col("toxic") >= LEAST_DOCS) & (sided >= math.log(ENTRIES_A_DOC * (n_toxic + n_clean)) + MARGIN)).withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS)
         best = strong.orderBy(F.col("w").desc(), F.length("entry"), "entry").limit(MAX_ENTRIES).collect()
         weights = {r["entry"]: float(r["w"]) for r in best}
-    bias, slope = _fit([tuple(r) for r in rows.mapInArrow(_tallies(weights), "score double, toxic long").groupBy(F.round("score", 1).alias("score"), "toxic").count().collect()] if weights else [])
+    tallies = rows.mapInArrow(_tallies(weights), "score double, toxic long").groupBy(F.round("score", 1).alias("score"), "toxic").count().collect() if weights else []
+    bias, slope = _fit([tuple(r) for r in tallies])
     return Grammar(weights, bias, slope)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three min-hashes of each text's runs of three words."""
+    for batch in batches:
+        raw, bounds = batch_bytes(batch.column(2))
+        starts, ends, of_docs = words(raw, bounds)
+        found = np.zeros((3, len(batch)), np.uint64)
+        if len(starts) > 2:
+            grams = Spans(word_units(raw, starts, ends)).rolling(3)
+            for i in range(len(batch)):
+                own = grams[of_docs[i] : max(of_docs[i + 1] - 2, of_docs[i])]
+                if len(own):
+                    found[:, i] = [mix(own ^ np.uint64(k)).min() for k in (1, 2, 3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f.view(np.int64)) for f in found]], names=["__doc", "__toxic", "a", "b", "c"])
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words and stems of each labelled document, counted within the task."""
     counts: dict[str, list[int]] = {}
@@ -153,8 +185,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.update(w[:k] + "*" for w in list(own) for k in STEMS if len(w) > k)
             for entry, n in own.items():
                 tally = counts.setdefault(entry, [0, 0, 0])
-                tally[toxic] += 1
-                tally[2] += toxic * min(n, MOST_HITS)
+                tally[0] += toxic
+                tally[2 - toxic] += min(n, MOST_HITS)
         if len(counts) > 1 << 20:
             yield _counted(counts)
             counts = {}
@@ -162,7 +194,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[2] for c in counts.values()], pa.int64())], names=["entry", "toxic", "clean", "hits"])
+    tallies = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *tallies], names=["entry", "toxic", "hits", "others"])
 
 
 def _tallies(weights: dict[str, float]) -> Callable:
