@@ -26,7 +26,7 @@ from loomtext.llm.runtime import KEY, cut, keyed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SHARDS = 4096
-DOCS_A_SHARD = 20_000
+DOCS_A_SHARD = 2_000
 #: Sources up to which their table is broadcast.
 FEW_SOURCES = 100_000
 
