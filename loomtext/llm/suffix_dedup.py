@@ -173,16 +173,28 @@ def _kept(window: int, with_text: bool) -> Callable:
     return rows
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the remaining bytes; what a
-    cut leaves of a character goes) and the columns named in ``carry``."""
-    source, same = keyed(docs.select("doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")]))
-    texts = source.select(KEY, "text")
+def _deduped(texts: DataFrame, window: int, gram: int, crowd: int, with_text: bool) -> DataFrame:
     packed = texts.mapInArrow(zipped, PACKED_ROW)
     runs = first_runs(texts, _units, window, gram)
     phrases = runs.where("open").join(packed, KEY).select(KEY, "packed", "runs").mapInArrow(_dictionary(window, crowd), f"deal long, {KEY} long, at long, content binary")
     firsts = phrases.repartition("deal").sortWithinPartitions("deal").mapInArrow(_first_windows(window), f"{KEY} long, at long")
     more = firsts.repartition(KEY).groupBy(KEY).agg(F.collect_list("at").alias("more"))
     joined = packed.join(runs, KEY, "left").join(more, KEY, "left")
-    out = joined.mapInArrow(_kept(window, with_text), f"{KEY} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
-    return unkeyed(out, source, same, *[c for c in carry if c not in ("doc_id", "text")])
+    return joined.mapInArrow(_kept(window, with_text), f"{KEY} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+
+
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the remaining bytes; what a cut leaves of a
+    character goes)."""
+    source, same = keyed(docs.select("doc_id", "text"))
+    return unkeyed(_deduped(source.select(KEY, "text"), window, gram, crowd, with_text), source, same)
+
+
+def deduped_documents(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """The documents with what remains of their texts, n_chars to match, all other columns as they are; a document of
+    which nothing is left goes, one that was empty stays."""
+    source, _ = keyed(docs)
+    found = _deduped(source.select(KEY, "text"), window, gram, crowd, True).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0)).select(KEY, F.col("kept").alias("__kept"))
+    own = {"text": F.col("__kept").alias("text"), "n_chars": F.length("__kept").cast("long").alias("n_chars")}
+    others = [c for c in docs.columns if c not in own]
+    return source.select(KEY, *others).join(found, KEY).select(*[own.get(c, F.col(c)) for c in docs.columns])
