@@ -221,3 +221,44 @@ def banned_renormalised(probabilities: DataFrame, banned: DataFrame, eos: int, b
 
 def finite_or_zero(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+
+
+def kl_regularised_loss(teacher: Column, student: Column, reward: Column, coefficient: float = 0.1) -> Column:
+    """Mean over entries of the clipped loss plus the weighted divergence of a row."""
+    losses = ppo_array_loss(teacher, student, reward)
+    return F.aggregate(losses, F.lit(0.0), lambda a, x: a + x) / F.size(losses) + coefficient * kl_divergence(teacher, student)
+
+
+def entropy_regularised_loss(teacher: Column, student: Column, reward: Column, coefficient: float = 0.01) -> Column:
+    losses = ppo_array_loss(teacher, student, reward)
+    return F.aggregate(losses, F.lit(0.0), lambda a, x: a + x) / F.size(losses) - coefficient * entropy(student)
+
+
+def with_length_bonus(reward: Column, length: Column, weight: float, bound: float = 1.0) -> Column:
+    """A reward with a share of the response's length added, clipped."""
+    return clip(reward + weight * length, -bound, bound)
+
+
+def mean_squared_error(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.avg(F.pow(F.col("label") - F.col("predicted"), 2)).alias("mse"))
+
+
+def cross_entropy(rows: DataFrame, *by: str) -> DataFrame:
+    """(logits array, label from 0) -> mean negative log probability and accuracy of the largest entry."""
+    guess = F.array_position("logits", F.array_max("logits")) - 1
+    return rows.groupBy(*by).agg((-F.avg(label_logprob(F.col("logits"), F.col("label")))).alias("cross_entropy"), F.avg((guess == F.col("label")).cast("double")).alias("accuracy"))
+
+
+def weighted_epoch_mean(steps: DataFrame, loss: str, weight: str, *by: str) -> DataFrame:
+    """Mean of step losses by their weights, tokens or pairs."""
+    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col(loss) * F.col(weight)), F.sum(weight).cast("double")).alias(f"mean_{loss}"))
+
+
+#: Metrics by name, each an expression over a row's logits.
+METRICS = {"kl": kl_divergence, "entropy": lambda teacher, student: entropy(student)}
+
+
+def metric(name: str, teacher: Column, student: Column) -> Column:
+    if name not in METRICS:
+        raise ValueError(f"metrics are {', '.join(METRICS)}")
+    return METRICS[name](teacher, student)

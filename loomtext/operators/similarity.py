@@ -58,3 +58,10 @@ def adjacent_similarity(sums: DataFrame, counts: DataFrame, doc: str, seg: str,
     value = cosine(F.col("sums"), F.col("o")) if kind == "cosine" else divergence_index(F.coalesce("sums", F.array()), F.col("n"), F.coalesce("o", F.array()), F.col("m"), dims)
     means = paired.groupBy(doc).agg(F.avg(value).alias("similarity"))
     return counts.select(doc).join(means, doc, "left").select(doc, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def text_similarity(targets: DataFrame, sources: DataFrame, key: str, kind: str = "cosine", dims: int = 300) -> DataFrame:
+    """(key, similarity) of whole texts to their sources, both as (key, sums, n); null where there is none."""
+    both = targets.select(key, F.col("sums").alias("a"), F.col("n").alias("m")).join(sources.select(key, F.col("sums").alias("b"), F.col("n").alias("k")), key)
+    value = cosine(F.col("a"), F.col("b")) if kind == "cosine" else divergence_index(F.col("a"), F.col("m"), F.col("b"), F.col("k"), dims)
+    return both.select(key, value.alias("similarity"))

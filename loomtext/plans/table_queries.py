@@ -14,6 +14,7 @@ from loomtext.operators import prefs as P
 from loomtext.operators import select as S
 from loomtext.operators import signal as G
 from loomtext.operators.similarity import cosine
+from loomtext.plans import pipelines as R
 from loomtext.plans.registry import query, rounded
 
 
@@ -344,3 +345,46 @@ def longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hash_sample(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 100)
+
+
+# --- composed ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS turns, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id")
+def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "turn", "role").alias("x"))
+    return R.collate(rows, "conv_id", "turn").select("conv_id", F.array_join("x", ",").alias("turns"), F.size("x").cast("long").alias("n"))
+
+
+@query("SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS mean_value FROM events GROUP BY event_type")
+def weighted_epoch_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.weighted_epoch_mean(_read(spark, sf_dir, "events"), "value", "user_id", "event_type"))
+
+
+@query("SELECT event_type, round(avg((value / 100 - user_id / 1000.0::DOUBLE) ** 2), 6) AS mse FROM events GROUP BY event_type")
+def squared_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("label"), (F.col("user_id") / 1000.0).alias("predicted"))
+    return rounded(G.mean_squared_error(rows, "event_type"))
+
+
+@query(f"SELECT label, round(-avg(embedding[label + 1] - ln({EXP.format(x='embedding')})), 4) AS cross_entropy, round(avg((list_position(embedding, list_max(embedding)) - 1 = label)::INT), 4) AS accuracy FROM embeddings GROUP BY label")
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.cross_entropy(_read(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("logits"), "label"), "label"), 4)
+
+
+@query("SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) - 10 FROM events) OR event_id % 100 = 0")
+def last_and_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.last_and_periodic(_read(spark, sf_dir, "events").select("event_id"), "event_id", 10, 100)
+
+
+@query(None)
+def child_teacher_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite scores of assistant turns and of the turns after them, and their difference."""
+    pairs = _pairs(spark, sf_dir).select(F.xxhash64("conv_id", "turn").alias("id"), F.col("rejected").alias("child"), F.col("chosen").alias("teacher"))
+    return R.compute_rewards(pairs)
+
+
+@query(None)
+def annotated_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = _read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct().select("word", F.length("word").cast("double").alias("value"), F.lit(1).alias("line"))
+    return R.annotate_dialogues(_utterances(spark, sf_dir), "conv_id", "k", lexicon)

@@ -402,7 +402,19 @@ def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.contexts(targets, sentences, limit=1_000_000_000).groupBy("word").agg(F.count("*").alias("n"))
 
 
-FLAGSHIP = "all_families"
+SOURCE_SQL = with_tokens(f"""SELECT p.doc_id, round({COSINE}, 4) AS similarity FROM (SELECT x.doc_id, x.a AS a, y.a AS b FROM of_ AS x JOIN of_ AS y ON y.doc_id = x.doc_id + 1) AS p""").replace(
+    "\nSELECT p.doc_id",
+    f""", {VEC_SQL}, of_ AS (SELECT doc_id, [{', '.join(f'sum(v[{i}]::DOUBLE)' for i in range(1, 65))}] AS a FROM toks JOIN vec ON vec.word = toks.lemma GROUP BY doc_id)
+SELECT p.doc_id""",
+)
+
+
+@query(SOURCE_SQL)
+def source_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the next one as its source."""
+    words = annotated(spark, sf_dir).select("doc_id", F.explode(F.expr("transform(tokens, t -> t.lemma)")).alias("word"))
+    sums = V.segment_sums(words, _vectors(spark, sf_dir, words), ["doc_id"])
+    return V.text_similarity(sums, sums.withColumn("doc_id", F.col("doc_id") - 1), "doc_id").select("doc_id", F.round("similarity", 4).alias("similarity"))
 
 
 @query(None)
