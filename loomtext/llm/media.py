@@ -1,7 +1,7 @@
 """Media columns: payloads in archive directories, read back by a data source that plans byte ranges.
 
 A writer stores each payload losslessly as an 8-bit RGB PNG image, 64 pixels or 192 bytes a line, as a member of
-a ZIP archive; tasks write archives of a bounded size into a folder that the cluster shares. The data source
+a ZIP archive, named by a number, the text's bytes and the doc_id; tasks write archives of a bounded size into a folder that the cluster shares. The data source
 lists the archives, cuts them into byte ranges and gives each range to a task, which reads the archive's central
 directory, takes the members that start in its range, reads each at its own offset, checks it, and retries
 it alone if a read fails. Images go to Spark as Arrow batches of a bounded size.
@@ -38,7 +38,7 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
 ATTEMPTS = 4
-FIELDS = "archive string, member string, doc_id long, media binary"
+FIELDS = "archive string, member string, doc_id long, n_bytes long, media binary"
 
 
 def png_of(payload: bytes, level: int = 6) -> bytes:
@@ -89,7 +89,7 @@ class _Archives:
         self.name = ""
         self.n = 0
 
-    def add(self, doc_id: int | None, data: bytes) -> str:
+    def add(self, doc_id: int | None, n_bytes: int, data: bytes) -> str:
         if self.zip is not None and self.out.tell() > ARCHIVE_BYTES:
             self.close()
         if self.zip is None:
@@ -97,7 +97,7 @@ class _Archives:
             self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
             self.zip = zipfile.ZipFile(_Sequential(self.out), "w", zipfile.ZIP_STORED)
         # zipfile marks members of an unseekable stream with sizes after the data; the central directory has them
-        self.zip.writestr(zipfile.ZipInfo(f"{self.n}_{'' if doc_id is None else doc_id}.png"), data)
+        self.zip.writestr(zipfile.ZipInfo(f"{self.n}_{n_bytes}_{'' if doc_id is None else doc_id}.png"), data)
         self.n += 1
         return self.name
 
@@ -136,7 +136,7 @@ def _writer(folder: str) -> Callable:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 size = max(1, -(-len(raw) // LINE)) * LINE
-                name = archives.add(doc_id, struct.pack("<q", len(raw)) + png_of(raw.ljust(size)))
+                name = archives.add(doc_id, len(raw), png_of(raw.ljust(size)))
                 names[name] = names.get(name, 0) + 1
         archives.close()
         yield pa.RecordBatch.from_arrays([pa.array(names.keys(), pa.string()), pa.array(names.values(), pa.int64())], names=["archive", "members"])
@@ -191,19 +191,19 @@ class MediaReader(DataSourceReader):
         fs, folder = _filesystem(self.folder)
         path = f"{folder}/{partition.archive}"
         members = self._again(lambda: self._members(fs, path))
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[] for _ in range(5)]
         size = 0
         for info in members:
             if not partition.start <= info.header_offset < partition.end:
                 continue
             data = self._again(lambda info=info: self._member(fs, path, info))
-            doc = info.filename.rpartition("_")[2].removesuffix(".png")
-            for column, value in zip(columns, (partition.archive, info.filename, int(doc) if doc else None, data), strict=True):
+            _, n_bytes, doc = info.filename.removesuffix(".png").split("_")
+            for column, value in zip(columns, (partition.archive, info.filename, int(doc) if doc else None, int(n_bytes), data), strict=True):
                 column.append(value)
             size += len(data)
             if size >= BATCH_BYTES:
                 yield _batch(columns)
-                columns, size = [[], [], [], []], 0
+                columns, size = [[] for _ in range(5)], 0
         if columns[0]:
             yield _batch(columns)
 
@@ -237,11 +237,12 @@ class MediaReader(DataSourceReader):
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["archive", "member", "doc_id", "media"])
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "member", "doc_id", "n_bytes", "media"])
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: str | None = None) -> DataFrame:
-    """archive, member, doc_id, media for each member of the archives that the manifest names."""
+    """archive, member, doc_id, n_bytes, media for each member of the archives that the manifest names."""
     spark.dataSource.register(MediaSource)
     reader = spark.read.format("media_archives").option("folder", f"{folder}/archives")
     if manifest:
@@ -262,9 +263,8 @@ def feature_of(samples: np.ndarray) -> str:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: list[list] = [[] for _ in range(8)]
-        for doc_id, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            stored = stored.as_py()
-            (n_bytes,), media = struct.unpack_from("<q", stored), stored[8:]
+        for doc_id, n_bytes, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            media = stored.as_py()
             payload = payload_of(media)
             values = (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(np.frombuffer(payload, np.uint8)))
             for column, value in zip(columns, values, strict=True):
@@ -282,4 +282,4 @@ def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or fresh_dir(spark, "media")
     manifest = write_archives(docs, folder)
     members = read_archives(spark, folder, manifest)
-    return members.select("doc_id", "media").mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return members.select("doc_id", "n_bytes", "media").mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
