@@ -85,4 +85,17 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGIN
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+#: Every window of 100 bytes; runs of later windows, and the gaps between them.
+OP8_SQL = r"""
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, md5(array_slice(t, i + 1, i + 100)) AS s FROM (SELECT doc_id, t, unnest(range(0, length(h) // 2 - 99)) AS i FROM texts)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+apart AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM later),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM apart) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT t.doc_id, coalesce(max(b), 0), any_value(length(h) // 2) FROM texts AS t LEFT JOIN runs AS r ON r.doc_id = t.doc_id GROUP BY t.doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gaps AS g JOIN texts USING (doc_id) GROUP BY g.doc_id)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, ((length(h) - length(k)) // 2)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM texts AS t JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id) AS c ON c.doc_id = t.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op8_suffix_dedup": OP8_SQL}
