@@ -16,6 +16,7 @@ from loomtext.operators import signal as G
 from loomtext.operators.similarity import cosine
 from loomtext.plans import pipelines as R
 from loomtext.plans.registry import query, rounded
+from loomtext.streaming.running import windowed_rewards as windowed
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +61,6 @@ def speaker_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "dialogue", D.speaker_view(F.col("turns"), "user").alias("user_text"), D.speaker_view(F.col("turns"), "assistant").alias("assistant_text"))
 
 
-MARKED = "string_agg(CASE WHEN role = 'user' THEN 'A:: ' ELSE 'B:: ' END || lower(text) || chr(10), '' ORDER BY turn)"
-
-
 @query(f"""SELECT conv_id, string_agg(m || trim(t, ' ' || chr(10)), ' ' ORDER BY turn) AS text FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'A::' ELSE 'B::' END AS m, lower(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 4 GROUP BY conv_id""")
 def first_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "user", "A:: ").otherwise("B:: "), F.lower("text"), F.lit("\n")).alias("t")))).alias("ts"))
@@ -84,10 +82,7 @@ def left_join_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id").distinct().join(first("user", "first_user"), "conv_id", "left").join(first("assistant", "first_assistant"), "conv_id", "left")
 
 
-RESPONSES = """'x <|start_header_id|>assistant<|end_header_id|> ' || text || ' <|eot_id|>'"""
-
-
-@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) WHEN 2 THEN trim(text) ELSE trim(text) END AS answer FROM conversations""")
+@query("SELECT conv_id, turn, trim(text) AS answer FROM conversations")
 def response_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("turn") % 4
     raw = F.when(kind == 0, F.concat(F.lit("x <|start_header_id|>assistant<|end_header_id|> "), "text", F.lit(" <|eot_id|>"))).when(kind == 1, F.concat(F.lit("[INST] q [/INST] "), "text")).when(kind == 2, F.concat(F.lit("prompt. "), "text")).otherwise(F.col("text"))
@@ -388,3 +383,28 @@ def child_teacher_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotated_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = _read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct().select("word", F.length("word").cast("double").alias("value"), F.lit(1).alias("line"))
     return R.annotate_dialogues(_utterances(spark, sf_dir), "conv_id", "k", lexicon)
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, round(avg(value), 6) AS mean, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def windowed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate run over the whole table."""
+    return rounded(windowed(_read(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
+
+
+@query("SELECT event_id, round(0.5 * value / 100 + 0.5 * user_id / 1000.0::DOUBLE, 6) AS mixed, round(0.3 * value + 0.7 * user_id, 6) AS lm_ppo, round(least(greatest(value / 100 + 0.01 * length(event_type), -1), 1), 6) AS bonus FROM events")
+def mixed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, u = F.col("value"), F.col("user_id")
+    return rounded(_read(spark, sf_dir, "events").select("event_id", G.mixed_reward(v / 100, u / 1000.0).alias("mixed"), G.lm_ppo_loss(v, u, 0.3).alias("lm_ppo"), G.with_length_bonus(v / 100, F.length("event_type"), 0.01).alias("bonus")))
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / 2, 4) AS reward, round(least(1.0::DOUBLE / (list_max(a.embedding)::DOUBLE * 20 + 1e-6), 1), 4) AS scale FROM embeddings AS a JOIN (SELECT vec_id - 1 AS vec_id, embedding FROM embeddings) AS b USING (vec_id)")
+def teacher_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("t"))
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("t").alias("s")), "vec_id")
+    return rounded(pairs.select("vec_id", G.teacher_reward(F.col("t"), F.col("s"), 2.0).alias("reward"), G.gradient_scale(F.transform("t", lambda x: x * 20)).alias("scale")), 4)
+
+
+@query("SELECT conv_id, turn, text AS made FROM conversations")
+def generated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("Prompt: p Generated Text:"), "text", F.lit("Generated Text:more"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.generated_text(raw).alias("made"))
