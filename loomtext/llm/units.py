@@ -128,14 +128,6 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + shift
 
 
-def paint(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """True at each of n places that lies within [start, start + size) of some start."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + size, n), -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 def pieces(bounds: np.ndarray, size: int, overlap: int):
     """Cuts a batch's units into stretches of about ``size`` units, so that passes stay in cache and
     one very long document needs no more memory than many short ones.
