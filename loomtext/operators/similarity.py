@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,13 +21,13 @@ def squares(a: Column) -> Column:
 
 
 def segment_sums(words: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sums array, n): the sum of the vectors of a segment's words, by an equi-join on the word; words without a
-    vector are left out. Sums are partial before the shuffle: a column a dimension."""
-    hits = words.join(vectors.select("word", F.col("vec").alias("v")), "word")
-    d = vectors.select(F.size("vec").alias("d")).first()
-    dims = d["d"] if d else 0
-    summed = hits.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(dims)])
-    return summed.select(*keys, "n", F.array(*[F.col(f"s{i}") for i in range(dims)]).alias("sums"))
+    """(keys, n, sums array): the sum of the vectors of a segment's words, by an equi-join on the word; words without a
+    vector are left out. A word's occurrences in a segment are counted before the join, sums are partial before the
+    shuffle."""
+    counted = words.groupBy(*keys, "word").agg(F.count("*").alias("k"))
+    hits = counted.join(vectors.select("word", array_to_vector("vec").alias("v")), "word")
+    summed = hits.groupBy(*keys).agg(F.sum("k").alias("n"), Summarizer.metrics("sum").summary(F.col("v"), F.col("k").cast("double")).alias("s"))
+    return summed.select(*keys, "n", vector_to_array("s.sum").alias("sums"))
 
 
 def divergence_index(s1: Column, n1: Column, s2: Column, n2: Column, dims: int = 300) -> Column:

@@ -353,8 +353,9 @@ def _vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
 
 
 def _similar(spark: SparkSession, sf_dir: str, width: int, kind: str) -> DataFrame:
-    docs = annotated(spark, sf_dir).where(F.size("tokens") > 0)
-    words = docs.select("doc_id", F.posexplode("sent").alias("seg", "s")).select("doc_id", "seg", F.explode(F.transform("s", lambda t: t["lemma"])).alias("word"))
+    lemmas = F.transform("sent", lambda s: F.transform(s, lambda t: t["lemma"]))
+    docs = annotated(spark, sf_dir).where(F.size("tokens") > 0).select("doc_id", lemmas.alias("sent")).persist()  # read three times
+    words = docs.select("doc_id", F.posexplode("sent").alias("seg", "s")).select("doc_id", "seg", F.explode("s").alias("word"))
     sums = V.segment_sums(words, _vectors(spark, sf_dir, words), ["doc_id", "seg"])
     found = V.adjacent_similarity(sums, docs.select("doc_id", F.size("sent").alias("n_segments")), "doc_id", "seg", width, kind, dims=64)
     return found.select("doc_id", F.round("similarity", 4).alias("similarity"))
