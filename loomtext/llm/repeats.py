@@ -73,11 +73,12 @@ def run_rows(units_of: Callable, length: int, gram: int) -> Callable:
 
 
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as Zstandard frames, for the one shuffle that carries them."""
+    """Texts as Zstandard frames, for the one shuffle that carries them; further columns go along."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else pack.compress(x) for x in texts.to_pylist()], pa.binary())], names=[KEY, "packed"])
+        frames = pa.array([None if x is None else pack.compress(x) for x in texts.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), frames, *batch.columns[2:]], names=[KEY, "packed", *batch.schema.names[2:]])
 
 
 def unzipped(column: pa.Array) -> list[bytes]:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from loomtext.llm.repeats import PACKED_ROW, SHIFT, STRETCH, alone_runs, compared_runs, first_of_each, first_runs, long_lists, removed_units, unzipped, zipped
 from loomtext.llm.runtime import KEY, keyed, unkeyed
@@ -154,7 +155,7 @@ def _first_windows(window: int) -> Callable:
     return rows
 
 
-def _kept(window: int, with_text: bool) -> Callable:
+def _kept(window: int, with_text: bool, carried: list[str]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, digest, left = [], [], [], [], []
@@ -168,19 +169,27 @@ def _kept(window: int, with_text: bool) -> Callable:
                 if with_text:
                     left.append(rest.decode("utf-8", "ignore"))
             out = [batch.column(KEY), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(left, pa.string())] * with_text, names=[KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
+            yield pa.RecordBatch.from_arrays(out + [pa.array(left, pa.string())] * with_text + [batch.column(c) for c in carried], names=[KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + carried)
 
     return rows
 
 
 def _deduped(texts: DataFrame, window: int, gram: int, crowd: int, with_text: bool) -> DataFrame:
-    packed = texts.mapInArrow(zipped, PACKED_ROW)
-    runs = first_runs(texts, _units, window, gram)
-    phrases = runs.where("open").join(packed, KEY).select(KEY, "packed", "runs").mapInArrow(_dictionary(window, crowd), f"deal long, {KEY} long, at long, content binary")
+    """(``__key``, text) and, it may be, one more column, which comes out again -> the results by key. Both uses of the texts
+    ask for all columns, so that one shuffle serves both."""
+    more_fields = texts.schema.fields[2:]
+    packed = texts.mapInArrow(zipped, StructType([*_parse(PACKED_ROW), *more_fields]))
+    runs = first_runs(texts.select(KEY, "text"), _units, window, gram)
+    phrases = runs.where("open").join(packed, KEY).select(KEY, "packed", "runs", *[f.name for f in more_fields]).mapInArrow(_dictionary(window, crowd), f"deal long, {KEY} long, at long, content binary")
     firsts = phrases.repartition("deal").sortWithinPartitions("deal").mapInArrow(_first_windows(window), f"{KEY} long, at long")
     more = firsts.repartition(KEY).groupBy(KEY).agg(F.collect_list("at").alias("more"))
     joined = packed.join(runs, KEY, "left").join(more, KEY, "left")
-    return joined.mapInArrow(_kept(window, with_text), f"{KEY} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    out = f"{KEY} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    return joined.mapInArrow(_kept(window, with_text, [f.name for f in more_fields]), StructType([*_parse(out), *more_fields]))
+
+
+def _parse(row: str) -> list[StructField]:
+    return StructType.fromDDL(row).fields
 
 
 def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
@@ -194,7 +203,8 @@ def deduped_documents(docs: DataFrame, window: int = 100, gram: int = GRAM, crow
     """The documents with what remains of their texts, n_chars to match, all other columns as they are; a document of
     which nothing is left goes, one that was empty stays."""
     source, _ = keyed(docs)
-    found = _deduped(source.select(KEY, "text"), window, gram, crowd, True).where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0)).select(KEY, F.col("kept").alias("__kept"))
-    own = {"text": F.col("__kept").alias("text"), "n_chars": F.length("__kept").cast("long").alias("n_chars")}
-    others = [c for c in docs.columns if c not in own]
-    return source.select(KEY, *others).join(found, KEY).select(*[own.get(c, F.col(c)) for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = _deduped(source.select(KEY, "text", F.struct(F.lit(0).alias("__"), *others).alias("__others")), window, gram, crowd, True)
+    left = found.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    own = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    return left.select(*[own[c] if c in own else F.col("__others")[c].alias(c) for c in docs.columns])
