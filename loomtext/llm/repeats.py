@@ -74,7 +74,7 @@ def run_rows(units_of: Callable, length: int, gram: int) -> Callable:
 
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as Zstandard frames, for the one shuffle that carries them; further columns go along."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         frames = pa.array([None if x is None else pack.compress(x) for x in texts.to_pylist()], pa.binary())
