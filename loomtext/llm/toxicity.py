@@ -42,6 +42,8 @@ STEMS = (4, 5, 6, 7)
 #: do it among all the words and stems there are: about ENTRIES_A_DOC for each labelled document.
 LEAST_DOCS, MOST_HITS, ENTRIES_A_DOC, MARGIN = 3, 4, 50, 3.0
 LEAST_LOG_ODDS = 3.0
+#: A stem is kept if it has this many times the hits of the best longer entry that begins with it.
+OWN_HITS = 1.3
 
 # closed classes: fixed words
 TARGETS = frozenset("you your yours yourself he him his she her they them their these those du dich dir euch ihr sie tu te toi vous vos ton usted ustedes tú ti su".split())
@@ -155,12 +157,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         sided = F.col("hits") * F.log(F.col("hits") / (n * share)) + F.when(F.col("others") > 0, F.col("others") * F.log(F.col("others") / (n * (1 - share)))).otherwise(0.0)
         strong = counted.where((F.col("toxic") >= LEAST_DOCS) & (sided >= math.log(ENTRIES_A_DOC * (n_toxic + n_clean)) + MARGIN)).withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS)
         best = strong.orderBy(F.col("w").desc(), F.length("entry"), "entry").limit(MAX_ENTRIES).collect()
-        weights = {r["entry"]: float(r["w"]) for r in best}
+        weights = _own_evidence([(r["entry"], float(r["w"]), int(r["hits"])) for r in best])
     tallies = rows.mapInArrow(_tallies(weights), "score double, toxic long").groupBy(F.round("score", 1).alias("score"), "toxic").count().collect() if weights else []
     bias, slope = _fit([tuple(r) for r in tallies])
     return Grammar(weights, bias, slope)
 
 
+def _own_evidence(entries: list[tuple[str, float, int]]) -> dict[str, float]:
+    """The entries without stems that one longer entry explains: what begins with them needs hits of its own."""
+    longer: dict[str, int] = {}
+    for entry, _, hits in entries:
+        core = entry.rstrip("*")
+        for k in STEMS:
+            if k < len(core):
+                longer[core[:k]] = max(longer.get(core[:k], 0), hits)
+    return {entry: w for entry, w, hits in entries if not entry.endswith("*") or hits >= OWN_HITS * longer.get(entry[:-1], 0)}
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three min-hashes of each text's runs of three words."""
     for batch in batches:
