@@ -5,7 +5,8 @@ to a leaf by a hash. At each node each source's quota is split between the two h
 without replacement would split it (hypergeometric in the words either half holds), so leaves get
 exact quotas that add up to the source's. In a leaf the source's documents stand in a random order
 that a hash gives, and the quota takes disjoint blocks from its start: whole documents, the last one
-in part. A quota above a source's size takes whole passes over the source first.
+in part. A quota above a source's size takes whole passes over the source first. The mix itself is
+shuffled locally: a shard's rows go to one task, which sorts them by a hash of each copy.
 
 Draws are seeded by (seed, source's rank, node), so reruns agree. The driver holds one row for each source and
 leaf, the number of leaves is bounded; documents never leave the executors.
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 from loomtext.llm.runtime import KEY, cut, keyed
 
 WORD = r"[^\x20\x09-\x0D]+"
+SEED = 2024
 MAX_SHARDS = 4096
 DOCS_A_SHARD = 2_000
 #: Sources up to which their table is broadcast.
@@ -76,7 +78,7 @@ def leaf_quotas(held: np.ndarray, quota: int, seed: tuple[int, ...]) -> np.ndarr
     return quotas
 
 
-def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 2024) -> tuple[DataFrame, DataFrame, bool]:
+def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> tuple[DataFrame, DataFrame, bool]:
     """((``__key``, size, source_size, target, taken, shard), keyed documents, whether the key is the doc_id)."""
     source, same = keyed(docs)
     sized = cut(source.select(KEY, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
@@ -120,13 +122,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document comes once for each pass that takes it
-    whole and once more, as its first words joined by a space, for a part; n_chars follows the text."""
+    whole and once more, as its first words joined by a space, for a part; n_chars follows the text. Rows
+    of an output shard stand together, shuffled by a hash of (seed, key, copy)."""
     mixed, source, _ = mix_sizes(docs, **options)
-    taken = mixed.where("taken > 0").select(KEY, F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("shard").alias("__shard"), F.col("place").alias("__place"))
-    copies = source.join(taken, KEY).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int"))))
+    taken = mixed.where("taken > 0").select(KEY, F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("shard").alias("__shard"))
+    dealt = source.join(taken, KEY).repartition("__shard")  # copies are made after the shuffle
+    copies = dealt.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int"))))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
     text = F.when(words < F.col("__size"), part).otherwise(F.col("text"))
-    out = copies.withColumn("__text", text)
+    order = F.xxhash64(F.lit(options.get("seed", SEED)), KEY, "__copy")
+    out = copies.withColumn("__text", text).sortWithinPartitions("__shard", order, KEY, "__copy")
     own = [F.col("__text").alias(c) if c == "text" else (F.length("__text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
     return out.select(*own)
