@@ -10,6 +10,10 @@ its window; the chance that no band meets is below (1 - 0.36) ** 32, below one i
 A met pair is verified: the share of the template's distinct shingles that stand in the window, exactly,
 must reach 0.8. The best window of each document and template is returned.
 
+Notices of different licenses or versions may differ in a word, so that one passage holds 0.8 of both: rivals.
+What tells a template from its rival are the shingles that only one of them has. A match is dropped if the
+window and its surroundings hold less than half of the template's own such shingles, and less than of the rival's.
+
 Defined results: a null or empty text matches nothing, so such a document gives no row; a null doc_id stays
 null; rows with one doc_id are matched each; an empty table gives an empty result; other columns are not read.
 """
@@ -52,8 +56,22 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
@@ -89,7 +107,7 @@ def hashed_words(raw: np.ndarray, bounds: np.ndarray) -> Words:
 class Templates:
     """Notices as sets of shingles, their classes by size and the bands that retrieve them."""
 
-    def __init__(self, notices: dict[str, tuple[str, ...]] = NOTICES):
+    def __init__(self, notices: dict[str, tuple[str, ...]] = NOTICES, similarity: float = SIMILARITY):
         self.names: list[str] = []
         self.sets: list[frozenset[tuple[bytes, ...]]] = []
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -102,6 +120,10 @@ class Templates:
                 self.names.append(name)
                 self.sets.append(frozenset(shingles_of(words_of(text.encode()))))
                 classes.setdefault(1 << (len(hashes) - 1).bit_length(), []).append((len(self.names) - 1, hashes))
+        self.rivals = [
+            [(own - other, other - own) for j, other in enumerate(self.sets) if self.names[j] != self.names[i] and len(own & other) >= similarity * len(own)]
+            for i, own in enumerate(self.sets)
+        ]
         self.sizes = [1 << k for k in range(max(classes).bit_length())]
         self.bands = {size: [self._table(members, salt) for salt in SALTS] for size, members in classes.items()}
 
@@ -148,14 +170,32 @@ class Templates:
         return found
 
 
-def matches(raw: np.ndarray, bounds: np.ndarray, templates: Templates, similarity: float = SIMILARITY) -> list[tuple[int, int, float, int]]:
-    """(document, template, containment, first word of the window): verified on the words themselves."""
+def outdone(rivals: list[tuple[frozenset, frozenset]], held: set[tuple[bytes, ...]]) -> bool:
+    """Whether the shingles held are those of a rival rather than the template's own."""
+
+    def share(own: frozenset) -> float:
+        return len(own & held) / len(own) if own else 0.0
+
+    return any(share(own) < 0.5 and share(own) < share(other) for own, other in rivals)
+
+
+def matches(raw: np.ndarray, bounds: np.ndarray, templates: Templates, similarity: float = SIMILARITY, before: bool = False, after: bool = False) -> list[tuple[int, int, float, int]]:
+    """(document, template, containment, first word of the window): verified on the words themselves. ``before``
+    and ``after``: the text goes on there, and windows whose surroundings are cut off are left to the next stretch."""
     best: dict[tuple[int, int], tuple[float, int]] = {}
     words = hashed_words(raw, bounds)
     for doc, t, start, end in templates.candidates(words):
         end = min(end + SHINGLE - 1, int(words.bounds[doc + 1]))
-        own = [raw[a:b].tobytes().lower() for a, b in zip(words.starts[start:end].tolist(), words.ends[start:end].tolist(), strict=True)]
+        low, high = int(words.bounds[doc]), int(words.bounds[doc + 1])
+        first, last = start - templates.sizes[-1], end + templates.sizes[-1]
+        if before and first < low or after and last > high:
+            continue
+        first, last = max(first, low), min(last, high)
+        near = [raw[a:b].tobytes().lower() for a, b in zip(words.starts[first:last].tolist(), words.ends[first:last].tolist(), strict=True)]
+        own = near[start - first : end - first]
         share = len(templates.sets[t].intersection(shingles_of(own))) / len(templates.sets[t])
+        if share >= similarity and templates.rivals[t] and outdone(templates.rivals[t], set(shingles_of(near))):
+            continue
         entry = (share, -(start - int(words.bounds[doc])))
         if share >= similarity and entry > best.get((doc, t), (0.0, 0)):
             best[doc, t] = entry
@@ -164,14 +204,14 @@ def matches(raw: np.ndarray, bounds: np.ndarray, templates: Templates, similarit
 
 def _scanned(notices: dict[str, tuple[str, ...]], similarity: float) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(notices)
-        overlap = 4 * templates.sizes[-1] * 64  # bytes; windows of a cut document are found on either side
+        templates = Templates(notices, similarity)
+        overlap = 8 * templates.sizes[-1] * 64  # bytes; windows of a cut document are found on either side
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw, bounds = batch_bytes(batch.column(1))
             best: dict[tuple[int, str], float] = {}
             for doc, start, end, inner in pieces(bounds, STRETCH, overlap):
-                for at, t, share, _ in matches(raw[start:end], inner, templates, similarity):
+                for at, t, share, _ in matches(raw[start:end], inner, templates, similarity, start > bounds[doc], len(inner) == 2 and end < bounds[doc + 1]):
                     key = (doc + at, templates.names[t])
                     best[key] = max(best.get(key, 0.0), share)
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([name for _, name in best], pa.string()), pa.array(list(best.values()), pa.float64())], names=["doc_id", "license", "containment"])
