@@ -10,7 +10,12 @@ overlap. Where a single space stands between two characters that are no white sp
 that splits text before merging always starts a piece at the space, whatever stands before or
 after. So two neighbouring chunks are spliced at such a space in their overlap, once the offsets of
 both encodings show a token border there; the overlap is widened until one is found, at most up
-to the rest of the document. Special strings never straddle a splice, as they hold no space.
+to the rest of the document. Special strings never straddle a splice, as they hold no white space (checked on
+loading).
+
+A long run of white space has proven borders too: a piece starts where it starts, since no alternative of the
+pattern goes from other characters into white space, and the pattern takes all of it but the last character (all of it at the
+end of a text) as one piece. Such pieces are merged without the pattern, whose matcher fails on runs of a million.
 """
 
 from __future__ import annotations
@@ -29,6 +34,11 @@ from loomtext.llm.runtime import KEY, unkeyed
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 STABLE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of white space as the pattern knows them; a run of LONG_RUN and more is a piece of its own. Texts shorter
+#: than SHORT hold no run that the pattern's matcher could fail on.
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN, SHORT = 1 << 10, 1 << 14
+RUN = re.compile(f"{SPACES}{{{LONG_RUN},}}")
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -44,6 +54,11 @@ class Encoder:
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
+        joined = [model["model"]["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["model"]["merges"]]
+        if any(b <= a for a, b in zip([-1, *joined], joined)):
+            raise ValueError(f"{path}: ids do not stand in the order of the merges")
+        if any(c.isspace() for s in special for c in s):
+            raise ValueError(f"{path}: a special string holds white space")
         self.core = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = special
         self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
@@ -53,30 +68,43 @@ class Encoder:
             self.sizes[i] = len(piece.encode())
 
     def plain(self, text: str) -> list[int]:
+        """The ids of a text that is encoded at once."""
+        if len(text) < SHORT:
+            return self._matched(text)
+        return [i for segment, blank in segments(text) for i in (self._blank(segment) if blank else self._matched(segment))]
+
+    def _matched(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.core.encode(text, allowed_special=set(self.special), disallowed_special=())
         return self.core.encode_ordinary(text)
 
+    def _blank(self, run: str) -> list[int]:
+        return self.core._encode_single_piece(run.encode())  # one piece of the pattern, whatever its length
+
     def parts(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[np.ndarray]:
-        """The ids of a text, in parts of a bounded size."""
+        """The ids of a text, in parts of a bounded size; a long run of white space is a part."""
         if len(text) <= chunk + overlap:
             yield np.array(self.plain(text), np.uint32)
             return
-        start = 0
-        while start < len(text):
-            ids, start = self._until_splice(text, start, chunk, overlap)
-            yield ids
+        for segment, blank in segments(text):
+            if blank:
+                yield np.array(self._blank(segment), np.uint32)
+                continue
+            start = 0
+            while start < len(segment):
+                ids, start = self._until_splice(segment, start, chunk, overlap)
+                yield ids
 
     def _until_splice(self, text: str, start: int, chunk: int, overlap: int) -> tuple[np.ndarray, int]:
         """The ids from ``start``, a start of a piece, to a splice; where the next part starts."""
         while True:
             end = min(start + chunk + overlap, len(text))
-            ids = np.array(self.plain(text[start:end]), np.uint32)
+            ids = np.array(self._matched(text[start:end]), np.uint32)
             if end == len(text):
                 return ids, end
             seam = start + chunk  # the next chunk's encoding starts here, in the middle of anything
             borders = np.cumsum(self.sizes[ids])
-            after = np.cumsum(self.sizes[np.array(self.plain(text[seam : end + overlap]), np.uint32)])
+            after = np.cumsum(self.sizes[np.array(self._matched(text[seam : end + overlap]), np.uint32)])
             for found in STABLE.finditer(text, seam + 1, end - 1):
                 at = found.start()
                 here, there = len(text[start:at].encode()), len(text[seam:at].encode())
@@ -86,6 +114,19 @@ class Encoder:
             overlap *= 2
 
 
+def segments(text: str) -> Iterator[tuple[str, bool]]:
+    """The text cut at proven borders around long runs of white space: (segment, whether it is such a run)."""
+    start = 0
+    for run in RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > start:
+            yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    if start < len(text):
+        yield text[start:], False
+
+
 def _byte_of() -> dict[str, int]:
     """The bytes that the vocabulary's characters stand for: printable Latin-1 characters for themselves, the rest
     for the characters from U+0100 on."""
