@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomtext.llm.units import Spans, _powers, batch_bytes, mix, pieces, ranges, runs_of, word_units
+from loomtext.llm.units import Spans, batch_bytes, mix, pieces, ranges, runs_of, salts, word_units
 
 SHINGLE = 5
 BANDS = 32
@@ -89,7 +89,7 @@ def shingles_of(words: list[bytes], size: int = SHINGLE) -> list[tuple[bytes, ..
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-SALTS = mix(_powers(BANDS + 1, 0xD1B54A32D192ED03)[1:])
+SALTS = salts(BANDS, 5)
 
 
 class Words(NamedTuple):

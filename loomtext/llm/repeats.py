@@ -6,7 +6,7 @@ forms pairs or collects a group in one task unless the group is small:
 1. Runs are grouped by (seed, content); the aggregate keeps the smallest document and combines map-side,
    so copies by the thousand shrink to one row a task. Any other occurrence is a copy as a whole.
 2. A first occurrence whose seed has one content only holds windows that occur nowhere earlier.
-3. The rest, runs at the rims of repeats, are compared window by window; the callers do this.
+3. The rest, runs at the rims of repeats, are extended from their anchors to both sides (``extend.py``).
 
 What a document keeps comes back as intervals of windows; every other window also starts earlier.
 """
@@ -27,6 +27,7 @@ from loomtext.llm.units import pieces
 
 #: An interval of windows in one long: start << SHIFT | count. Runs hold fewer than 1 << SHIFT windows.
 SHIFT = 8
+#: Units of a text that are hashed at once.
 STRETCH = 1 << 18
 #: Declared not null, or filters for nulls would tell equal shuffles apart.
 RUN_ROW = f"seed long not null, content long not null, {KEY} long not null, at long not null"
@@ -43,7 +44,7 @@ def first_of_each(*keys: np.ndarray) -> np.ndarray:
     return np.sort(order[new])  # lexsort is stable: the first of equal keys has the least index
 
 
-def run_rows(units_of: Callable, length: int, gram: int) -> Callable:
+def run_rows(units_of: Callable, length: int, gram: int, stretch: int) -> Callable:
     """mapInArrow function: (key, text) -> one row for each distinct run of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +52,7 @@ def run_rows(units_of: Callable, length: int, gram: int) -> Callable:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             units, bounds = units_of(batch.column(1))
             parts = []
-            for doc, start, end, inner in pieces(bounds, STRETCH, length - 1):
+            for doc, start, end, inner in pieces(bounds, stretch, length - 1):
                 runs, _ = seed_runs(units(start, end), inner, length, gram)
                 at = runs.doc + doc
                 parts.append((at, runs.start + start - bounds[at], runs.count, runs.seed, runs.content, runs.loops))
@@ -86,12 +87,12 @@ def unzipped(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else unpack.decompress(x) for x in column.to_pylist()]
 
 
-def first_runs(source: DataFrame, units_of: Callable, length: int, gram: int) -> DataFrame:
+def first_runs(source: DataFrame, units_of: Callable, length: int, gram: int, stretch: int = STRETCH) -> DataFrame:
     """For each document the first occurrences among its runs: ``runs`` array<struct<at, seed, n>>, of which those
     with a seed must still be compared (n runs have it), and ``open``, whether there are any.
 
     Every consumer asks for the same columns, so that the shuffles below are written once and reused."""
-    runs = source.mapInArrow(run_rows(units_of, length, gram), RUN_ROW)
+    runs = source.mapInArrow(run_rows(units_of, length, gram, stretch), RUN_ROW)
     firsts = runs.groupBy("seed", "content").agg(F.min(KEY).alias(KEY), F.min_by("at", KEY).alias("at"))
     contents = firsts.groupBy("seed").agg(F.count(F.coalesce(KEY, "at")).alias("n"))
     several = (F.col("n") > 1) | (F.col("at").bitwiseAND(F.lit(1)) == 1)

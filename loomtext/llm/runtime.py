@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "__key"
+KEY, ROW = "__key", "__row"
+#: Lines, at most, of a table that are broadcast for keys with many rows; a key with fewer rows than LEAST_HOT is none of them.
+HOT, LEAST_HOT = 1_000, 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where a session has none (tests), one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
+    """The folder that ``spark.checkpoint.dir`` names. A local session without one (tests) gets a temporary folder,
+    which goes when the process ends; a cluster without one is an error, as its executors share no other folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="loomtext-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
@@ -33,8 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as the struct ``__row``, so that no column of the table can clash with an own one."""
+    return docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
-    """``__key`` long, unique, in the order of doc_id (nulls last), ties in the order of the text.
+    """``__key`` long, unique, in the order of doc_id (nulls last), ties in the order of the text, then of all else that
+    ``docs`` has, so that reruns agree.
 
     Where every doc_id is set and unique, which one pass over that column tells, the key is the
     doc_id itself and the second value is true. Otherwise rows are numbered by a range sort and the sizes of its partitions.
@@ -43,23 +55,41 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     repeated = ids.groupBy("i").count().where("i IS NULL OR count > 1").limit(1).count()
     if not repeated:
         return docs.withColumn(KEY, F.col(id_col).cast("long")), True
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = [F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_last()]
+    order += [F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])).asc_nulls_last()] if others else []
     ordered = cut(
-        docs.repartitionByRange(F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_last())
-        .sortWithinPartitions(F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_last())
+        docs.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("__part", F.spark_partition_id())
-        .withColumn("__row", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+        .withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
     )
     before, shift = 0, []
     for part, n in sorted(map(tuple, ordered.groupBy("__part").count().collect())):  # a row a partition
         shift.append((part, before))
         before += n
     offsets = docs.sparkSession.createDataFrame(shift or [(0, 0)], "__part int, __before long")
-    numbered = ordered.join(F.broadcast(offsets), "__part").withColumn(KEY, F.col("__row") + F.col("__before")).drop("__part", "__row", "__before")
+    numbered = ordered.join(F.broadcast(offsets), "__part").withColumn(KEY, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
     return numbered, False
 
 
-def unkeyed(out: DataFrame, source: DataFrame, same: bool, *cols: str) -> DataFrame:
-    """``__key`` back to doc_id and to other columns of the source."""
-    if same and not cols:
+def unkeyed(out: DataFrame, source: DataFrame, same: bool) -> DataFrame:
+    """``__key`` back to doc_id."""
+    if same:
         return out.select(F.col(KEY).alias("doc_id"), *[c for c in out.columns if c != KEY])
-    return source.select(KEY, "doc_id", *cols).join(out, KEY).drop(KEY)
+    return source.select(KEY, "doc_id").join(out, KEY).drop(KEY)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The inner join on ``key``, of which ``table`` has each value once, with the number of its ``rows`` in ``count``.
+
+    Keys that hold more than one in ``HOT`` of all ``total`` rows are joined by a broadcast of at most ``HOT`` lines of the table, the
+    others by a shuffle, so no task gets all rows of one key."""
+    least = max(total // HOT, LEAST_HOT)
+    table = table.withColumn("__hot", F.col(count) > least)
+    hot = table.where("__hot").select(F.col(key).alias("__k"), *[F.col(c).alias(f"__h_{c}") for c in table.columns if c not in (key, "__hot")])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
+    names = [c for c in table.columns if c not in (key, "__hot")]
+    done = marked.where("__k IS NOT NULL").select(*rows.columns, *[F.col(f"__h_{c}").alias(c) for c in names])
+    rest = marked.where("__k IS NULL").select(*rows.columns).join(table.where("NOT __hot").drop("__hot"), key).select(*rows.columns, *names)
+    return done.unionByName(rest)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import components
-from loomtext.llm.runtime import KEY, cut, keyed
+from loomtext.llm.runtime import KEY, ROW, carried, cut, hot_join, keyed
 
 SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -217,11 +217,13 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, cro
     least key that links reach."""
     source, same = keyed(docs)
     prints = cut(source.select(KEY, "text").mapInArrow(_fingerprints(shingle), f"{KEY} long not null, fp long not null"))
-    distinct = prints.groupBy("fp").agg(F.min(KEY).alias("least"))
+    distinct = cut(prints.groupBy("fp").agg(F.min(KEY).alias("least"), F.count(KEY).alias("n")))
     roots = linked(distinct.select("fp"), distance, crowd=crowd)
-    members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = members.join(members.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return prints.join(named, "fp").select(KEY, "fp", "component"), source, same
+    members = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    # copies of one text are one fingerprint, a large group one root: neither may fill a task
+    heads = members.groupBy("root").agg(F.min("least").alias("component"), F.count("fp").alias("members"))
+    named = hot_join(members, heads, "root", "members", members.count()).select("fp", "component", "n")
+    return hot_join(prints, named, "fp", "n", prints.count()).select(KEY, "fp", "component"), source, same
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -236,6 +238,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, crowd:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """The document with the least doc_id of each component, all columns."""
-    found, source, _ = simhash_components(docs, shingle, distance)
+    found, source, _ = simhash_components(carried(docs), shingle, distance)
     kept = found.where(F.col(KEY) == F.col("component")).select(KEY)
-    return source.join(kept, KEY, "left_semi").select(*docs.columns)
+    return source.join(kept, KEY, "left_semi").select(f"{ROW}.*")

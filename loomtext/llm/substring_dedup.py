@@ -1,10 +1,10 @@
 """Substring deduplication by seed and extension over winnowed word anchors.
 
 Anchors are word grams that a winnowing rule selects, at least one in every window of
-``window`` words. Documents meet at equal anchors; an anchor whose surroundings are the same over
-its whole run of windows extends at once, the others extend window by window to both sides, and
-what is extended over at least ``window`` words is a repeat. Maximal repeats are unions of such
-windows; all but the first occurrence go.
+``window`` words. Documents meet at equal anchors. Places of an anchor that agree over its whole run of windows are
+one, and the first stands for all; the others are joined on the anchor and extended word by word to the left and to
+the right (``extend.py``), and what agrees over at least ``window`` words is a repeat. Maximal repeats are unions of
+such windows; all but the first occurrence go.
 
 Defined results: a null text has no words; a document with fewer than ``window`` words is kept;
 doc_id null sorts last, rows with one doc_id are judged in the order of their texts; repeated rows
@@ -19,11 +19,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomtext.llm.repeats import PACKED_ROW, RUN_ROW, SHIFT, STRETCH, alone_runs, compared_runs, first_of_each, first_runs, long_lists, removed_units, unzipped, zipped
+from loomtext.llm.extend import CROWD, extended, word_symbols
+from loomtext.llm.repeats import PACKED_ROW, STRETCH, alone_runs, first_runs, long_lists, removed_units, unzipped, zipped
 from loomtext.llm.runtime import KEY, keyed, unkeyed
-from loomtext.llm.units import Spans, batch_bytes, pieces, word_units, words
+from loomtext.llm.units import batch_bytes, word_units, words
 
 GRAM = 6
 
@@ -41,31 +41,10 @@ def _units(texts: pa.Array) -> tuple[Callable, np.ndarray]:
     return units, of_docs
 
 
-def _extended(window: int) -> Callable:
-    """mapInArrow: documents with runs to compare -> a row for each distinct window of those runs."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            units, bounds = _units(pa.array(unzipped(batch.column(1)), pa.large_binary()))
-            found = []
-            for i, at, seed, _ in compared_runs(batch.column(2)):
-                for _, a, b, _ in pieces(bounds[i : i + 2] - bounds[i], STRETCH, window + (1 << SHIFT)):
-                    start, count = at >> SHIFT, at & ((1 << SHIFT) - 1)
-                    mine = (start >= a) & (start + count + window - 1 <= b)
-                    if not mine.any():
-                        continue
-                    hashes = Spans(units(bounds[i] + a, bounds[i] + b)).rolling(window)
-                    each = np.concatenate([np.arange(s, s + c) for s, c in zip(start[mine], count[mine], strict=True)])
-                    found.append((np.full(len(each), i), np.repeat(seed[mine], count[mine]), hashes[each - a].view(np.int64), each))
-            if found:
-                doc, seed, content, start = map(np.concatenate, zip(*found, strict=True))
-                order = np.lexsort((start, doc))
-                doc, seed, content, start = doc[order], seed[order], content[order], start[order]
-                one = first_of_each(doc, seed, content)
-                yield pa.RecordBatch.from_arrays([pa.array(seed[one]), pa.array(content[one]), pa.array(keys[doc[one]].astype(np.int64)), pa.array(start[one] << SHIFT | 1)], names=["seed", "content", KEY, "at"])
-
-    return rows
+def _cuts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words(raw, np.array([0, len(raw)]))
+    return word_units(raw, starts, ends), starts, ends
 
 
 def _kept(window: int, with_text: bool) -> Callable:
@@ -87,15 +66,13 @@ def _kept(window: int, with_text: bool) -> Callable:
     return rows
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = GRAM, with_text: bool = True, crowd: int = CROWD, stretch: int = STRETCH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, on demand, kept (the remaining words, joined by a space)."""
     source, same = keyed(docs.select("doc_id", "text"))
     texts = source.select(KEY, "text")
     packed = texts.mapInArrow(zipped, PACKED_ROW)
-    runs = first_runs(texts, _units, window, gram)
-    compared = runs.where("open").join(packed, KEY).select(KEY, "packed", "runs").mapInArrow(_extended(window), RUN_ROW)
-    firsts = compared.groupBy("seed", "content").agg(F.min(KEY).alias(KEY), F.min_by("at", KEY).alias("at"))
-    more = firsts.repartition(KEY).groupBy(KEY).agg(F.collect_list("at").alias("more"))
+    runs = first_runs(texts, _units, window, gram, stretch)
+    more = extended(runs, packed, window, gram, crowd, _cuts, word_symbols)
     joined = packed.join(runs, KEY, "left").join(more, KEY, "left")
     out = joined.mapInArrow(_kept(window, with_text), f"{KEY} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return unkeyed(out, source, same)

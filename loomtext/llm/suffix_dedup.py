@@ -5,11 +5,12 @@ smallest in some window of ``window`` bytes, so each such window holds one, and
 windows with one trigger, with the bytes they cover. The dictionary holds each distinct phrase once,
 under its first place in the corpus; the parse is the list of phrases of each document. A phrase
 that repeats is a copy as a whole, by comparing dictionary entries alone; this is what makes
-highly repetitive text cheap. What remains are windows at the rims of repeats. For these the
-dictionary's suffixes are sorted by prefix doubling, phrases with a common trigger together: suffixes
-with the same rank at depth ``window`` are equal strings, and the first in corpus order is kept.
-The full suffix order of the corpus is never needed beyond that depth, and a phrase carries the
-``window`` - 1 bytes that follow it, so ranks of its suffixes need no look at the parse.
+highly repetitive text cheap. What remains are phrases with one trigger at the rims of repeats. For these two orders are
+made and combined (``extend.py``): one of what stands before the trigger, the suffixes of the dictionary's phrases that
+end there, and one of what follows it, the suffixes of the parse; neighbours' common lengths say which windows are
+equal, and the first in corpus order is kept.
+Departure from the textbook form: equal windows have equal triggers, so the orders are made trigger by trigger and to
+``window`` bytes only; they are never merged into one order of the whole corpus.
 
 Defined results: a null text is empty; texts shorter than ``window`` bytes are kept; doc_id null
 sorts last, rows with one doc_id are judged in the order of their texts; repeated rows are copies
@@ -27,15 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from loomtext.llm.repeats import PACKED_ROW, SHIFT, STRETCH, alone_runs, compared_runs, first_of_each, first_runs, long_lists, removed_units, unzipped, zipped
-from loomtext.llm.runtime import KEY, keyed, unkeyed
-from loomtext.llm.units import Spans, batch_bytes, byte_units, mix, ranges
+from loomtext.llm.extend import CROWD, byte_symbols, extended
+from loomtext.llm.repeats import PACKED_ROW, STRETCH, alone_runs, first_runs, long_lists, removed_units, unzipped, zipped
+from loomtext.llm.runtime import KEY, ROW, carried, keyed, unkeyed
+from loomtext.llm.units import batch_bytes, byte_units
 
 GRAM = 20
-#: Phrases with one trigger beyond which windows, not phrases, are dealt out, combined map-side.
-CROWD = 2048
-#: Phrases whose suffixes are sorted at once. A group in one sort holds at most CROWD of the corpus' phrases.
-CHUNK = 4096
 
 
 def _units(texts: pa.Array) -> tuple[Callable, np.ndarray]:
@@ -43,116 +41,9 @@ def _units(texts: pa.Array) -> tuple[Callable, np.ndarray]:
     return lambda a, b: byte_units(raw[a:b]), bounds
 
 
-def _dictionary(window: int, crowd: int) -> Callable:
-    """mapInArrow: documents with phrases to compare -> those phrases, dealt by trigger; of a trigger
-    with a crowd of phrases each distinct window of the batch, dealt by its own hash."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = unzipped(batch.column(1))
-            deal, key, place, content, crowded = [], [], [], [], []
-            for i, at, seed, n in compared_runs(batch.column(2)):
-                start, count = at >> SHIFT, at & ((1 << SHIFT) - 1)
-                hot = n > crowd
-                for k in np.flatnonzero(~hot):
-                    deal.append(int(seed[k]))
-                    key.append(int(keys[i]))
-                    place.append(int(at[k]))
-                    content.append(texts[i][start[k] : start[k] + count[k] + window - 1])
-                for k in np.flatnonzero(hot):
-                    own = texts[i][start[k] : start[k] + count[k] + window - 1]
-                    hashes = mix(Spans(byte_units(np.frombuffer(own, np.uint8))).rolling(window) ^ np.uint64(int(seed[k]) & (1 << 64) - 1))
-                    crowded.append((hashes.view(np.int64), np.full(len(hashes), keys[i], np.int64), start[k] + np.arange(len(hashes)), np.full(len(hashes), i)))
-            if crowded:
-                hashes, k, start, doc = map(np.concatenate, zip(*crowded, strict=True))
-                order = np.lexsort((start, k))
-                hashes, k, start, doc = hashes[order], k[order], start[order], doc[order]
-                for j in first_of_each(hashes):
-                    deal.append(int(hashes[j]))
-                    key.append(int(k[j]))
-                    place.append(int(start[j]) << SHIFT | 1)
-                    content.append(texts[doc[j]][start[j] : start[j] + window])
-            if deal:
-                yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(key, pa.int64()), pa.array(place, pa.int64()), pa.array(content, pa.binary())], names=["deal", KEY, "at", "content"])
-
-    return rows
-
-
-def suffix_ranks(raw: np.ndarray, depth: int) -> np.ndarray:
-    """The rank, with ties, of each suffix of ``raw`` that has at least ``depth`` bytes among their first
-    ``depth`` bytes, by prefix doubling from packed words of 8 bytes."""
-    n = len(raw) - depth + 1
-    size = 1
-    rank = raw.astype(np.int64)
-    while size < min(8, depth):
-        step = min(size, depth - size)
-        rank = (rank[: len(rank) - step] << (8 * step)) | (rank[step:] & ((1 << (8 * step)) - 1)) if step < size else (rank[:-size].view(np.uint64) << np.uint64(8 * size) | rank[size:].view(np.uint64)).view(np.int64)
-        size += step
-    rank = _dense(rank.view(np.uint64))
-    while size < depth:
-        step = min(size, depth - size)
-        rank = _dense(rank[:-step].astype(np.uint64) << np.uint64(32) | rank[step:].astype(np.uint64))
-        size += step
-    return rank[:n]
-
-
-def _dense(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values)
-    new = np.empty(len(values), np.int64)
-    if len(values):
-        ordered = values[order]
-        new[0] = 0
-        new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
-def _first_windows(window: int) -> Callable:
-    """mapInArrow over phrases sorted by their deal -> (key, at): intervals of windows that start first."""
-
-    def first(keys: np.ndarray, at: np.ndarray, contents: pa.Array) -> pa.RecordBatch:
-        raw, bounds = batch_bytes(contents)
-        count = at & ((1 << SHIFT) - 1)
-        places = ranges(bounds[:-1], bounds[:-1] + count)
-        row = np.repeat(np.arange(len(at)), count)
-        start = (at >> SHIFT)[row] + places - bounds[row]
-        rank = suffix_ranks(raw, window)[places]
-        order = np.lexsort((start, keys[row], rank))
-        new = np.ones(len(order), bool)
-        new[1:] = rank[order[1:]] != rank[order[:-1]]
-        kept = np.sort(order[new])  # in the order of rows and, within a row, of starts
-        joins = np.zeros(len(kept), bool)
-        joins[1:] = (row[kept[1:]] == row[kept[:-1]]) & (kept[1:] == kept[:-1] + 1)
-        head = np.flatnonzero(~joins)
-        size = np.diff(np.append(head, len(kept)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[row[kept[head]]]), pa.array(start[kept[head]] << SHIFT | size)], names=[KEY, "at"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        waiting = 0
-        for batch in batches:
-            held.append(batch)
-            waiting += len(batch)
-            if waiting < CHUNK:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            deal = table.column("deal").to_numpy()
-            cuts = np.flatnonzero(deal[1:] != deal[:-1]) + 1  # a group that may go on stays
-            begin = 0
-            while len(cuts) and (later := cuts[cuts > begin]).size and waiting - begin >= CHUNK:
-                end = int(later[max(0, np.searchsorted(later, begin + CHUNK, side="right") - 1)])
-                part = table.slice(begin, end - begin)
-                yield first(part.column(KEY).to_numpy(), part.column("at").to_numpy(), part.column("content"))
-                begin = end
-            held = table.slice(begin).to_batches()
-            waiting -= begin
-        if waiting:
-            part = pa.Table.from_batches(held)
-            yield first(part.column(KEY).to_numpy(), part.column("at").to_numpy(), part.column("content"))
-
-    return rows
+def _cuts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(text, np.uint8)
+    return byte_units(raw), np.arange(len(raw)), np.arange(1, len(raw) + 1)
 
 
 def _kept(window: int, with_text: bool, carried: list[str]) -> Callable:
@@ -174,15 +65,13 @@ def _kept(window: int, with_text: bool, carried: list[str]) -> Callable:
     return rows
 
 
-def _deduped(texts: DataFrame, window: int, gram: int, crowd: int, with_text: bool) -> DataFrame:
+def _deduped(texts: DataFrame, window: int, gram: int, crowd: int, with_text: bool, stretch: int = STRETCH) -> DataFrame:
     """(``__key``, text) and, it may be, one more column, which comes out again -> the results by key. Both uses of the texts
     ask for all columns, so that one shuffle serves both."""
     more_fields = texts.schema.fields[2:]
     packed = texts.mapInArrow(zipped, StructType([*_parse(PACKED_ROW), *more_fields]))
-    runs = first_runs(texts.select(KEY, "text"), _units, window, gram)
-    phrases = runs.where("open").join(packed, KEY).select(KEY, "packed", "runs", *[f.name for f in more_fields]).mapInArrow(_dictionary(window, crowd), f"deal long, {KEY} long, at long, content binary")
-    firsts = phrases.repartition("deal").sortWithinPartitions("deal").mapInArrow(_first_windows(window), f"{KEY} long, at long")
-    more = firsts.repartition(KEY).groupBy(KEY).agg(F.collect_list("at").alias("more"))
+    runs = first_runs(texts.select(KEY, "text"), _units, window, gram, stretch)
+    more = extended(runs, packed, window, gram, crowd, _cuts, byte_symbols)
     joined = packed.join(runs, KEY, "left").join(more, KEY, "left")
     out = f"{KEY} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     return joined.mapInArrow(_kept(window, with_text, [f.name for f in more_fields]), StructType([*_parse(out), *more_fields]))
@@ -192,19 +81,20 @@ def _parse(row: str) -> list[StructField]:
     return StructType.fromDDL(row).fields
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True, stretch: int = STRETCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the remaining bytes; what a cut leaves of a
     character goes)."""
     source, same = keyed(docs.select("doc_id", "text"))
-    return unkeyed(_deduped(source.select(KEY, "text"), window, gram, crowd, with_text), source, same)
+    return unkeyed(_deduped(source.select(KEY, "text"), window, gram, crowd, with_text, stretch), source, same)
 
 
 def deduped_documents(docs: DataFrame, window: int = 100, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """The documents with what remains of their texts, n_chars to match, all other columns as they are; a document of
     which nothing is left goes, one that was empty stays."""
-    source, _ = keyed(docs)
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = _deduped(source.select(KEY, "text", F.struct(F.lit(0).alias("__"), *others).alias("__others")), window, gram, crowd, True)
+    fields = docs.schema.fields
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"{ROW}.`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields) if f.name not in ("text", "n_chars")])
+    source, _ = keyed(carried(docs))
+    found = _deduped(source.select(KEY, "text", others.alias("__others")), window, gram, crowd, True)
     left = found.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    own = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
-    return left.select(*[own[c] if c in own else F.col("__others")[c].alias(c) for c in docs.columns])
+    own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[own.get(f.name, F.col(f"__others.c{i}")).alias(f.name) for i, f in enumerate(fields)])

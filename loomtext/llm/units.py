@@ -28,43 +28,55 @@ def _byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U64) * U64(_MUL) + U64(seed))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(max(n, 1), dtype=U64)
-    filled, step = 1, base % (1 << 64)
-    while filled < n:
-        take = min(filled, n - filled)
-        out[filled : filled + take] = out[:take] * U64(step)
-        filled, step = filled + take, step * step % (1 << 64)
-    return out
+def _join(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The hash of two spans that make one of ``size`` units; nothing in it is linear in the units."""
+    return mix(a * U64(0xBF58476D1CE4E5B9) + (b ^ (b >> U64(31))) + U64(size * _MUL % (1 << 64)))
+
+
+def salts(n: int, seed: int) -> np.ndarray:
+    """``n`` numbers to mix hashes with."""
+    return mix(np.arange(1, n + 1, dtype=U64) * U64(_MUL) + U64(seed))
 
 
 class Spans:
-    """Hashes of arbitrary spans of a unit sequence, from prefix sums of a polynomial modulo 2**64.
+    """Hashes of spans of a sequence of hashed units.
 
-    ``hash(start, end)`` costs a few operations a span, whatever its length; the result is mixed
-    with the span's length.
-    """
+    Those of 2**k units come from those of two halves; any other length joins its first and its last 2**k units, long spans
+    one BLOCK after the other. So a hash depends on the span alone."""
 
-    BASE = 0xBF58476D1CE4E5B9
+    BLOCK = 4  # as a power of two
 
-    def __init__(self, units: np.ndarray, base: int = BASE):
-        n = len(units)
-        self.inverse = _powers(n + 1, pow(base, -1, 1 << 64))
-        self.prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(units * _powers(n, base), out=self.prefix[1:])
+    def __init__(self, units: np.ndarray):
+        self.levels = [units]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            step, last = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(_join(last[:-step], last[step:], 2 * step) if len(last) > step else last[:0])
+        return self.levels[k]
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(U64) * U64(_MUL))
+        """The hash of each span, start to end."""
+        size = end - start
+        found = np.zeros(len(start), U64)
+        power = np.minimum(np.frexp(size.astype(np.float64))[1] - 1, self.BLOCK)
+        for k in np.unique(power[size > 0]).tolist():
+            level, mine = self._level(k), np.flatnonzero((power == k) & (size > 0))
+            own = level[start[mine]]
+            for at in range(1 << k, int(size[mine].max()) - (1 << k) + 1, 1 << k):
+                go = np.flatnonzero(size[mine] > at + (1 << k))
+                own[go] = _join(own[go], level[start[mine[go]] + at], 2)
+            found[mine] = _join(own, level[end[mine] - (1 << k)], 1) + size[mine].astype(U64) * U64(_MUL)
+        return mix(found)
 
     def rolling(self, size: int) -> np.ndarray:
         """The hash of each span of ``size`` units, by start."""
-        n = len(self.prefix) - size
+        k = size.bit_length() - 1
+        level = self._level(k)
+        n = len(self.levels[0]) - size + 1
         if n <= 0:
-            return np.zeros(0, dtype=U64)
-        raw = (self.prefix[size:] - self.prefix[:n]) * self.inverse[:n]
-        return mix(raw + U64(size * _MUL % (1 << 64)))
+            return np.zeros(0, U64)
+        return level[:n] if size == 1 << k else _join(level[:n], level[size - (1 << k) :][:n], size)
 
 
 def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +115,28 @@ def runs_of(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    return Spans(byte_units(raw, seed)).hash(starts, ends)
+    """A 64-bit hash for each word: the sum of its mixed lanes of eight bytes, each lane with its place, mixed again with the
+    word's length."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from any place on
+    sizes = ends - starts
+    found = _lanes(eight, starts, np.minimum(sizes, 8), np.zeros(len(starts), np.int64), seed)
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8
+        word = np.repeat(np.arange(len(long)), more)
+        lane = np.arange(len(word)) - np.repeat(np.cumsum(more) - more, more) + 1
+        each = _lanes(eight, starts[long][word] + 8 * lane, np.minimum(sizes[long][word] - 8 * lane, 8), lane, seed)
+        found[long] += np.add.reduceat(each, np.cumsum(more) - more)
+    return mix(found + sizes.astype(U64) * U64(_MUL))
+
+
+def _lanes(eight: np.ndarray, at: np.ndarray, size: np.ndarray, lane: np.ndarray, seed: int) -> np.ndarray:
+    """Each lane's first ``size`` bytes as a number, mixed with its place."""
+    own = eight[at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - size) * 8).astype(U64))
+    return mix(mix(own + U64(seed)) + lane.astype(U64) * U64(0xA24BAED4963EE407))
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:

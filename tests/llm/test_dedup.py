@@ -1,15 +1,17 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from loomtext.llm.components import components
+from loomtext.llm.extend import byte_symbols, first_windows
 from loomtext.llm.seeds import seed_runs
 from loomtext.llm.simhash import drop_near_duplicates, fingerprint, forest, gray_rank, linked, near_duplicates
 from loomtext.llm.substring_dedup import substring_dedup
-from loomtext.llm.suffix_dedup import suffix_dedup, suffix_ranks
-from loomtext.llm.units import byte_units
+from loomtext.llm.suffix_dedup import suffix_dedup
+from loomtext.llm.units import Spans, byte_units
 from tests.llm.fixtures import KINDS, documents, frame, odd
 
 
@@ -40,31 +42,69 @@ def words_of(rows, window):
     return [(d, n, r, h) for d, n, r, _, h in brute(rows, bytes.split, b" ".join, window)]
 
 
-@pytest.mark.parametrize("kind", ["plain", *KINDS])
-def test_substring_dedup_equals_brute_force(spark, kind):
+CASES = [("plain", 1, 1 << 18), ("plain", 3, 500), *[(kind, 2048, 1 << 18) for kind in ("plain", *KINDS)], *[(kind, 1, 700) for kind in KINDS]]
+
+
+@pytest.mark.parametrize("kind,crowd,stretch", CASES)
+def test_substring_dedup_equals_brute_force(spark, kind, crowd, stretch):
     rows = documents() if kind == "plain" else odd(kind)
-    found = substring_dedup(frame(spark, rows, extra=kind == "plain"), window=20)
+    found = substring_dedup(frame(spark, rows, extra=kind == "plain"), window=20, crowd=crowd, stretch=stretch)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()), key=str)
     assert got == sorted(words_of(rows, 20), key=str)
 
 
-@pytest.mark.parametrize("kind", ["plain", *KINDS])
-@pytest.mark.parametrize("crowd", [1, 2048])
-def test_suffix_dedup_equals_brute_force(spark, kind, crowd):
-    if crowd == 1 and kind != "plain":
-        pytest.skip("one kind is enough for the crowded path")
-    rows = documents() if kind == "plain" else [(d, (t or "")[:3000] if t is not None else None, *rest) for d, t, *rest in odd(kind)]
-    found = suffix_dedup(frame(spark, rows, extra=kind == "plain"), window=100, crowd=crowd)
+@pytest.mark.parametrize("kind,crowd,stretch", CASES)
+def test_suffix_dedup_equals_brute_force(spark, kind, crowd, stretch):
+    rows = documents() if kind == "plain" else odd(kind)
+    found = suffix_dedup(frame(spark, rows, extra=kind == "plain"), window=100, crowd=crowd, stretch=stretch)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()), key=str)
     assert got == brute(rows, lambda b: b, bytes, 100)
 
 
-def test_suffix_ranks_order_substrings():
-    raw = np.frombuffer(b"abracadabra" * 20 + b"xyz" * 30, np.uint8)
-    for depth in (1, 3, 8, 13, 100):
-        own = [raw[i : i + depth].tobytes() for i in range(len(raw) - depth + 1)]
-        place = {s: i for i, s in enumerate(sorted(set(own)))}
-        assert suffix_ranks(raw, depth).tolist() == [place[s] for s in own]
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_patterned_words_are_told_apart(spark):
+    """Words, and sequences of words, whose polynomial hashes modulo 2**64 would be equal."""
+    one, two = ("".join("ab"[b ^ flip] for b in thue_morse(2048)) for flip in (0, 1))
+    head, tail = [f"h{i}" for i in range(12)], [f"t{i}" for i in range(12)]
+    rows = [(k, " ".join([*head, w, *tail]), "en", "s", 1) for k, w in enumerate((one, two))]
+    rows += [(k + 2, " ".join("xy"[b ^ flip] for b in thue_morse(4096)), "en", "s", 1) for k, flip in enumerate((0, 1))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, rows)).collect())
+    assert got == sorted(words_of(rows, 20)) and got[1][2] == 0
+
+
+def test_windows_of_one_anchor_are_compared_themselves():
+    draw = np.random.default_rng(8)
+    texts = [bytes(draw.choice(list(b"ab"), int(draw.integers(12, 20))).astype(np.uint8)) for _ in range(300)]
+    symbols, bounds, units = byte_symbols(pa.array(texts, pa.binary()))
+    window, gram = 9, 4
+    runs, _ = seed_runs(units, bounds, window, gram)
+    rows = [symbols[s : s + c + window - 1] for s, c in zip(runs.start, runs.count)]
+    own = pa.array([(r - 1).astype(np.uint8).tobytes() for r in rows], pa.binary())
+    symbols, bounds, units = byte_symbols(own)
+    row, nth = first_windows(symbols, bounds, units, runs.count, window, gram)
+    seen, want = set(), []
+    for i, text in enumerate(own.to_pylist()):
+        for k in range(int(runs.count[i])):
+            if text[k : k + window] not in seen:
+                seen.add(text[k : k + window])
+                want.append((i, k))
+    assert list(zip(row.tolist(), nth.tolist())) == want
+
+
+def test_span_hashes_depend_on_the_span_alone():
+    draw = np.random.default_rng(3)
+    units = byte_units(draw.integers(0, 3, 5000).astype(np.uint8))
+    start = draw.integers(0, 4000, 3000)
+    size = draw.integers(1, 12, 3000) ** 2
+    whole = Spans(units).hash(start, start + size)
+    by_content = {}
+    for s, n, h in zip(start.tolist(), size.tolist(), whole.tolist()):
+        content = units[s : s + n].tobytes()
+        assert by_content.setdefault(content, h) == h == Spans(units[s : s + n]).hash(np.array([0]), np.array([n]))[0]
+    assert len(set(by_content.values())) == len(by_content)
 
 
 def test_runs_cover_each_window_once():

@@ -1,10 +1,12 @@
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtext.llm import ann, license_scan, media, mixing, packing, tokens, toxicity
@@ -48,6 +50,33 @@ def test_spliced_parts_equal_the_whole(text):
         assert np.concatenate(list(own.parts(text, chunk, overlap))).tolist() == library_ids(text)
 
 
+BLANK = {"spaces": " " * 10**6, "newlines": "\n" * 10**6, "tabs": "\t" * 10**6, "mixed": " \n\t\u3000\xa0" * 200_000}
+
+
+@pytest.mark.parametrize("kind", BLANK)
+def test_long_white_space_gives_the_library_ids(kind):
+    own = tokens.encoder(tokens.default_vocabulary())
+    for text in (BLANK[kind], f"word{BLANK[kind]}", f"{BLANK[kind]}word", f"a {BLANK[kind]}b<|endoftext|>{BLANK[kind]} c"):
+        want = library_ids(text)
+        assert own.plain(text) == want and np.concatenate(list(own.parts(text))).tolist() == want
+
+
+def test_long_white_space_in_tables(spark):
+    rows = [(i, f"a{t}b", "en", "s", 1) for i, t in enumerate(BLANK.values())]
+    want = {d: len(library_ids(t)) for d, t, *_ in rows}
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(frame(spark, rows)).collect()} == want
+    found = packing.pack_documents(frame(spark, rows)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n - 1 for r in found} == want
+
+
+def test_files_of_another_kind_are_refused(tmp_path):
+    model = json.load(open(tokens.default_vocabulary(), encoding="utf-8"))
+    model["model"]["merges"][5], model["model"]["merges"][900] = model["model"]["merges"][900], model["model"]["merges"][5]
+    (tmp_path / "swapped.json").write_text(json.dumps(model))
+    with pytest.raises(ValueError, match="order"):
+        tokens.Encoder(str(tmp_path / "swapped.json"))
+
+
 # --- packing ----------------------------------------------------------------------------------------------------
 
 

@@ -6,18 +6,9 @@ import numpy as np
 import corpus_pipeline
 from loomtext.llm import tokens, toxicity
 from loomtext.llm.queries import ORACLES, QUERIES
-from tests.llm.fixtures import documents, frame
-from tests.llm.test_dedup import brute, fingerprint_by_bits, groups
-
-
-def tables(spark, folder):
-    rows, labels = [], []
-    for d, t, *rest in documents(seed=12, n=90):
-        toxic = d % 6 == 0
-        rows.append((d, f"{t or 'text'} {'what a zorgel you are, vexitan and vexomir' if toxic else 'what a fine day'}", *rest))
-        labels.append((d, 1, int(toxic)))
-    frame(spark, rows, extra=True).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+from tests.llm.fixtures import tables
+from tests.llm.test_dedup import brute
+from tests.llm.test_near_copies import kept
 
 
 def test_stages_against_plain_code(spark, tmp_path):
@@ -37,8 +28,8 @@ def test_stages_against_plain_code(spark, tmp_path):
     grammar = toxicity.learn(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     assert grammar.weights and {r.doc_id for r in after} == {r.doc_id for r in before if r.doc_id % 6}
     (before, after) = results[1]
-    before = sorted(before, key=lambda r: r.doc_id)
-    assert {r.doc_id for r in after} == set(groups([r.doc_id for r in before], [fingerprint_by_bits(r.text) for r in before]))
+    rows = [(r.doc_id, r.text) for r in before]
+    assert {r.doc_id for r in after} == {rows[i][0] for i in kept(rows)}
     (before, after) = results[2]
     want = {d: h for d, n, gone, _, h in brute([(r.doc_id, r.text) for r in before], lambda b: b, bytes, 100) if gone < n or not n}
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in after} == want
