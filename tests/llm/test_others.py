@@ -259,6 +259,40 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / (20 * len(got)) >= 0.95
 
 
+def exact_neighbours(rows, k=20):
+    """(query, rank, id) by all inner products, ties to smaller ids; of integers, so no rounding."""
+    out = []
+    for q, v in rows:
+        if q % 20 == 0:
+            order = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)
+            out += [(q, n + 1, i) for n, (_, i) in enumerate(order[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_rows", [1 << 16, 40])
+def test_neighbours_ties_go_to_smaller_ids(spark, shard_rows):
+    draw = np.random.default_rng(6)
+    rows = [(i, [1.0, *map(float, draw.integers(-3, 4, 5))] if i % 20 else [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(200)]
+    rows += [(i, rows[3][1]) for i in range(200, 230)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in draw.permutation(np.array(rows, object)).tolist()], EMBEDDINGS)
+    got = ann.nearest_neighbours(table, shard_rows=shard_rows, query_rows=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == exact_neighbours(rows)
+
+
+def test_recall_of_the_table_scan_over_blocks():
+    """Normally distributed vectors, the hardest kind, by the sizes that production blocks have."""
+    draw = np.random.default_rng(12)
+    for n, d in ((16_384, 64), (65_536, 64), (16_384, 256)):
+        x = draw.normal(size=(n, d)).astype(np.float32)
+        book = ann.fit(x[:4096])
+        codes = ann.packed_codes(ann.encode(x, book))
+        queries = draw.normal(size=(40, d))
+        k = round(ann.RERANK * max(1.0, n / ann.RERANK_OF) ** 0.25)
+        hits = sum(len(set(rows.tolist()) & set(np.argsort(-(x @ queries[q]))[:20].tolist())) for q, rows, _ in ann.scan(queries, codes, np.arange(n), book, k))
+        print(n, d, k, hits / 800)
+        assert hits / 800 >= 0.95
+
+
 def test_few_or_no_vectors(spark):
     few = ann.nearest_neighbours(spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(20, 26)], EMBEDDINGS)).collect()
     assert [(r.rank, r.vec_id) for r in sorted(few)] == [(1, 25), (2, 24), (3, 23), (4, 22), (5, 21)]
