@@ -1,19 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are first mapped to classes: an insult or a threat carries a weight learnt from labelled
-documents, for the whole word or for the stem it begins with; targets (persons addressed), negations
-and verbs of reported speech are closed classes. Four small transducers read the classes of a clause and
-are composed by running in step: the target transducer strengthens a hit near an addressed person,
-the negation transducer weakens hits in its scope, the reported-speech transducer weakens what
-someone else is quoted as saying, and the offence transducer sums the weights that come out. A clause
-ends at a sentence mark, comma or line end. A document's score is the logistic of its clauses' sum,
+A lexical transducer maps words to classes: an offence carries a weight learnt from labelled
+documents, for the whole word or for the stem it begins with; threats, persons addressed, negations
+and verbs of reported speech are closed classes. Transducers for insults and threats, targets, negation and reported speech,
+with their states, arcs and weights as data, are composed (``grammar.py``) and read each line: an offence alone is a
+pattern with a weight of its own, one near a person weighs more, one in a negation's scope or in reported or quoted
+speech less, and a threat counts only with a person after it. A document's score is the logistic of its clauses' sum,
 with a bias and slope fitted on the same labelled rows.
 
 Labels are read only from rows that are not held out; source, language and doc_id are no inputs.
 
 Defined results: a null or empty text scores by the bias alone, below one half; a null doc_id is not held
-out and never learnt from; repeated rows score alike; without labels of both kinds only the built-in words
-count; an empty table gives an empty result; extra columns do no harm.
+out and never learnt from; repeated rows score alike; a document with both labels counts as toxic; without labels of both kinds only
+the built-in words count; an empty table gives an empty result; extra columns do no harm, and ``drop_toxic`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -28,19 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from loomtext.llm.grammar import C, N, O, P, Q, R, S, T, W, line_scores
 from loomtext.llm.runtime import cut
-from loomtext.llm.units import Spans, batch_bytes, mix, word_units, words
+from loomtext.llm.units import Spans, batch_bytes, mix, salts, word_units, words
 
 #: Labelled rows, at most, from which words and stems are learnt; a larger table is sampled by hash.
 MAX_LABELLED = 40_000
-#: Words and stems kept, at most, strongest first.
-MAX_ENTRIES = 2_000
 STEMS = (4, 5, 6, 7)
-#: A document's hits of an entry: a word's occurrences, or the different words that begin with a stem, MOST_HITS at most. An
-#: entry is learnt if at least LEAST_DOCS toxic documents have it and its hits are so one-sided that chance would hardly
+#: An entry is learnt if at least LEAST_DOCS toxic documents have it and its hits are so one-sided that chance would hardly
 #: do it among all the words and stems there are: about ENTRIES_A_DOC for each labelled document.
-LEAST_DOCS, MOST_HITS, ENTRIES_A_DOC, MARGIN = 3, 4, 50, 3.0
+LEAST_DOCS, ENTRIES_A_DOC, MARGIN = 3, 50, 3.0
+#: Min-hashes of a labelled text, and how many of them near-copies of one label share.
+SKETCH, ALIKE, MEET = 16, 8, 3
 LEAST_LOG_ODDS = 3.0
 #: A stem is kept if it has this many times the hits of the best longer entry that begins with it.
 OWN_HITS = 1.3
@@ -50,13 +50,9 @@ TARGETS = frozenset("you your yours yourself he him his she her they them their
 NEGATIONS = frozenset("not no never nor none neither without isn't aren't don't doesn't wasn't won't nicht kein keine nie ne pas jamais sans nunca jamás sin ni".split())
 REPORTS = frozenset("said says say quoted quote wrote writes called calls claimed claims according reported reports sagte sagt schrieb dit disait écrit dijo dice escribió".split())
 THREATS = frozenset("kill hurt destroy beat shoot stab burn strangle umbringen töten tuer frapper matar golpear".split())
-THREAT_WEIGHT = 1.0
 
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:,\n\"“”»«]")
-BREAKS = frozenset(".!?;:,\n")
-QUOTES = frozenset("\"“”»«")
-NEGATION_SCOPE, REPORT_SCOPE, TARGET_SCOPE = 3, 8, 4
-NEGATED, REPORTED, TARGETED = 0.5, 0.5, 1.25
+TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:,\"“”»«]")
+MARKS = {**dict.fromkeys(".!?;", S), **dict.fromkeys(":,", C), **dict.fromkeys("\"“”»«", Q)}
 
 
 class Grammar(NamedTuple):
@@ -73,55 +69,34 @@ def word_weight(word: str, weights: dict[str, float]) -> float:
     return max((weights.get(word[:k] + "*", 0.0) for k in STEMS if len(word) > k), default=0.0)
 
 
-def clause_scores(text: str, weights: dict[str, float], cache: dict[str, float] | None = None) -> tuple[float, int]:
-    """(sum of the matched clauses' scores, matched clauses): the composed transducers run once over the text."""
+def word_class(word: str, weights: dict[str, float]) -> tuple[int, float]:
+    """The lexical transducer: the class of a token, and an offence's weight."""
+    for words, c in ((THREATS, T), (TARGETS, P), (NEGATIONS, N), (REPORTS, R)):
+        if word in words:
+            return c, 0.0
+    if word in MARKS:
+        return MARKS[word], 0.0
+    weight = word_weight(word, weights)
+    return (O, weight) if weight > 0 else (W, 0.0)
+
+
+def clause_scores(text: str, weights: dict[str, float], cache: dict[str, tuple[int, float]] | None = None) -> tuple[float, int]:
+    """(sum of the matched clauses' scores, matched clauses): the composed transducers run over each line."""
     cache = {} if cache is None else cache
     total, matched = 0.0, 0
-    negated = reported = aimed = 0
-    quoted = False
-    offence = threat = 0.0
-    clause = 0.0
-    for token in TOKEN.findall(text.lower()):
-        if token in BREAKS:
-            if clause:
-                total, matched = total + clause, matched + 1
-            negated = aimed = 0
-            reported = reported if token in ",:" and not clause else 0
-            clause = threat = 0.0
-            continue
-        if token in QUOTES:
-            quoted = not quoted
-            continue
-        offence = cache.get(token)
-        if offence is None:
-            offence = word_weight(token, weights)
-            if token in THREATS:
-                offence = -1.0
-            elif token in TARGETS:
-                offence = -2.0
-            elif token in NEGATIONS:
-                offence = -3.0
-            elif token in REPORTS:
-                offence = -4.0
-            if len(cache) < 1 << 16:
-                cache[token] = offence
-        if offence > 0:
-            gain = offence * (TARGETED if aimed else 1.0) * (NEGATED if negated else 1.0) * (REPORTED if reported or quoted and reported else 1.0)
-            clause += gain
-        elif offence == -1.0:
-            threat = THREAT_WEIGHT * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-        elif offence == -2.0:
-            if threat:
-                clause += threat
-                threat = 0.0
-            aimed = TARGET_SCOPE + 1
-        elif offence == -3.0:
-            negated = NEGATION_SCOPE + 1
-        elif offence == -4.0:
-            reported = REPORT_SCOPE + 1
-        negated, aimed, reported = max(negated - 1, 0), max(aimed - 1, 0), max(reported - 1, 0)
-    if clause:
-        total, matched = total + clause, matched + 1
+    for line in text.lower().split("\n"):
+        found = []
+        for token in TOKEN.findall(line):
+            own = cache.get(token)
+            if own is None:
+                own = word_class(token, weights)
+                if len(cache) < 1 << 16:
+                    cache[token] = own
+            found.append(own)
+        classes = [c for c, _ in found]
+        if O in classes or T in classes:
+            score, n = line_scores(classes, [w for _, w in found])
+            total, matched = total + score, matched + n
     return total, matched
 
 
@@ -130,33 +105,36 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_entries: int = 2_000, most_hits: int = 4) -> Grammar:
     """Words and stems that mark toxic rows, by smoothed log odds of their hits, then bias and slope.
 
     Only rows that are not held out are read, at most about ``max_labelled`` of them, sampled by hash. Of copies and
-    near-copies, which min-hashes tell, one is used: the words of a text copied many times would all seem to mark
-    its label. The rows' ids, a bounded number, are broadcast, so no text is shuffled."""
-    marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("__doc"), F.col("toxic").cast("int").alias("__toxic")).dropDuplicates(["__doc"])
+    near-copies with one label, which min-hashes tell, one is used: the words of a text copied many times would all seem to
+    mark its label. The rows' ids, a bounded number, are broadcast, so no text is shuffled. ``max_entries`` bounds the words and
+    stems kept, strongest first. A document's hits of an entry, a word's occurrences or the different words that begin
+    with a stem, count up to ``most_hits``, so that a document that repeats a word does not speak for many."""
+    marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     total = marked.count()
     if total > max_labelled:
         marked = marked.where(F.pmod(F.xxhash64("__doc", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, a long, b long, c long")
-    one = sketched
-    for key in "abc":
-        one = one.groupBy(key).agg(F.min(F.struct("__doc", "__toxic", *[k for k in "abc" if k != key])).alias("s")).select(key, "s.*")
-    one = cut(one.select("__doc", "__toxic"))
+    one = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, s array<long>")
+    for k in range(MEET):  # a bounded number of rows: those with one min-hash and label stand in one task
+        head = F.min(F.struct("__doc", "s")).over(Window.partitionBy("__toxic", F.col("s")[k]))
+        alike = F.aggregate(F.zip_with("s", "__head.s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+        one = one.withColumn("__head", head).where((F.col("__head.__doc") == F.col("__doc")) | (alike < ALIKE)).select("__doc", "__toxic", "s")
+    one = cut(one.select("__doc", "__toxic").distinct())
     rows = texts.join(F.broadcast(one), F.col("doc_id") == F.col("__doc")).select("text", "__toxic")
     n_toxic, n_clean = (one.where(F.col("__toxic") == k).count() for k in (1, 0))
     weights: dict[str, float] = {}
     if n_toxic and n_clean:
-        counted = rows.mapInArrow(_entries, "entry string, toxic long, hits long, others long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "hits", "others")])
+        counted = rows.mapInArrow(_entries(most_hits), "entry string, toxic long, hits long, others long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "hits", "others")])
         odds = F.log((F.col("hits") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("others") + 0.5) / (n_clean + 1.0))
         share = n_toxic / (n_toxic + n_clean)
         n = F.col("hits") + F.col("others")
         sided = F.col("hits") * F.log(F.col("hits") / (n * share)) + F.when(F.col("others") > 0, F.col("others") * F.log(F.col("others") / (n * (1 - share)))).otherwise(0.0)
         strong = counted.where((F.col("toxic") >= LEAST_DOCS) & (sided >= math.log(ENTRIES_A_DOC * (n_toxic + n_clean)) + MARGIN)).withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS)
-        best = strong.orderBy(F.col("w").desc(), F.length("entry"), "entry").limit(MAX_ENTRIES).collect()
+        best = strong.orderBy(F.col("w").desc(), F.length("entry"), "entry").limit(max_entries).collect()
         weights = _own_evidence([(r["entry"], float(r["w"]), int(r["hits"])) for r in best])
     tallies = rows.mapInArrow(_tallies(weights), "score double, toxic long").groupBy(F.round("score", 1).alias("score"), "toxic").count().collect() if weights else []
     bias, slope = _fit([tuple(r) for r in tallies])
@@ -175,35 +153,38 @@ def _own_evidence(entries: list[tuple[str, float, int]]) -> dict[str, float]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three min-hashes of each text's runs of three words."""
+    """Min-hashes of each text's runs of three words; shorter texts are one run, of the words they have."""
     for batch in batches:
         raw, bounds = batch_bytes(batch.column(2))
         starts, ends, of_docs = words(raw, bounds)
-        found = np.zeros((3, len(batch)), np.uint64)
-        if len(starts) > 2:
-            grams = Spans(word_units(raw, starts, ends)).rolling(3)
-            for i in range(len(batch)):
-                own = grams[of_docs[i] : max(of_docs[i + 1] - 2, of_docs[i])]
-                if len(own):
-                    found[:, i] = [mix(own ^ np.uint64(k)).min() for k in (1, 2, 3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f.view(np.int64)) for f in found]], names=["__doc", "__toxic", "a", "b", "c"])
+        spans = Spans(word_units(raw, starts, ends))
+        grams = spans.rolling(3)
+        found = np.zeros((len(batch), SKETCH), np.uint64)
+        for i, (a, b) in enumerate(zip(of_docs[:-1].tolist(), of_docs[1:].tolist(), strict=True)):
+            own = grams[a : b - 2] if b - a >= 3 else spans.hash(np.array([a]), np.array([b])) if b > a else np.zeros(1, np.uint64)
+            found[i] = [mix(own ^ salt).min() for salt in salts(SKETCH, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["__doc", "__toxic", "s"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(most_hits: int) -> Callable:
     """The words and stems of each labelled document, counted within the task."""
-    counts: dict[str, list[int]] = {}
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = Counter(w for w in TOKEN.findall((text or "").lower()) if w[0].isalnum())
-            own.update(w[:k] + "*" for w in list(own) for k in STEMS if len(w) > k)
-            for entry, n in own.items():
-                tally = counts.setdefault(entry, [0, 0, 0])
-                tally[0] += toxic
-                tally[2 - toxic] += min(n, MOST_HITS)
-        if len(counts) > 1 << 20:
-            yield _counted(counts)
-            counts = {}
-    yield _counted(counts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = Counter(w for w in TOKEN.findall((text or "").lower()) if w not in MARKS)
+                own.update(w[:k] + "*" for w in list(own) for k in STEMS if len(w) > k)
+                for entry, n in own.items():
+                    tally = counts.setdefault(entry, [0, 0, 0])
+                    tally[0] += toxic
+                    tally[2 - toxic] += min(n, most_hits)
+            if len(counts) > 1 << 20:
+                yield _counted(counts)
+                counts = {}
+        yield _counted(counts)
+
+    return rows
 
 
 def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -213,7 +194,7 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
 
 def _tallies(weights: dict[str, float]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, tuple[int, float]] = {}
         for batch in batches:
             scores = [clause_scores(t or "", weights, cache)[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1).cast(pa.int64())], names=["score", "toxic"])
@@ -239,7 +220,7 @@ def _fit(tallies: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 def _scores(grammar: Grammar) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, tuple[int, float]] = {}
         for batch in batches:
             found = [clause_scores(t or "", grammar.weights, cache) for t in batch.column(2).to_pylist()]
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, grammar.bias + grammar.slope * math.log1p(s))))) for s, _ in found]
@@ -263,7 +244,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
     at = names.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache: dict[str, tuple[int, float]] = {}
         for batch in batches:
             sums = [clause_scores(t or "", grammar.weights, cache)[0] for t in batch.column(at).to_pylist()]
             keep = [1 / (1 + math.exp(-max(-30.0, min(30.0, grammar.bias + grammar.slope * math.log1p(s))))) < threshold for s in sums]

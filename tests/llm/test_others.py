@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomtext.llm import ann, license_scan, media, mixing, packing, tokens, toxicity
+from loomtext.llm import ann, grammar, license_scan, media, mixing, packing, tokens, toxicity
 from tests.llm.fixtures import KINDS, documents, frame, odd
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -357,6 +357,50 @@ def test_clauses_not_words():
     assert toxicity.clause_scores("idiot. idiot, idiot", WEIGHTS)[1] == 3
 
 
+def test_quotations_and_reports_count():
+    score = lambda t: toxicity.clause_scores(t, WEIGHTS)[0]
+    assert score('Ann wrote "an idiot was here. an idiot" again') == 6.0 and score('an "idiot" was here') == 4.5
+    assert score('"what an idiot," said Ann') < score("what an idiot")
+    assert score("what an idiot, Ann said") == 3.0 and score("what an idiot. Ann said") == 6.0
+    assert score("an idiot like you") == score("you are an idiot") == 7.5
+    assert score("not an idiot\nan idiot") == 9.0 and score("do not kill you") == 0.5
+
+
+def test_composition_equals_each_machine_by_itself():
+    """All machines walked one by one over random classes, their factors multiplied place by place."""
+    draw = np.random.default_rng(21)
+    forwards, backwards = grammar.machines()
+    for _ in range(400):
+        classes = draw.choice(10, int(draw.integers(1, 25)), p=[0.3, 0.2, 0.08, 0.1, 0.08, 0.08, 0.07, 0.05, 0.04, 0.0]).tolist()
+        weights = [round(float(w), 3) if c == grammar.O else 0.0 for c, w in zip(classes, draw.uniform(1, 6, len(classes)))]
+        factor, gives = [1.0] * len(classes), [0] * len(classes)
+        for machine, order in [*[(m, range(len(classes))) for m in forwards], *[(m, range(len(classes) - 1, -1, -1)) for m in backwards]]:
+            state = machine.start
+            for i in order:
+                state, own, given = machine.arcs[state, classes[i]]
+                factor[i] *= own
+                gives[i] = max(gives[i], given)
+        values = [f * (w if g == grammar.OFFENCE else 1.0) if g else 0.0 for f, g, w in zip(factor, gives, weights)]
+        clauses = [[]]
+        for c, v in zip(classes, values):
+            clauses.append([]) if c in (grammar.C, grammar.S) else clauses[-1].append(v)
+        got = grammar.line_scores(classes, weights)
+        assert got[0] == pytest.approx(sum(values)) and got[1] == sum(sum(c) > 0 for c in clauses)
+
+
+def test_short_texts_and_both_labels_teach(spark):
+    docs, labels = [], []
+    for d in range(400):
+        toxic = d % 3 == 0
+        docs.append((d, f"{'zorgel' if toxic else 'friend'} {'abcdefghijklmnop'[d % 16]}{d}", "en", "s", 1))
+        labels.append((d, 1, int(toxic)))
+    schema = "doc_id long, quality int, toxic int"
+    learnt = toxicity.learn(frame(spark, docs), spark.createDataFrame(labels, schema))
+    assert "zorgel" in learnt.weights
+    found = toxicity.score_toxicity(frame(spark, docs), learnt).collect()
+    assert {r.doc_id for r in found if r.predicted} == {d for d, _, t in labels if t}
+
+
 def toxic_rows(n=600):
     rows, labels = [], []
     for d, t, *rest in documents(seed=9, n=n):
