@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.repeats import SHIFT, compared_runs, first_of_each, unzipped
 from loomtext.llm.runtime import KEY
-from loomtext.llm.units import Spans, batch_bytes, byte_units, mix, ranges, word_units, words
+from loomtext.llm.units import Spans, batch_bytes, mix, ranges, word_units, words
 
 #: Different runs of one anchor beyond which windows, not runs, are dealt out.
-CROWD = 2048
+CROWD = 1 << 14
 #: Runs compared at once; a group of them is never cut.
 CHUNK = 4096
 DEALT = f"deal long, {KEY} long, at long, content binary"
@@ -79,13 +79,13 @@ def _sorted(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     that agree to that depth."""
     n, width = matrix.shape
     if not n or not width:
-        return np.arange(n), np.zeros((width + 1, n), np.int64)
+        return np.arange(n), np.zeros((width + 1, n), np.int32)
     whole = np.ascontiguousarray(matrix).view(f"S{width * matrix.itemsize}")[:, 0]
     order = np.argsort(whole, kind="stable")
     differ = matrix[order[1:]] != matrix[order[:-1]]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)  # of neighbours
-    classes = np.zeros((width + 1, n), np.int64)
-    np.cumsum(common[None, :] < np.arange(width + 1)[:, None], axis=1, out=classes[:, 1:])
+    classes = np.zeros((width + 1, n), np.int32)
+    np.cumsum(common[None, :] < np.arange(width + 1)[:, None], axis=1, dtype=np.int32, out=classes[:, 1:])
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return place, classes
@@ -114,7 +114,7 @@ def first_windows(symbols: np.ndarray, bounds: np.ndarray, units: np.ndarray, co
     row = np.repeat(np.arange(len(count)), count)
     own = np.searchsorted(anchors, places)
     before = anchors[own] - places
-    same = before << 56 | left_class[before, left[own]] << 28 | right_class[window - before, right[own]]
+    same = before << 56 | left_class[before, left[own]].astype(np.int64) << 28 | right_class[window - before, right[own]]
     order = np.argsort(same, kind="stable")
     new = np.append(True, same[order[1:]] != same[order[:-1]])
     kept = np.sort(order[new])
@@ -169,7 +169,7 @@ def extended(runs: DataFrame, packed: DataFrame, window: int, gram: int, crowd:
 
 def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, bounds = batch_bytes(texts)
-    return raw + np.uint8(1), bounds, byte_units(raw)  # no byte of UTF-8 is 255
+    return raw + np.uint8(1), bounds, raw  # no byte of UTF-8 is 255
 
 
 def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -31,19 +31,19 @@ from pyspark.sql.types import StructField, StructType
 from loomtext.llm.extend import CROWD, byte_symbols, extended
 from loomtext.llm.repeats import PACKED_ROW, STRETCH, alone_runs, first_runs, long_lists, removed_units, unzipped, zipped
 from loomtext.llm.runtime import KEY, ROW, carried, keyed, unkeyed
-from loomtext.llm.units import batch_bytes, byte_units
+from loomtext.llm.units import batch_bytes
 
 GRAM = 20
 
 
 def _units(texts: pa.Array) -> tuple[Callable, np.ndarray]:
     raw, bounds = batch_bytes(texts)
-    return lambda a, b: byte_units(raw[a:b]), bounds
+    return lambda a, b: raw[a:b], bounds
 
 
 def _cuts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(text, np.uint8)
-    return byte_units(raw), np.arange(len(raw)), np.arange(1, len(raw) + 1)
+    return raw, np.arange(len(raw)), np.arange(1, len(raw) + 1)
 
 
 def _kept(window: int, with_text: bool, carried: list[str]) -> Callable:

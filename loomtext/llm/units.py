@@ -24,13 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(_MUL) + U64(seed))
+_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(_MUL))
 
 
-def _join(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """The hash of two spans that make one of ``size`` units; nothing in it is linear in the units."""
-    return mix(a * U64(0xBF58476D1CE4E5B9) + (b ^ (b >> U64(31))) + U64(size * _MUL % (1 << 64)))
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two spans, one after the other; the shifts between products keep it from being linear in either."""
+    x = a * U64(0xBF58476D1CE4E5B9)
+    x += b
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    return x
 
 
 def salts(n: int, seed: int) -> np.ndarray:
@@ -39,20 +43,25 @@ def salts(n: int, seed: int) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of spans of a sequence of hashed units.
+    """Hashes of spans of a sequence of units: bytes, or words as hashed by ``word_units``.
 
-    Those of 2**k units come from those of two halves; any other length joins its first and its last 2**k units, long spans
-    one BLOCK after the other. So a hash depends on the span alone."""
+    Those of 2**k units come from those of two halves (eight bytes are one number); any other length joins its first and its
+    last 2**k units, long spans one BLOCK after the other. So a hash depends on the span alone."""
 
     BLOCK = 4  # as a power of two
 
     def __init__(self, units: np.ndarray):
-        self.levels = [units]
+        self.units, self.levels = units, {}
+        if units.dtype != np.uint8:
+            self.levels[0] = units
 
     def _level(self, k: int) -> np.ndarray:
-        while len(self.levels) <= k:
-            step, last = 1 << (len(self.levels) - 1), self.levels[-1]
-            self.levels.append(_join(last[:-step], last[step:], 2 * step) if len(last) > step else last[:0])
+        if k not in self.levels:
+            if k in (0, 3) and self.units.dtype == np.uint8:
+                self.levels[k] = mix(eights(self.units)[: max(len(self.units) - 7, 0)] + U64(_MUL)) if k else _BYTES[self.units]
+            else:
+                step, last = 1 << (k - 1), self._level(k - 1)
+                self.levels[k] = _join(last[:-step], last[step:]) if len(last) > step else last[:0]
         return self.levels[k]
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -65,18 +74,23 @@ class Spans:
             own = level[start[mine]]
             for at in range(1 << k, int(size[mine].max()) - (1 << k) + 1, 1 << k):
                 go = np.flatnonzero(size[mine] > at + (1 << k))
-                own[go] = _join(own[go], level[start[mine[go]] + at], 2)
-            found[mine] = _join(own, level[end[mine] - (1 << k)], 1) + size[mine].astype(U64) * U64(_MUL)
+                own[go] = _join(own[go], level[start[mine[go]] + at])
+            found[mine] = _join(own, level[end[mine] - (1 << k)]) + size[mine].astype(U64) * U64(_MUL)
         return mix(found)
 
     def rolling(self, size: int) -> np.ndarray:
         """The hash of each span of ``size`` units, by start."""
         k = size.bit_length() - 1
-        level = self._level(k)
-        n = len(self.levels[0]) - size + 1
+        level, n = self._level(k), len(self.units) - size + 1
         if n <= 0:
             return np.zeros(0, U64)
-        return level[:n] if size == 1 << k else _join(level[:n], level[size - (1 << k) :][:n], size)
+        return level[:n] if size == 1 << k else _join(level[:n], level[size - (1 << k) :][:n])
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end, as one number each."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
 def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +106,6 @@ def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def byte_units(raw: np.ndarray, seed: int = 7) -> np.ndarray:
-    return _byte_table(seed)[raw]
-
-
 def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of bytes outside 0x20 and 0x09-0x0D within a document, and
     the len(bounds) bounds of each document's words."""
@@ -119,9 +129,7 @@ def word_units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     word's length."""
     if not len(starts):
         return np.zeros(0, U64)
-    padded = np.append(raw, np.zeros(8, np.uint8))
-    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from any place on
-    sizes = ends - starts
+    eight, sizes = eights(raw), ends - starts
     found = _lanes(eight, starts, np.minimum(sizes, 8), np.zeros(len(starts), np.int64), seed)
     long = np.flatnonzero(sizes > 8)
     if len(long):
