@@ -49,7 +49,7 @@ def frame(spark, rows, extra: bool = False):
     """The rows as a table; with columns that have the operators' own names, on demand."""
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for name in ("fp", "seed", "content", "at", "runs", "packed", "more", "root", "node", "size", "target", "taken", "shard", "place", "name", "leaf", "quota", "score", "held_out", "word", "count", "a", "b", "u", "v", "kept", "media"):
+        for name in ("fp", "seed", "content", "at", "runs", "packed", "more", "root", "node", "size", "target", "taken", "shard", "place", "name", "leaf", "quota", "score", "held_out", "word", "count", "a", "b", "u", "v", "kept", "media", "__key", "__row", "__taken", "__size", "__text", "__copy", "__others", "__shard", "__place", "__hot", "__k", "copy", "words", "part"):
             df = df.selectExpr("*", f"'x' AS {name}")
     return df
 

@@ -141,21 +141,68 @@ def test_mix_meets_targets(spark, kind):
     assert {(r.source_size, round(r.target, 6)) for r in got} == {(sizes[n], round(targets[n], 6)) for n in names}
 
 
-def test_leaf_quotas_are_exact_and_fair():
-    held = np.array([100, 0, 50, 1000, 3, 7, 400, 40])
-    total = np.zeros(8)
+def water_level(sizes, weights, budget, cap):
+    """Targets by bisection for the level at which sources, filled by weight up to their caps, hold the budget."""
+    low, high = 0.0, 1e15
+    for _ in range(300):
+        level = (low + high) / 2
+        if sum(min(w * level, cap * n) for n, w in zip(sizes, weights)) < budget:
+            low = level
+        else:
+            high = level
+    return [min(w * low, cap * n) for n, w in zip(sizes, weights)]
+
+
+def test_targets_equal_a_water_level():
+    draw = np.random.default_rng(13)
+    for _ in range(200):
+        sizes = draw.integers(0, 1000, int(draw.integers(1, 9))).tolist()
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert mixing.fill_targets(sizes, weights, 1.5 * sum(sizes), 2) == pytest.approx(water_level(sizes, weights, 1.5 * sum(sizes), 2), abs=1e-6)
+
+
+def test_what_is_taken_follows_the_order_of_hashes(spark):
+    """Without the operator's own sums: each source's documents in the order of their places, filled up to the quota."""
+    rows = [(i, " ".join("w" * (1 + i % 7)), "en", f"s{i % 4 if i % 3 else 0}", 1) for i in range(500)]
+    got = {r.doc_id: r for r in mixing.mix(frame(spark, rows)).collect()}
+    sizes, by_source = defaultdict(int), defaultdict(list)
+    for d, t, _, source, _ in rows:
+        sizes[source] += len(t.split())
+        by_source[source].append((d, len(t.split())))
+    names = sorted(sizes)
+    targets = water_level([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2)
+    for name, target in zip(names, targets):
+        taken = sorted(got[d].taken for d, _ in by_source[name])
+        quota = sum(taken)
+        assert abs(quota - target) <= 1
+        passes, rest = divmod(quota, sizes[name])
+        extra = [got[d].taken - passes * n for d, n in by_source[name]]
+        # whole documents of one more pass, none of the others, and one in part at most
+        assert sum(extra) == rest and sum(0 < e < n for e, (_, n) in zip(extra, by_source[name])) <= 1
+        assert all(e in (0, n) or 0 < e < n for e, (_, n) in zip(extra, by_source[name]))
+    assert all(len(r.shards) == -(-r.taken // r.size) for r in got.values())
+
+
+def test_leaves_hold_exact_and_fair_quotas():
+    blocks = np.array([100, 0, 50, 1000, 3, 7, 400, 41])
+    total = np.zeros((8, len(blocks)))
     for seed in range(300):
-        q = mixing.leaf_quotas(held, 640, (seed,))
-        assert q.sum() == 640 and (q >= 0).all() and (q <= held).all()
-        total += q
-    assert np.allclose(total / 300, held * 640 / held.sum(), rtol=0.1, atol=1)
+        leaves = list(mixing.leaf_blocks(blocks, 3, 0, 8, seed))
+        own = np.stack([n for _, _, n in leaves])
+        assert [k for k, _, _ in leaves] == list(range(8)) and (own.sum(axis=0) == blocks).all() and (own >= 0).all()
+        assert (np.stack([s for _, s, _ in leaves]) == np.cumsum(own, axis=0) - own).all() and np.ptp(own.sum(axis=1)) <= 1
+        part = list(mixing.leaf_blocks(blocks, 3, 4, 2, seed))
+        assert all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(part, leaves[4:6]))
+        total += own
+    assert np.allclose(total / 300, blocks / 8, rtol=0.12, atol=1)
 
 
-def test_split_beyond_the_generators_bound():
-    draw = np.random.default_rng(2)
-    for _ in range(20):
-        k = mixing.split(10**13, 3 * 10**13, 10**13, draw)
-        assert 0 <= k <= 10**13 and abs(k - 7.5 * 10**12) < 10**10
+def test_blocks_beyond_the_generators_bound(spark):
+    rows = documents()
+    fine = {r.doc_id: r.taken for r in mixing.mix(frame(spark, rows)).collect()}
+    coarse = mixing.mix(frame(spark, rows), blocks=64, max_slots=2).collect()
+    by_source = lambda taken: {s: sum(taken[d] for d, _, _, t, _ in rows if t == s) for s in (None, "s0", "s1", "s2")}
+    assert by_source({r.doc_id: r.taken for r in coarse}) == by_source(fine)
 
 
 def test_mixed_documents_hold_what_is_taken(spark):
