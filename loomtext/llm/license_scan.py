@@ -1,18 +1,19 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies.
 
-A template is a license notice as a sequence of words (runs of ASCII letters, lower-cased, digits and bytes of
-other characters) and its set of five-word shingles. Texts are cut into overlapping windows, of a size that follows the template
-classes: a window of the class of size s spans 2 s shingles and starts every s shingles, so any passage of
-up to s shingles lies within one window. A window and a template meet if one of ``BANDS`` min-hashes is
-equal. A passage that holds 80 % of a template's shingles has a Jaccard similarity of at least 0.8 / 2.2 with
-its window; the chance that no band meets is below (1 - 0.36) ** 32, below one in a million.
+A template is a license notice or text as a sequence of words (runs of ASCII letters, lower-cased, digits and bytes of
+other characters) and its set of five-word shingles. Texts are cut into blocks of 1, 2, 4, ... shingles, and overlapping windows are
+runs of blocks, one starting at each block. A template of n shingles is sought by blocks of b of them, 2 b < n <= 4 b, in
+windows of ceil(n / b) + 1 blocks, the fewest in which any passage of n shingles lies whole. A window and a template meet if
+one of ``BANDS`` min-hashes is equal. A passage that holds 80 % of a template's shingles has a Jaccard similarity of at
+least 0.8 n / (b (ceil(n / b) + 1) + 0.2 n) with its window, that is 0.36 at worst (n just above 2 b); the chance that no band meets is below (1 - 0.36) ** 32, below one in a million.
 
 A met pair is verified: the share of the template's distinct shingles that stand in the window, exactly,
 must reach 0.8. The best window of each document and template is returned.
 
-Notices of different licenses or versions may differ in a word, so that one passage holds 0.8 of both: rivals.
-What tells a template from its rival are the shingles that only one of them has. A match is dropped if the
-window and its surroundings hold less than half of the template's own such shingles, and less than of the rival's.
+Notices of different licenses or versions may differ in a word, and one may hold another, so that one passage holds 0.8 of both:
+rivals. What tells a template from its rival are the shingles that only one of them has. A match is dropped if the
+window and its surroundings hold less than half of the template's own such shingles, and less than of the rival's; a template that
+has no such shingles gives way to a rival of which 0.8 of what it has more is there.
 
 Defined results: a null or empty text matches nothing, so such a document gives no row; a null doc_id stays
 null; rows with one doc_id are matched each; an empty table gives an empty result; other columns are not read.
@@ -28,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomtext.llm.license_texts import NOTICES
 from loomtext.llm.units import Spans, batch_bytes, mix, pieces, ranges, runs_of, salts, word_units
 
 SHINGLE = 5
 BANDS = 32
 SIMILARITY = 0.8
+#: Words that are hashed at once.
 STRETCH = 1 << 16
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 INSIDE = np.zeros(256, bool)
@@ -40,47 +43,6 @@ INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Short public notices by which texts declare their license: fixed values.
-NOTICES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
-    ),
-    "LGPL-2.1": (
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    ),
-    "LGPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "AGPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
-}
-
-
 def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
@@ -99,9 +61,9 @@ class Words(NamedTuple):
     shingles: np.ndarray  # hashes, by first word; those across documents are not used
 
 
-def hashed_words(raw: np.ndarray, bounds: np.ndarray) -> Words:
-    starts, ends, of_docs = runs_of(INSIDE[raw], bounds)
-    return Words(starts, ends, of_docs, Spans(word_units(LOWER[raw], starts, ends)).rolling(SHINGLE))
+def hashed_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> Words:
+    low, high = (int(starts[0]), int(ends[-1])) if len(starts) else (0, 0)
+    return Words(starts, ends, bounds, Spans(word_units(LOWER[raw[low:high]], starts - low, ends - low)).rolling(SHINGLE))
 
 
 class Templates:
@@ -110,22 +72,25 @@ class Templates:
     def __init__(self, notices: dict[str, tuple[str, ...]] = NOTICES, similarity: float = SIMILARITY):
         self.names: list[str] = []
         self.sets: list[frozenset[tuple[bytes, ...]]] = []
-        classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+        classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}  # by block and blocks a window
         for name, texts in notices.items():
             for text in texts:
                 raw = np.frombuffer(text.encode(), np.uint8)
-                hashes = hashed_words(raw, np.array([0, len(raw)])).shingles
+                hashes = hashed_words(raw, *runs_of(INSIDE[raw], np.array([0, len(raw)]))).shingles
                 if not len(hashes):
                     raise ValueError(f"a notice of {name} has fewer than {SHINGLE} words")
                 self.names.append(name)
                 self.sets.append(frozenset(shingles_of(words_of(text.encode()))))
-                classes.setdefault(1 << (len(hashes) - 1).bit_length(), []).append((len(self.names) - 1, hashes))
+                block = 1 << max((len(hashes) - 1).bit_length() - 2, 0)
+                classes.setdefault((block, -(-len(hashes) // block) + 1), []).append((len(self.names) - 1, hashes))
         self.rivals = [
             [(own - other, other - own) for j, other in enumerate(self.sets) if self.names[j] != self.names[i] and len(own & other) >= similarity * len(own)]
             for i, own in enumerate(self.sets)
         ]
-        self.sizes = [1 << k for k in range(max(classes).bit_length())]
-        self.bands = {size: [self._table(members, salt) for salt in SALTS] for size, members in classes.items()}
+        self.blocks = [1 << k for k in range(max(block for block, _ in classes).bit_length())]
+        self.windows = {block: sorted(m for size, m in classes if size == block) for block in self.blocks}
+        self.reach = max(block * m for block, m in classes) + SHINGLE  # words around a window in which rivals are looked for
+        self.bands = {key: [self._table(members, salt) for salt in SALTS] for key, members in classes.items()}
 
     @staticmethod
     def _table(members: list[tuple[int, np.ndarray]], salt: np.uint64) -> tuple[np.ndarray, dict[int, list[int]]]:
@@ -148,25 +113,30 @@ class Templates:
         doc = np.repeat(np.arange(len(counts)), counts)
         blocks = {1: (own, own + 1, doc)}
         heads = {}
-        for size in self.sizes[1:]:  # two blocks of half the size make one, if both are the document's
+        for size in self.blocks[1:]:  # two blocks of half the size make one, if both are the document's
             start, end, of = blocks[size // 2]
             nth = np.arange(len(of)) - np.searchsorted(of, of)
             heads[size] = np.flatnonzero(nth % 2 == 0)
             blocks[size] = (start[heads[size]], end[np.append(heads[size][1:], len(of)) - 1], of[heads[size]])
         for k, salt in enumerate(SALTS):
             least = mix(shingles ^ salt)
-            for size in self.sizes:
+            for size in self.blocks:
                 if size > 1:
                     least = np.minimum.reduceat(least, heads[size])
-                if size not in self.bands:
-                    continue
                 start, end, of = blocks[size]
-                low, table = self.bands[size][k]
-                joined = least.copy()
-                joined[:-1] = np.where(of[1:] == of[:-1], np.minimum(least[1:], least[:-1]), least[:-1])
-                for i in np.flatnonzero(low[(joined & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
-                    last = i + 1 if i + 1 < len(of) and of[i + 1] == of[i] else i
-                    found.update((int(of[i]), t, int(start[i]), int(end[last])) for t in table.get(int(joined[i]), ()))
+                joined, taken = least, 1
+                for m in self.windows[size]:
+                    for t in range(taken, m):  # min-hashes of t + 1 blocks from those of t
+                        more = joined.copy()
+                        more[:-t] = np.where(of[t:] == of[:-t], np.minimum(joined[:-t], least[t:]), joined[:-t]) if t < len(of) else joined[:-t]
+                        joined = more
+                    taken = m
+                    low, table = self.bands[size, m][k]
+                    for i in np.flatnonzero(low[(joined & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
+                        met = table.get(int(joined[i]), ())
+                        if met:
+                            last = min(i + m - 1, int(np.searchsorted(of, of[i], side="right")) - 1)
+                            found.update((int(of[i]), t, int(start[i]), int(end[last])) for t in met)
         return found
 
 
@@ -176,18 +146,17 @@ def outdone(rivals: list[tuple[frozenset, frozenset]], held: set[tuple[bytes, ..
     def share(own: frozenset) -> float:
         return len(own & held) / len(own) if own else 0.0
 
-    return any(share(own) < 0.5 and share(own) < share(other) for own, other in rivals)
+    return any(share(own) < 0.5 and share(own) < share(other) if own else share(other) >= SIMILARITY for own, other in rivals)
 
 
-def matches(raw: np.ndarray, bounds: np.ndarray, templates: Templates, similarity: float = SIMILARITY, before: bool = False, after: bool = False) -> list[tuple[int, int, float, int]]:
+def matches(raw: np.ndarray, words: Words, templates: Templates, similarity: float = SIMILARITY, before: bool = False, after: bool = False) -> list[tuple[int, int, float, int]]:
     """(document, template, containment, first word of the window): verified on the words themselves. ``before``
     and ``after``: the text goes on there, and windows whose surroundings are cut off are left to the next stretch."""
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    words = hashed_words(raw, bounds)
     for doc, t, start, end in templates.candidates(words):
         end = min(end + SHINGLE - 1, int(words.bounds[doc + 1]))
         low, high = int(words.bounds[doc]), int(words.bounds[doc + 1])
-        first, last = start - templates.sizes[-1], end + templates.sizes[-1]
+        first, last = start - templates.reach, end + templates.reach
         if before and first < low or after and last > high:
             continue
         first, last = max(first, low), min(last, high)
@@ -202,16 +171,18 @@ def matches(raw: np.ndarray, bounds: np.ndarray, templates: Templates, similarit
     return [(doc, t, share, -start) for (doc, t), (share, start) in sorted(best.items())]
 
 
-def _scanned(notices: dict[str, tuple[str, ...]], similarity: float) -> Callable:
+def _scanned(notices: dict[str, tuple[str, ...]], similarity: float, stretch: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(notices, similarity)
-        overlap = 8 * templates.sizes[-1] * 64  # bytes; windows of a cut document are found on either side
+        overlap = 6 * templates.reach  # words; a window of a cut document has its surroundings on either side
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw, bounds = batch_bytes(batch.column(1))
+            starts, ends, of_docs = runs_of(INSIDE[raw], bounds)
             best: dict[tuple[int, str], float] = {}
-            for doc, start, end, inner in pieces(bounds, STRETCH, overlap):
-                for at, t, share, _ in matches(raw[start:end], inner, templates, similarity, start > bounds[doc], len(inner) == 2 and end < bounds[doc + 1]):
+            for doc, a, b, inner in pieces(of_docs, stretch, overlap):
+                words = hashed_words(raw, starts[a:b], ends[a:b], inner)
+                for at, t, share, _ in matches(raw, words, templates, similarity, a > of_docs[doc], len(inner) == 2 and b < of_docs[doc + 1]):
                     key = (doc + at, templates.names[t])
                     best[key] = max(best.get(key, 0.0), share)
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([name for _, name in best], pa.string()), pa.array(list(best.values()), pa.float64())], names=["doc_id", "license", "containment"])
@@ -219,7 +190,7 @@ def _scanned(notices: dict[str, tuple[str, ...]], similarity: float) -> Callable
     return rows
 
 
-def license_scan(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def license_scan(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, similarity: float = SIMILARITY, stretch: int = STRETCH) -> DataFrame:
     """doc_id, license, containment (of the best notice of that license in its best window)."""
     source = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
-    return source.mapInArrow(_scanned(notices or NOTICES, similarity), "doc_id long, license string, containment double")
+    return source.mapInArrow(_scanned(notices or NOTICES, similarity, stretch), "doc_id long, license string, containment double")

@@ -2,12 +2,13 @@
 
 A writer stores each payload losslessly as an 8-bit RGB PNG image, 64 pixels or 192 bytes a line, as a member of
 a ZIP archive, named by a number, the text's bytes and the doc_id; tasks write archives of a bounded size into a folder that the cluster shares. The data source
-lists the archives, cuts them into byte ranges and gives each range to a task, which reads the archive's central
+plans byte ranges of the archives and gives each range to a task, which reads the archive's central
 directory, takes the members that start in its range, reads each at its own offset, checks it, and retries
 it alone if a read fails. Images go to Spark as Arrow batches of a bounded size.
 
-A failed or repeated attempt of a writing task leaves an archive under its own name; the manifest, which the
-committed write returns, names the archives that count, and the source reads no other.
+A failed or repeated attempt of a writing task leaves an archive under its own name; the manifest, a table in the same folder
+that a committed write makes, names the archives that count with their sizes, and the source reads no other. Ranges are
+planned from the manifest's files; a task gets its own range and no list of archives.
 
 Defined results: a null text is empty, and its payload is one line of blanks; a null doc_id stays null; repeated rows
 are members each; an empty table gives an empty result; other columns are not read.
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -85,27 +87,28 @@ class _Archives:
         self.fs, self.folder = _filesystem(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.zip: zipfile.ZipFile | None = None
-        self.out = None
+        self.out: _Sequential | None = None
         self.name = ""
-        self.n = 0
+        self.n = self.members = 0
+        self.written: list[tuple[str, int, int]] = []  # archive, members, bytes
 
-    def add(self, doc_id: int | None, n_bytes: int, data: bytes) -> str:
+    def add(self, doc_id: int | None, n_bytes: int, data: bytes) -> None:
         if self.zip is not None and self.out.tell() > ARCHIVE_BYTES:
             self.close()
         if self.zip is None:
             self.name = f"{uuid.uuid4().hex}.zip"
-            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
-            self.zip = zipfile.ZipFile(_Sequential(self.out), "w", zipfile.ZIP_STORED)
+            self.out = _Sequential(self.fs.open_output_stream(f"{self.folder}/{self.name}"))
+            self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
         # zipfile marks members of an unseekable stream with sizes after the data; the central directory has them
         self.zip.writestr(zipfile.ZipInfo(f"{self.n}_{n_bytes}_{'' if doc_id is None else doc_id}.png"), data)
-        self.n += 1
-        return self.name
+        self.n, self.members = self.n + 1, self.members + 1
 
     def close(self) -> None:
         if self.zip is not None:
             self.zip.close()
-            self.out.close()
-            self.zip = None
+            self.out.out.close()
+            self.written.append((self.name, self.members, self.out.tell()))
+            self.zip, self.members = None, 0
 
 
 class _Sequential(io.RawIOBase):
@@ -131,15 +134,15 @@ class _Sequential(io.RawIOBase):
 
 def _writer(folder: str) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archives, names = _Archives(folder), {}
+        archives = _Archives(folder)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 size = max(1, -(-len(raw) // LINE)) * LINE
-                name = archives.add(doc_id, len(raw), png_of(raw.ljust(size)))
-                names[name] = names.get(name, 0) + 1
+                archives.add(doc_id, len(raw), png_of(raw.ljust(size)))
         archives.close()
-        yield pa.RecordBatch.from_arrays([pa.array(names.keys(), pa.string()), pa.array(names.values(), pa.int64())], names=["archive", "members"])
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in archives.written], kind) for k, kind in enumerate(kinds)], names=["archive", "members", "bytes"])
 
     return rows
 
@@ -147,7 +150,7 @@ def _writer(folder: str) -> Callable:
 def write_archives(docs: DataFrame, folder: str) -> str:
     """Stores each text as a media member of an archive under ``folder``; returns the manifest's path, a
     table with a row for each archive that counts."""
-    docs.selectExpr("CAST(doc_id AS long)", "text").mapInArrow(_writer(f"{folder}/archives"), "archive string, members long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    docs.selectExpr("CAST(doc_id AS long)", "text").mapInArrow(_writer(f"{folder}/archives"), "archive string, members long, bytes long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return f"{folder}/manifest"
 
 
@@ -158,7 +161,7 @@ class ByteRange(InputPartition):
 
 class MediaSource(DataSource):
     """``spark.read.format("media_archives").option("folder", ...)``: the members of ZIP archives. Options:
-    ``names`` (archives that count, separated by commas; all if unset), ``range_bytes``, ``attempts``."""
+    ``manifest`` (the table of the archives that count; all if unset), ``range_bytes``, ``attempts``."""
 
     @classmethod
     def name(cls) -> str:
@@ -174,17 +177,26 @@ class MediaSource(DataSource):
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["folder"]
-        self.names = [x for x in options.get("names", "").split(",") if x]
+        self.manifest = options.get("manifest")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
     def partitions(self) -> list[InputPartition]:
-        """Byte ranges of the archives; only file sizes are asked for here."""
-        fs, folder = _filesystem(self.folder)
-        found = {f.base_name: f.size for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".zip")}
-        ranges = [ByteRange(name, at, min(at + self.range_bytes, found[name])) for name in sorted(self.names or found) for at in range(0, found[name], self.range_bytes)]
+        """Byte ranges of the archives. Their sizes come from the manifest, else from the folder; no archive is opened here."""
+        ranges = [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in self._sizes() for at in range(0, size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
+    def _sizes(self) -> Iterator[tuple[str, int]]:
+        if not self.manifest:
+            fs, folder = _filesystem(self.folder)
+            yield from ((f.base_name, f.size) for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".zip"))
+            return
+        fs, folder = _filesystem(self.manifest)
+        for part in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".parquet")):
+            with fs.open_input_file(part) as file:
+                own = pq.read_table(file, columns=["archive", "bytes"])
+            yield from zip(own.column("archive").to_pylist(), own.column("bytes").to_pylist(), strict=True)
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
@@ -246,10 +258,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: str | None = None)
     spark.dataSource.register(MediaSource)
     reader = spark.read.format("media_archives").option("folder", f"{folder}/archives")
     if manifest:
-        names = [r[0] for r in spark.read.parquet(manifest).select("archive").distinct().collect()]  # a row for 64 MB
-        if not names:
-            return spark.createDataFrame([], FIELDS)
-        reader = reader.option("names", ",".join(names))
+        reader = reader.option("manifest", manifest)
     return reader.load()
 
 

@@ -234,6 +234,57 @@ def test_media_round_trip(spark, kind):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def decoded(png):
+    """The samples of an RGB image, read without the operator's own code."""
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body = 8, b""
+    while at < len(png):
+        size = int.from_bytes(png[at : at + 4], "big")
+        kind, data = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
+        assert int.from_bytes(png[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + data)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            assert data[8:] == bytes([8, 2, 0, 0, 0])
+        body += data if kind == b"IDAT" else b""
+        at += 12 + size
+    raw = zlib.decompress(body)
+    lines = [raw[i * (3 * width + 1) :][: 3 * width + 1] for i in range(height)]
+    assert all(line[0] == 0 for line in lines)
+    return b"".join(line[1:] for line in lines)
+
+
+def plain_feature(samples):
+    n = len(samples)
+    mean = sum(samples) / n
+    edges = [n * i // 64 for i in range(65)]
+    cells = [sum(samples[a:b]) / (b - a) for a, b in zip(edges, edges[1:])]
+    level = sum(cells) / 64
+    bits = sum(1 << (63 - i) for i, c in enumerate(cells) if c > level)
+    return f"{mean:.4f}:{(sum((x - mean) ** 2 for x in samples) / n) ** 0.5:.4f}:{bits:016x}"
+
+
+def test_members_decode_and_describe_as_plain_code_says(spark, tmp_path):
+    rows = documents()
+    manifest = media.write_archives(frame(spark, rows).repartition(3), str(tmp_path))
+    stored = media.read_archives(spark, str(tmp_path), manifest).collect()
+    digests = {r.doc_id: r for r in media.media_features(frame(spark, rows)).collect()}
+    texts = {d: (t or "").encode() for d, t, *_ in rows}
+    for r in stored:
+        samples = decoded(bytes(r.media))
+        assert samples.rstrip(b" ") == texts[r.doc_id].rstrip(b" ") and len(samples) % 192 == 0
+        assert digests[r.doc_id].feature == plain_feature(samples) and digests[r.doc_id].payload_sha256 == hashlib.sha256(samples).hexdigest()
+        assert digests[r.doc_id].media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
+
+
+def test_archives_of_failed_attempts_are_not_read(spark, tmp_path):
+    manifest = media.write_archives(frame(spark, documents()).repartition(3), str(tmp_path))
+    media.write_archives(frame(spark, documents()), str(tmp_path / "other"))
+    for path in (tmp_path / "other" / "archives").glob("*.zip"):
+        path.rename(tmp_path / "archives" / path.name)
+    assert media.read_archives(spark, str(tmp_path), manifest).count() == len(documents())
+    assert media.read_archives(spark, str(tmp_path)).count() == 2 * len(documents())
+
+
 def test_byte_ranges_cover_members_and_reads_are_retried(spark, tmp_path):
     df = frame(spark, documents())
     media.write_archives(df.repartition(3), str(tmp_path))
