@@ -1,7 +1,7 @@
-"""Document-level cohesion indices over annotated documents, as expressions over one row's arrays.
+"""Document-level cohesion indices: families computed in one pass (``indices.py``), and what other operators need as
+expressions over annotated tokens: word classes as SQL conditions, segments, n-grams.
 
-Nothing here shuffles: a document's tokens are one row. Each family is a function of its own, so that a plan
-holds only the families asked for.
+Nothing here shuffles but the n-gram counts. Documents come annotated (a ``doc`` column) or as ``text``.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import connective_lists as lists
+from loomtext.operators import indices as I
 
 NOUNS, VERBS, ADJECTIVES, ADVERBS, PRONOUNS = "('NN','NNS','NNP','NNPS')", "('VB','VBD','VBG','VBN','VBP','VBZ','MD')", "('JJ','JJR','JJS')", "('RB','RBR','RBS')", "('PRP','PRP$')"
 DEMONSTRATIVE = "(" + ", ".join(f"'{w}'" for w in lists.DEMONSTRATIVES) + ")"
 UNATTENDED = f"(t.raw IN {DEMONSTRATIVE} AND t.dep <> 'det')"
-CLASSES = ("all", "cw", "fw", "noun", "verb", "adj", "adv", "pronoun", "argument")
+CLASSES, CONNECTIVES = I.CLASSES, I.CONNECTIVES
 
 
 def class_conditions(adjectives: list[str] | None = None, t: str = "t") -> dict[str, str]:
@@ -50,93 +51,18 @@ def ratio(a: str, b: str) -> str:
     return f"coalesce(try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 0D)"
 
 
-def ttr_sql(array: str) -> str:
-    return ratio(f"size(array_distinct({array}))", f"size({array})")
-
-
-def mattr_sql(array: str, window: int = 50) -> str:
-    """Mean type-token ratio of all windows; of the whole where there are fewer words than window + 1."""
-    each = f"aggregate(sequence(1, size({array}) - {window - 1}), 0D, (a, i) -> a + size(array_distinct(slice({array}, i, {window}))) / {window}D)"
-    return f"CASE WHEN size({array}) <= {window} THEN {ttr_sql(array)} ELSE {each} / (size({array}) - {window - 1}) END"
-
-
 def ngrams_sql(array: str, n: int) -> str:
     return f"CASE WHEN size({array}) < {n} THEN CAST(array() AS array<string>) ELSE transform(sequence(1, size({array}) - {n - 1}), i -> array_join(slice({array}, i, {n}), ' ')) END"
 
 
 def diversity(docs: DataFrame, adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """The 13 type-token and density indices and the two n-gram ratios."""
-    c = class_conditions(adjectives)
-    names = {"lemma": c["all"], "content": c["cw"], "function": c["fw"], "noun": c["noun"], "verb": c["verb"], "adj": c["adj"], "adv": c["adv"], "prp": c["pronoun"], "argument": c["argument"]}
-    listed = docs.select(key, *[F.expr(lemmas("tokens", cond)).alias(f"l_{n}") for n, cond in names.items()])
-    listed = listed.withColumn("l_bi", F.expr(ngrams_sql("l_lemma", 2))).withColumn("l_tri", F.expr(ngrams_sql("l_lemma", 3)))
-    out = [F.expr(ttr_sql(f"l_{n}")).alias(f"{n}_ttr") for n in names]
-    out += [F.expr(mattr_sql(f"l_{n}")).alias(f"{n}_mattr") for n in ("lemma", "function")]
-    out += [F.expr(ratio("size(l_content)", "size(l_lemma)")).alias("lexical_density_tokens"), F.expr(ratio("size(array_distinct(l_content))", "size(array_distinct(l_lemma))")).alias("lexical_density_types")]
-    out += [F.expr(ttr_sql("l_bi")).alias("bigram_lemma_ttr"), F.expr(ttr_sql("l_tri")).alias("trigram_lemma_ttr")]
-    return listed.select(key, *out)
+    return I.indices(docs, {"diversity": I.diversity}, adjectives, key)
 
 
 def overlap(docs: DataFrame, levels: tuple[str, ...] = ("sent", "para"), classes: tuple[str, ...] = CLASSES, adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Adjacent overlap: six indices for each level and class (108 for all)."""
-    conditions = class_conditions(adjectives)
-    sets = docs.select(key, *[F.expr(f"transform({level}, s -> array_distinct({lemmas('s', conditions[c])}))").alias(f"d_{c}_{level}") for level in levels for c in classes])
-    zero = "named_struct('o1', 0L, 'b1', 0L, 'n1', 0L, 'o2', 0L, 'b2', 0L, 'n2', 0L)"
-    folded = []
-    for level in levels:
-        for c in classes:
-            d = f"d_{c}_{level}"
-            one = f"size(array_intersect({d}[i], {d}[i + 1]))"
-            two = f"CASE WHEN i <= size({d}) - 3 THEN size(array_intersect({d}[i], array_union({d}[i + 1], get({d}, i + 2)))) ELSE 0 END"
-            step = f"named_struct('o1', a.o1 + {one}, 'b1', a.b1 + if({one} > 0, 1, 0), 'n1', a.n1 + size({d}[i]), 'o2', a.o2 + {two}, 'b2', a.b2 + if({two} > 0, 1, 0), 'n2', a.n2 + if(i <= size({d}) - 3, size({d}[i]), 0))"
-            folded.append(F.expr(f"CASE WHEN size({d}) < 2 THEN {zero} ELSE aggregate(sequence(0, size({d}) - 2), {zero}, (a, i) -> {step}) END").alias(f"f_{c}_{level}"))
-    totals = sets.select(key, *[F.size(f"d_{classes[0]}_{level}").alias(f"n_{level}") for level in levels], *folded)
-    out = []
-    for level in levels:
-        for c in classes:
-            f, n, name = f"f_{c}_{level}", f"n_{level}", f"{c}_{level}"
-            for o, b, d, less, prefix in (("o1", "b1", "n1", 1, ""), ("o2", "b2", "n2", 2, "2_")):
-                out += [
-                    F.expr(ratio(f"{f}.{o}", f"{f}.{d}")).alias(f"adjacent_overlap_{prefix}{name}"),
-                    F.expr(ratio(f"{f}.{o}", f"greatest({n} - {less}, 0)")).alias(f"adjacent_overlap_{prefix}{name}_div_seg"),
-                    F.expr(ratio(f"{f}.{b}", f"greatest({n} - {less}, 0)")).alias(f"adjacent_overlap_binary_{prefix}{name}"),
-                ]
-    return totals.select(key, *out)
-
-
-def phrase_count_sql(text: str, phrases: list[str]) -> str:
-    """Occurrences of the phrases in a text of words between single spaces; those of one phrase do not overlap."""
-    parts = []
-    for p in phrases:
-        quoted = " " + p.replace("'", "''") + " "
-        parts.append(f"CAST((length({text}) - length(replace({text}, '{quoted}', ''))) / {len(p) + 2} AS BIGINT)")
-    return "(" + " + ".join(parts) + ")"
-
-
-#: index: (phrases, words that count alone, words that count as a mark)
-CONNECTIVES: dict[str, tuple[list[str], list[str], list[str]]] = {
-    "basic_connectives": (lists.BASIC_CONNECTIVES, [], []),
-    "conjunctions": (lists.CONJUNCTIONS, [], []),
-    "disjunctions": (lists.DISJUNCTIONS, [], []),
-    "coordinating_conjuncts": (lists.COORDINATING_CONJUNCTS, [], []),
-    "addition": (lists.ADDITION, [], []),
-    "order": (lists.ORDER_NGRAM, lists.ORDER, lists.ORDER_CAVEAT),
-    "reason_and_purpose": (lists.REASON_AND_PURPOSE_NGRAM, lists.REASON_AND_PURPOSE, lists.REASON_AND_PURPOSE_CAVEAT),
-    "all_causal": (lists.ALL_CAUSAL, [], []),
-    "positive_causal": (lists.POSITIVE_CAUSAL, [], []),
-    "opposition": (lists.OPPOSITION, [], []),
-    "determiners": (lists.DETERMINERS, [], []),
-    "all_demonstratives": (lists.DEMONSTRATIVES, [], []),
-    "all_additive": (lists.ALL_ADDITIVE, [], []),
-    "all_logical": (lists.ALL_LOGICAL_NGRAM, lists.ALL_LOGICAL, lists.ALL_LOGICAL_CAVEAT),
-    "positive_logical": (lists.POSITIVE_LOGICAL_NGRAM, lists.POSITIVE_LOGICAL, lists.POSITIVE_LOGICAL_CAVEAT),
-    "negative_logical": (lists.NEGATIVE_LOGICAL, [], []),
-    "all_temporal": (lists.ALL_TEMPORAL_NGRAM, lists.ALL_TEMPORAL, lists.ALL_TEMPORAL_CAVEAT),
-    "positive_intentional": (lists.POSITIVE_INTENTIONAL_NGRAM, lists.POSITIVE_INTENTIONAL, lists.POSITIVE_INTENTIONAL_CAVEAT),
-    "all_positive": (lists.ALL_POSITIVE_NGRAM, lists.ALL_POSITIVE, lists.ALL_POSITIVE_CAVEAT),
-    "all_negative": (lists.ALL_NEGATIVE, [], []),
-    "all_connective": (lists.ALL_CONNECTIVE_NGRAM, lists.ALL_CONNECTIVE, lists.ALL_CONNECTIVE_CAVEAT),
-}
+    return I.indices(docs, {"overlap": lambda flat, own: I.overlap(flat, own, levels, classes)}, adjectives, key)
 
 
 def _quoted(words: list[str]) -> str:
@@ -158,48 +84,26 @@ def token_conditions() -> dict[str, str]:
 
 def connectives(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The 25 connective densities: phrases over the document's words, single words, and words that must be a mark."""
-    tokens = token_conditions()
-    base = docs.select(key, F.expr("concat(' ', array_join(transform(tokens, t -> t.raw), ' '), ' ')").alias("s"), "tokens", F.size("tokens").alias("n"))
-    count = {name: f"size(filter(tokens, t -> {cond}))" for name, cond in tokens.items()}
-    out = []
-    for name in ("lexical_subordinators", "attended_demonstratives", "unattended_demonstratives"):
-        out.append(F.expr(ratio(count[name], "n")).alias(name))
-    out.append(F.expr(ratio(f"({count['sentence_linking']} + {count['sentence_linking_marked']})", "n")).alias("sentence_linking"))
-    for name, (phrases, alone, _) in CONNECTIVES.items():
-        total = phrase_count_sql("s", phrases) + (f" + {count[name]} + {count[name + '_marked']}" if alone else "")
-        out.append(F.expr(ratio(f"({total})", "n")).alias(name))
-    return base.select(key, *out)
+    return I.indices(docs, {"connectives": I.FAMILIES["connectives"]}, key=key)
 
 
 def phrases_per_sentence(docs: DataFrame, named: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
     """For each named list its phrases within sentences, by words of the document."""
-    base = docs.select(key, F.expr("transform(sent, s -> concat(' ', array_join(transform(s, t -> t.raw), ' '), ' '))").alias("ss"), F.size("tokens").alias("n"))
-    return base.select(key, *[F.expr(ratio(f"aggregate(ss, 0L, (a, s) -> a + {phrase_count_sql('s', phrases)})", "n")).alias(name) for name, phrases in named.items()])
+    return I.indices(docs, {"phrases": lambda flat, own: {name: I.ratio(n, flat.sizes) for name, n in I.phrase_counts(flat, named, "sent").items()}}, key=key)
 
 
 def givenness(docs: DataFrame, adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Pronoun density and ratio (unattended demonstratives count twice) and repeated content words."""
-    c = class_conditions(adjectives)
-    base = docs.select(
-        key,
-        F.size("tokens").alias("n"),
-        F.expr(f"size(filter(tokens, t -> {c['noun']}))").alias("nouns"),
-        F.expr(f"array_sort({lemmas('tokens', c['cw'])})").alias("content"),
-        F.expr(f"array_sort({lemmas('tokens', c['pronoun'])})").alias("prp"),
-        F.expr(f"array_sort({lemmas('tokens', UNATTENDED, 'raw')})").alias("unattended"),
-    )
-    counted = base.select(key, "n", "nouns", *[F.expr(f"size({a})").alias(f"n_{a}") for a in ("prp", "unattended")], *[F.expr(f"size(filter({a}, (w, i) -> get({a}, i - 1) = w OR get({a}, i + 1) = w))").alias(f"r_{a}") for a in ("content", "prp", "unattended")])
-    return counted.select(
-        key,
-        F.expr(ratio("(n_prp + n_unattended)", "n")).alias("pronoun_density"),
-        F.expr(ratio("(n_prp + n_unattended)", "nouns")).alias("pronoun_noun_ratio"),
-        F.expr(ratio("r_content", "n")).alias("repeated_content_lemmas"),
-        F.expr(ratio("(r_content + r_prp + r_unattended)", "n")).alias("repeated_content_and_pronoun_lemmas"),
-    )
+    return I.indices(docs, {"givenness": I.givenness}, adjectives, key)
+
+
+def single_givenness(docs: DataFrame, adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+    """The shares of words that stand once, and more than once, in a document."""
+    return I.indices(docs, {"single": I.single_givenness}, adjectives, key)
 
 
 def basic_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.select(key, F.size("tokens").cast("long").alias("nwords"), F.size("sent").cast("long").alias("nsents"), F.size("para").cast("long").alias("nparas"), F.expr("CAST(size(array_distinct(transform(tokens, t -> t.raw))) AS BIGINT)").alias("ntypes"))
+    return I.indices(docs, {"counts": I.FAMILIES["counts"]}, key=key)
 
 
 def masked_ngrams(docs: DataFrame, n: int, condition: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -210,9 +114,9 @@ def masked_ngrams(docs: DataFrame, n: int, condition: str | None = None, key: st
 
 
 def all_families(docs: DataFrame, families: tuple[str, ...] = ("diversity", "overlap", "connectives", "givenness"), adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
-    """One wide row a document with the families asked for. A text of fewer than two words gets a status and no indices."""
-    known = {"diversity": lambda d: diversity(d, adjectives, key), "overlap": lambda d: overlap(d, adjectives=adjectives, key=key), "connectives": lambda d: connectives(d, key), "givenness": lambda d: givenness(d, adjectives, key)}
-    out = docs.select(key, F.when(F.size("tokens") > 1, "ok").otherwise("text too short").alias("status"))
-    for family in families:
-        out = out.join(known[family](docs.where(F.size("tokens") > 1)), key, "left")
-    return out
+    """One wide row a document with the families asked for, in one pass. A text of fewer than two words gets a status and no
+    indices."""
+    found = I.indices(docs, {"counts": I.FAMILIES["counts"], **{f: I.FAMILIES[f] for f in families}}, adjectives, key)
+    long = F.col("nwords") > 1
+    names = [c for c in found.columns if c not in (key, *I.COUNTS)]
+    return found.select(key, F.when(long, "ok").otherwise("text too short").alias("status"), *[F.when(long, F.col(c)).alias(c) for c in names])

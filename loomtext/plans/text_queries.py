@@ -11,7 +11,7 @@ from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import select as S
 from loomtext.operators import similarity as V
-from loomtext.plans.registry import query, rounded
+from loomtext.plans.registry import ORACLES, query, rounded
 
 #: Adjectives of the test lexicon: syllables of the fixture's invented prose.
 ADJECTIVES = ["er", "on", "en", "and", "the", "thon", "hand"]
@@ -21,30 +21,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("lang = 'en'").select("doc_id", "text")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "text")
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.with_segments(A.annotate(english(spark, sf_dir)))
+    return M.with_segments(A.annotate(texts(spark, sf_dir)))
 
 
 # --- shared SQL -------------------------------------------------------------------------------------------------
 
 PARAS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, chr(65279), '', 'g'), '[\t' || chr(160) || ']', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\n(?: ?\n)+', chr(10), 'g'), '\A\n', ''), '\n\z', '')"""
 TOKENS = rf"""
-paras AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS para FROM (SELECT doc_id, string_split({PARAS.format(t='lower(text)')}, chr(10)) AS ps FROM documents WHERE lang = 'en')),
+paras AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS para FROM (SELECT doc_id, string_split({PARAS.format(t='lower(text)')}, chr(10)) AS ps FROM documents)),
 sents AS (SELECT doc_id, para, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (SELECT doc_id, para, list_filter(list_transform(regexp_extract_all(p, '[^.!?]+'), lambda x: regexp_extract_all(x, '[\p{{L}}\p{{N}}]+')), lambda y: len(y) > 0) AS ss FROM paras)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, k) - 1 AS sent FROM sents),
 words AS (SELECT doc_id, para, sent, unnest(s) AS raw, generate_subscripts(s, 1) - 1 AS place, len(s) AS size FROM numbered),
 toks AS (SELECT doc_id, para, sent, place, raw, {A.lemma_sql('raw')} AS lemma, {A.tag_sql('raw').replace('regexp_like', 'regexp_matches')} AS tag, {A.pos_sql('raw')} AS pos, {A.dep_sql('raw', 'place', 'size')} AS dep FROM words),
-docs AS (SELECT doc_id, count(*)::DOUBLE AS n FROM toks GROUP BY doc_id)"""
+docs AS (SELECT doc_id, count(raw)::DOUBLE AS n FROM documents LEFT JOIN toks USING (doc_id) GROUP BY doc_id)"""
 
 
 def with_tokens(sql: str) -> str:
     return f"WITH {TOKENS}\n{sql}"
 
 
+def zeros(names: list[str], sql: str) -> str:
+    """The query's rows, with zeros for documents that it does not give: those without words."""
+    return f"SELECT d.doc_id, {', '.join(f'coalesce("{n}", 0) AS "{n}"' for n in names)} FROM documents AS d LEFT JOIN ({sql}) AS found USING (doc_id)"
+
+
 def div(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) = 0 THEN 0 ELSE ({a})::DOUBLE / ({b}) END"
 
@@ -173,54 +178,65 @@ def _ngram(n: int) -> str:
 DIVERSITY = ", ".join(f"{_ttr(C[c])} AS {n}_ttr" for n, c in NAMES.items())
 
 
+DIVERSE = [*[f"{n}_ttr" for n in NAMES], "lexical_density_tokens", "lexical_density_types"]
+
+
 @query(
-    with_tokens(f"""SELECT doc_id, {', '.join(f'round({n}_ttr, 6) AS {n}_ttr' for n in NAMES)}, round(lexical_density_tokens, 6) AS lexical_density_tokens, round(lexical_density_types, 6) AS lexical_density_types
-FROM (SELECT doc_id, {DIVERSITY}, {div(f"count(*) FILTER (WHERE {C['cw']})", "count(*)")} AS lexical_density_tokens, {div(f"count(DISTINCT lemma) FILTER (WHERE {C['cw']})", "count(DISTINCT lemma)")} AS lexical_density_types FROM toks AS t GROUP BY doc_id)""")
+    zeros(
+        DIVERSE,
+        with_tokens(f"""SELECT doc_id, {', '.join(f'round({n}, 6) AS {n}' for n in DIVERSE)}
+FROM (SELECT doc_id, {DIVERSITY}, {div(f"count(*) FILTER (WHERE {C['cw']})", "count(*)")} AS lexical_density_tokens, {div(f"count(DISTINCT lemma) FILTER (WHERE {C['cw']})", "count(DISTINCT lemma)")} AS lexical_density_types FROM toks AS t GROUP BY doc_id)"""),
+    )
 )
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.diversity(annotated(spark, sf_dir), ADJECTIVES)
-    return rounded(found.select("doc_id", *[f"{n}_ttr" for n in NAMES], "lexical_density_tokens", "lexical_density_types").where("lemma_ttr > 0"))
+    return rounded(M.diversity(texts(spark, sf_dir), ADJECTIVES).select("doc_id", *DIVERSE))
+
+
+MOVING = ["lemma_mattr", "function_mattr", "bigram_lemma_ttr", "trigram_lemma_ttr"]
 
 
 @query(
-    with_tokens(f"""SELECT doc_id, round({_mattr('l')}, 6) AS lemma_mattr, round({_mattr('f')}, 6) AS function_mattr, round({div(f'len(list_distinct({_ngram(2)}))', f'len({_ngram(2)})')}, 6) AS bigram_lemma_ttr, round({div(f'len(list_distinct({_ngram(3)}))', f'len({_ngram(3)})')}, 6) AS trigram_lemma_ttr
-FROM (SELECT doc_id, list(lemma ORDER BY sent, place) AS l, coalesce(list(lemma ORDER BY sent, place) FILTER (WHERE {C['fw']}), []) AS f FROM toks AS t GROUP BY doc_id)""")
+    zeros(
+        MOVING,
+        with_tokens(f"""SELECT doc_id, round({_mattr('l')}, 6) AS lemma_mattr, round({_mattr('f')}, 6) AS function_mattr, round({div(f'len(list_distinct({_ngram(2)}))', f'len({_ngram(2)})')}, 6) AS bigram_lemma_ttr, round({div(f'len(list_distinct({_ngram(3)}))', f'len({_ngram(3)})')}, 6) AS trigram_lemma_ttr
+FROM (SELECT doc_id, list(lemma ORDER BY sent, place) AS l, coalesce(list(lemma ORDER BY sent, place) FILTER (WHERE {C['fw']}), []) AS f FROM toks AS t GROUP BY doc_id)"""),
+    )
 )
 def mattr_and_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.diversity(annotated(spark, sf_dir), ADJECTIVES)
-    return rounded(found.where("lemma_ttr > 0").select("doc_id", "lemma_mattr", "function_mattr", "bigram_lemma_ttr", "trigram_lemma_ttr"))
+    return rounded(M.diversity(texts(spark, sf_dir), ADJECTIVES).select("doc_id", *MOVING))
 
 
 def _overlap_sql(level: str) -> str:
     seg = "sent" if level == "sent" else "para"
     n = "SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id" if level == "sent" else "SELECT doc_id, count(*) AS n FROM paras GROUP BY doc_id"
     classes = " UNION ALL ".join(f"SELECT DISTINCT doc_id, {seg} AS seg, '{c}' AS class, lemma FROM toks AS t WHERE {C[c]}" for c in M.CLASSES)
-    pivot = []
+    pivot, names = [], []
     for c in M.CLASSES:
         for w in ("", "2_"):
             o, b, d, less = ("o2", "b2", "n2", 2) if w else ("o1", "b1", "n1", 1)
+            names += [f"adjacent_overlap_{w}{c}_{level}", f"adjacent_overlap_{w}{c}_{level}_div_seg", f"adjacent_overlap_binary_{w}{c}_{level}"]
             pick = lambda x, c=c: f"coalesce(max({x}) FILTER (WHERE class = '{c}'), 0)"
             pivot += [
                 f"round({div(pick(o), pick(d))}, 6) AS adjacent_overlap_{w}{c}_{level}",
                 f"round({div(pick(o), f'greatest(any_value(n) - {less}, 0)')}, 6) AS adjacent_overlap_{w}{c}_{level}_div_seg",
                 f"round({div(pick(b), f'greatest(any_value(n) - {less}, 0)')}, 6) AS adjacent_overlap_binary_{w}{c}_{level}",
             ]
-    return with_tokens(f"""SELECT doc_id, {', '.join(pivot)} FROM (
+    return zeros(names, with_tokens(f"""SELECT doc_id, {', '.join(pivot)} FROM (
 SELECT c.doc_id, c.n, s.class, s.n1, s.n2, s.o1, s.o2, s.b1, s.b2 FROM ({n}) AS c LEFT JOIN (
   SELECT doc_id, class, sum(n1) AS n1, sum(n2) AS n2, sum(o1) AS o1, sum(o2) AS o2, sum((o1 > 0)::INT) AS b1, sum((o2 > 0)::INT) AS b2 FROM (
     SELECT a.doc_id, a.class, a.seg, count(DISTINCT a.lemma) AS n1, CASE WHEN a.seg <= any_value(n) - 3 THEN count(DISTINCT a.lemma) ELSE 0 END AS n2, count(DISTINCT CASE WHEN b.seg = a.seg + 1 THEN a.lemma END) AS o1, CASE WHEN a.seg <= any_value(n) - 3 THEN count(DISTINCT b.lemma) ELSE 0 END AS o2
     FROM ({classes}) AS a JOIN ({n}) AS k ON k.doc_id = a.doc_id LEFT JOIN ({classes}) AS b ON a.doc_id = b.doc_id AND a.class = b.class AND a.lemma = b.lemma AND b.seg IN (a.seg + 1, a.seg + 2)
-    WHERE a.seg <= k.n - 2 GROUP BY a.doc_id, a.class, a.seg) GROUP BY doc_id, class) AS s ON c.doc_id = s.doc_id) WHERE doc_id IN (SELECT doc_id FROM docs) GROUP BY doc_id""")
+    WHERE a.seg <= k.n - 2 GROUP BY a.doc_id, a.class, a.seg) GROUP BY doc_id, class) AS s ON c.doc_id = s.doc_id) GROUP BY doc_id"""))
 
 
 @query(_overlap_sql("sent"))
 def overlap_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.overlap(annotated(spark, sf_dir).where(F.size("tokens") > 0), ("sent",), adjectives=ADJECTIVES))
+    return rounded(M.overlap(texts(spark, sf_dir), ("sent",), adjectives=ADJECTIVES))
 
 
 @query(_overlap_sql("para"))
 def overlap_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.overlap(annotated(spark, sf_dir).where(F.size("tokens") > 0), ("para",), adjectives=ADJECTIVES))
+    return rounded(M.overlap(texts(spark, sf_dir), ("para",), adjectives=ADJECTIVES))
 
 
 def _connectives_sql() -> str:
@@ -231,20 +247,21 @@ def _connectives_sql() -> str:
     for name, (phrases, alone, _) in M.CONNECTIVES.items():
         count = " + ".join(f"len(string_split(s, ' {p} ')) - 1" for p in phrases)
         out.append(f"round(({count}{f' + c_{name} + c_{name}_marked' if alone else ''}) / n, 6) AS {name}")
-    return with_tokens(f"SELECT doc_id, {', '.join(out)} FROM (SELECT doc_id, count(*)::DOUBLE AS n, ' ' || string_agg(raw, ' ' ORDER BY sent, place) || ' ' AS s, {agg} FROM toks AS t GROUP BY doc_id)")
+    names = [*[n for n in counts if not n.endswith("_marked") and n not in M.CONNECTIVES], *M.CONNECTIVES]
+    return zeros(names, with_tokens(f"SELECT doc_id, {', '.join(out)} FROM (SELECT doc_id, count(*)::DOUBLE AS n, ' ' || string_agg(raw, ' ' ORDER BY sent, place) || ' ' AS s, {agg} FROM toks AS t GROUP BY doc_id)"))
 
 
 @query(_connectives_sql())
 def connectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.connectives(annotated(spark, sf_dir).where(F.size("tokens") > 0)))
+    return rounded(M.connectives(texts(spark, sf_dir)))
 
 
 PHRASES = {"of_the": ["of the", "in the"], "and_the": ["and the", "to the", "the"]}
 
 
-@query(with_tokens("SELECT doc_id, " + ", ".join(f"round(sum({' + '.join(f'''len(string_split(s, ' {p} ')) - 1''' for p in ps)}) / sum(k), 6) AS {n}" for n, ps in PHRASES.items()) + " FROM (SELECT doc_id, sent, count(*)::DOUBLE AS k, ' ' || string_agg(raw, ' ' ORDER BY place) || ' ' AS s FROM toks GROUP BY doc_id, sent) GROUP BY doc_id"))
+@query(zeros(list(PHRASES), with_tokens("SELECT doc_id, " + ", ".join(f"round(sum({' + '.join(f'''len(string_split(s, ' {p} ')) - 1''' for p in ps)}) / sum(k), 6) AS {n}" for n, ps in PHRASES.items()) + " FROM (SELECT doc_id, sent, count(*)::DOUBLE AS k, ' ' || string_agg(raw, ' ' ORDER BY place) || ' ' AS s FROM toks GROUP BY doc_id, sent) GROUP BY doc_id")))
 def phrases_per_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.phrases_per_sentence(annotated(spark, sf_dir).where(F.size("tokens") > 0), PHRASES))
+    return rounded(M.phrases_per_sentence(texts(spark, sf_dir), PHRASES))
 
 
 def _repeat(cond: str, field: str) -> str:
@@ -252,16 +269,24 @@ def _repeat(cond: str, field: str) -> str:
 
 
 @query(
-    with_tokens(f"""SELECT docs.doc_id, round((coalesce(p.n, 0) + coalesce(u.n, 0)) / docs.n, 6) AS pronoun_density, round({div('coalesce(p.n, 0) + coalesce(u.n, 0)', 'coalesce(x.n, 0)')}, 6) AS pronoun_noun_ratio, round(coalesce(c.r, 0) / docs.n, 6) AS repeated_content_lemmas, round((coalesce(c.r, 0) + coalesce(p.r, 0) + coalesce(u.r, 0)) / docs.n, 6) AS repeated_content_and_pronoun_lemmas
+    with_tokens(f"""SELECT docs.doc_id, round({div('coalesce(p.n, 0) + coalesce(u.n, 0)', 'docs.n')}, 6) AS pronoun_density, round({div('coalesce(p.n, 0) + coalesce(u.n, 0)', 'coalesce(x.n, 0)')}, 6) AS pronoun_noun_ratio, round({div('coalesce(c.r, 0)', 'docs.n')}, 6) AS repeated_content_lemmas, round({div('coalesce(c.r, 0) + coalesce(p.r, 0) + coalesce(u.r, 0)', 'docs.n')}, 6) AS repeated_content_and_pronoun_lemmas
 FROM docs LEFT JOIN ({_repeat(C['cw'], 'lemma')}) AS c USING (doc_id) LEFT JOIN ({_repeat(C['pronoun'], 'lemma')}) AS p USING (doc_id) LEFT JOIN ({_repeat(M.UNATTENDED, 'raw')}) AS u USING (doc_id) LEFT JOIN ({_repeat(C['noun'], 'lemma')}) AS x USING (doc_id)""")
 )
 def givenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.givenness(annotated(spark, sf_dir).where(F.size("tokens") > 0), ADJECTIVES))
+    return rounded(M.givenness(texts(spark, sf_dir), ADJECTIVES))
+
 
+SINGLE = {"words": ("true", "raw"), "lemmas": ("true", "lemma"), "content_lemmas": (C["cw"], "lemma")}
 
-@query(with_tokens("SELECT docs.doc_id, n::BIGINT AS nwords, nsents, nparas, ntypes FROM docs JOIN (SELECT doc_id, count(*)::BIGINT AS nsents FROM sents GROUP BY doc_id) USING (doc_id) JOIN (SELECT doc_id, count(*)::BIGINT AS nparas FROM paras GROUP BY doc_id) USING (doc_id) JOIN (SELECT doc_id, count(DISTINCT raw)::BIGINT AS ntypes FROM toks GROUP BY doc_id) USING (doc_id)"))
+
+@query(with_tokens(f"""SELECT docs.doc_id, {', '.join(f"round({div(f'coalesce({n}.r, 0)', 'docs.n')}, 6) AS repeated_{n}_givenness, round({div(f'coalesce({n}.n - {n}.r, 0)', 'docs.n')}, 6) AS single_{n}_givenness" for n in SINGLE)} FROM docs {' '.join(f'LEFT JOIN ({_repeat(*own)}) AS {n} USING (doc_id)' for n, own in SINGLE.items())}"""))
+def single_givenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.single_givenness(texts(spark, sf_dir), ADJECTIVES))
+
+
+@query(zeros(["nwords", "nsents", "nparas", "ntypes"], with_tokens("SELECT docs.doc_id, n::BIGINT AS nwords, nsents, nparas, ntypes FROM docs LEFT JOIN (SELECT doc_id, count(*)::BIGINT AS nsents FROM sents GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*)::BIGINT AS nparas FROM paras GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT raw)::BIGINT AS ntypes FROM toks GROUP BY doc_id) USING (doc_id)")))
 def basic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.basic_counts(annotated(spark, sf_dir).where(F.size("tokens") > 0))
+    return M.basic_counts(texts(spark, sf_dir))
 
 
 @query(with_tokens("SELECT doc_id, ngram, count(*)::BIGINT AS count FROM (SELECT doc_id, m || ' ' || lead(m) OVER (PARTITION BY doc_id, sent ORDER BY place) AS ngram FROM (SELECT *, CASE WHEN tag IN " + M.NOUNS + " THEN lemma ELSE 'x' END AS m FROM toks)) WHERE ngram IS NOT NULL GROUP BY doc_id, ngram"))
@@ -271,7 +296,7 @@ def masked_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tokens("SELECT doc_id, para::BIGINT AS para, sent::BIGINT AS sent, place::BIGINT AS place, raw, lemma, tag, pos, dep FROM (SELECT *, sent - min(sent) OVER (PARTITION BY doc_id, para) AS s FROM toks)").replace("sent::BIGINT", "s::BIGINT"))
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = A.token_table(A.annotate(english(spark, sf_dir)))
+    long = A.token_table(A.annotate(texts(spark, sf_dir)))
     return long.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("para", "sent", "place")], "raw", "lemma", "tag", "pos", "dep")
 
 
@@ -285,11 +310,11 @@ def _aoa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", (F.length("word") + F.ascii("word") % 7).cast("double").alias("value"), F.lit(1).alias("line"))
 
 
-@query(rf"""WITH {AOA_SQL}, w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}} ]', '', 'g'), ' ')) AS word FROM documents WHERE lang = 'en'),
+@query(rf"""WITH {AOA_SQL}, w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}} ]', '', 'g'), ' ')) AS word FROM documents),
 b AS (SELECT min(value) AS lo, max(value) AS hi FROM lex)
 SELECT d.doc_id, round(CASE WHEN s > 0 THEN (m - lo) / (hi - lo) END, 6) AS score FROM (SELECT DISTINCT doc_id FROM w) AS d LEFT JOIN (SELECT doc_id, sum(value) AS s, avg(value) AS m FROM w JOIN lex USING (word) GROUP BY doc_id) USING (doc_id), b""")
 def lexicon_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = english(spark, sf_dir).select("doc_id", F.explode(F.split(T.alnum_only(F.lower("text")), " ")).alias("word"))
+    words = texts(spark, sf_dir).select("doc_id", F.explode(F.split(T.alnum_only(F.lower("text")), " ")).alias("word"))
     return rounded(L.normalised_mean(words, _aoa(spark, sf_dir)))
 
 
@@ -396,11 +421,12 @@ def topic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir, 1, "divergence")
 
 
-@query(r"""SELECT word, count(*)::BIGINT AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE lang = 'en') WHERE word IN ('the', 'of', 'and', 'thing') GROUP BY word""")
+@query(r"""SELECT word, least(count(*), 512)::BIGINT AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word IN ('the', 'of', 'and', 'thing') GROUP BY word""")
 def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences each word is given; which of more than 512 is a matter of hashes."""
     targets = spark.createDataFrame([("the",), ("of",), ("and",), ("thing",)], "word string")
-    sentences = english(spark, sf_dir).select(F.col("doc_id").alias("sentence_id"), "text")
-    return L.contexts(targets, sentences, limit=1_000_000_000).groupBy("word").agg(F.count("*").alias("n"))
+    sentences = documents(spark, sf_dir).select(F.col("doc_id").alias("sentence_id"), "text")
+    return L.contexts(targets, sentences).groupBy("word").agg(F.count("*").alias("n"))
 
 
 SOURCE_SQL = with_tokens(f"""SELECT p.doc_id, round({COSINE}, 4) AS similarity FROM (SELECT x.doc_id, x.a AS a, y.a AS b FROM of_ AS x JOIN of_ AS y ON y.doc_id = x.doc_id + 1) AS p""").replace(
@@ -418,8 +444,20 @@ def source_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.text_similarity(sums, sums.withColumn("doc_id", F.col("doc_id") - 1), "doc_id").select("doc_id", F.round("similarity", 4).alias("similarity"))
 
 
-@query(None)
-def all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All indices of one pass over the English documents."""
-    return M.all_families(annotated(spark, sf_dir), adjectives=ADJECTIVES)
+FAMILY_NAMES = {"diversity": [*DIVERSE, *MOVING], "connectives": list(M.I.connectives(M.I.flat_of_paragraphs(M.I.pa.array([], M.I.pa.list_(M.I.pa.string()))))), "givenness": ["pronoun_density", "pronoun_noun_ratio", "repeated_content_lemmas", "repeated_content_and_pronoun_lemmas"]}
 
+
+def _all_sql() -> str:
+    """The other queries' SQL side by side; documents of fewer than two words have a status only."""
+    parts = {"a": "q_diversity", "b": "q_mattr_and_ngrams", "c": "q_overlap_sentences", "d": "q_overlap_paragraphs", "e": "q_connectives", "f": "q_givenness"}
+    joined = " ".join(f"JOIN ({ORACLES[q]}) AS {k} USING (doc_id)" for k, q in parts.items())
+    over = [f"adjacent_overlap_{x}" for level in ("sent", "para") for c in M.CLASSES for x in (f"{c}_{level}", f"{c}_{level}_div_seg", f"binary_{c}_{level}", f"2_{c}_{level}", f"2_{c}_{level}_div_seg", f"binary_2_{c}_{level}")]
+    names = [*FAMILY_NAMES["diversity"], *over, *FAMILY_NAMES["connectives"], *FAMILY_NAMES["givenness"]]
+    fixed = ", ".join(f'CASE WHEN nwords > 1 THEN "{n}" END AS "{n}"' for n in names)
+    return f"SELECT doc_id, CASE WHEN nwords > 1 THEN 'ok' ELSE 'text too short' END AS status, {fixed} FROM ({ORACLES['q_basic_counts']}) AS w {joined}"
+
+
+@query(_all_sql())
+def all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All indices that need no lexicon, in one pass over the documents."""
+    return rounded(M.all_families(texts(spark, sf_dir), adjectives=ADJECTIVES))
