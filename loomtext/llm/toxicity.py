@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtext.llm.grammar import C, N, O, P, Q, R, S, T, W, line_scores
 from loomtext.llm.runtime import cut
@@ -80,24 +79,50 @@ def word_class(word: str, weights: dict[str, float]) -> tuple[int, float]:
     return (O, weight) if weight > 0 else (W, 0.0)
 
 
-def clause_scores(text: str, weights: dict[str, float], cache: dict[str, tuple[int, float]] | None = None) -> tuple[float, int]:
-    """(sum of the matched clauses' scores, matched clauses): the composed transducers run over each line."""
-    cache = {} if cache is None else cache
-    total, matched = 0.0, 0
-    for line in text.lower().split("\n"):
-        found = []
-        for token in TOKEN.findall(line):
-            own = cache.get(token)
-            if own is None:
-                own = word_class(token, weights)
-                if len(cache) < 1 << 16:
-                    cache[token] = own
-            found.append(own)
-        classes = [c for c, _ in found]
-        if O in classes or T in classes:
-            score, n = line_scores(classes, [w for _, w in found])
-            total, matched = total + score, matched + n
-    return total, matched
+class Reader:
+    """Scores texts by the composed transducers, remembering the classes of words."""
+
+    ROOM = 1 << 17
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.known: dict[str, tuple[int, float]] = {}
+        self.harmless: set[str] = set()  # words that can start no pattern: neither offences nor threats
+
+    def _class(self, token: str) -> tuple[int, float]:
+        own = self.known.get(token)
+        if own is None:
+            own = word_class(token, self.weights)
+            if len(self.known) < self.ROOM:
+                self.known[token] = own
+                if own[0] not in (O, T):
+                    self.harmless.add(token)
+        return own
+
+    def scores(self, text: str) -> tuple[float, int]:
+        """(sum of the matched clauses' scores, matched clauses): the transducers run over each line with an offence or threat."""
+        text = text.lower()
+        if self.harmless.issuperset(TOKEN.findall(text)):
+            return 0.0, 0
+        total, matched = 0.0, 0
+        for line in text.split("\n"):
+            tokens = TOKEN.findall(line)
+            if self.harmless.issuperset(tokens):
+                continue
+            found = [self._class(t) for t in tokens]
+            classes = [c for c, _ in found]
+            if O in classes or T in classes:
+                score, n = line_scores(classes, [w for _, w in found])
+                total, matched = total + score, matched + n
+        return total, matched
+
+
+def clause_scores(text: str, weights: dict[str, float]) -> tuple[float, int]:
+    return Reader(weights).scores(text)
+
+
+def logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -118,11 +143,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     if total > max_labelled:
         marked = marked.where(F.pmod(F.xxhash64("__doc", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, s array<long>")
-    for k in range(MEET):  # a bounded number of rows: those with one min-hash and label stand in one task
-        head = F.min(F.struct("__doc", "s")).over(Window.partitionBy("__toxic", F.col("s")[k]))
-        alike = F.aggregate(F.zip_with("s", "__head.s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-        one = one.withColumn("__head", head).where((F.col("__head.__doc") == F.col("__doc")) | (alike < ALIKE)).select("__doc", "__toxic", "s")
+    one = cut(texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, s array<long>"))
+    for k in range(MEET):  # at most max_labelled heads, combined map-side, go back to the rows by a broadcast
+        heads = one.groupBy(F.col("__toxic").alias("t"), F.col("s")[k].alias("h")).agg(F.min(F.struct("__doc", "s")).alias("head"))
+        alike = F.aggregate(F.zip_with("s", "head.s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+        met = one.join(F.broadcast(heads), (F.col("__toxic") == F.col("t")) & (F.col("s")[k] == F.col("h")))
+        one = met.where((F.col("head.__doc") == F.col("__doc")) | (alike < ALIKE)).select("__doc", "__toxic", "s")
     one = cut(one.select("__doc", "__toxic").distinct())
     rows = texts.join(F.broadcast(one), F.col("doc_id") == F.col("__doc")).select("text", "__toxic")
     n_toxic, n_clean = (one.where(F.col("__toxic") == k).count() for k in (1, 0))
@@ -194,9 +220,9 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
 
 def _tallies(weights: dict[str, float]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, float]] = {}
+        reader = Reader(weights)
         for batch in batches:
-            scores = [clause_scores(t or "", weights, cache)[0] for t in batch.column(0).to_pylist()]
+            scores = [reader.scores(t or "")[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1).cast(pa.int64())], names=["score", "toxic"])
 
     return rows
@@ -212,7 +238,7 @@ def _fit(tallies: list[tuple[float, int, int]]) -> tuple[float, float]:
         gb = gs = 0.0
         for score, toxic, n in tallies:
             x = math.log1p(score)
-            error = (1 / (1 + math.exp(-max(-30.0, min(30.0, bias + slope * x)))) - toxic) * n / total
+            error = (logistic(bias + slope * x) - toxic) * n / total
             gb, gs = gb + error, gs + error * x
         bias, slope = bias - 2.0 * gb, max(slope - 2.0 * gs, 0.1)
     return min(bias, -0.1), slope
@@ -220,10 +246,10 @@ def _fit(tallies: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 def _scores(grammar: Grammar) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, float]] = {}
+        reader = Reader(grammar.weights)
         for batch in batches:
-            found = [clause_scores(t or "", grammar.weights, cache) for t in batch.column(2).to_pylist()]
-            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, grammar.bias + grammar.slope * math.log1p(s))))) for s, _ in found]
+            found = [reader.scores(t or "") for t in batch.column(2).to_pylist()]
+            scores = [logistic(grammar.bias + grammar.slope * math.log1p(s)) for s, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([n for _, n in found], pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted", "clauses"],
@@ -244,10 +270,10 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
     at = names.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, float]] = {}
+        reader = Reader(grammar.weights)
         for batch in batches:
-            sums = [clause_scores(t or "", grammar.weights, cache)[0] for t in batch.column(at).to_pylist()]
-            keep = [1 / (1 + math.exp(-max(-30.0, min(30.0, grammar.bias + grammar.slope * math.log1p(s))))) < threshold for s in sums]
+            sums = [reader.scores(t or "")[0] for t in batch.column(at).to_pylist()]
+            keep = [logistic(grammar.bias + grammar.slope * math.log1p(s)) < threshold for s in sums]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

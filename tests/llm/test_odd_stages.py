@@ -34,8 +34,8 @@ def test_stages_on_odd_rows(spark, tmp_path, kind):
     grammar = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     clean = run("toxicity", docs)
     scores = {(d, t): toxicity.clause_scores(t or "", grammar.weights)[0] for d, t in pair(docs)}
-    logistic = {k: grammar.bias + grammar.slope * math.log1p(v) for k, v in scores.items()}
-    assert sorted(pair(clean), key=str) == sorted((r for r in pair(docs) if logistic[r] < 0), key=str)
+    logits = {k: grammar.bias + grammar.slope * math.log1p(v) for k, v in scores.items()}
+    assert sorted(pair(clean), key=str) == sorted((r for r in pair(docs) if logits[r] < 0), key=str)
     unlike = run("simhash", clean)
     before = pair(clean)
     assert sorted(pair(unlike), key=str) == sorted((before[i] for i in kept(before)), key=str)
