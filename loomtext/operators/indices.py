@@ -445,3 +445,81 @@ def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     share = max(1, int(len(batch) * PORTION / max(column.nbytes, 1)))
     for start in range(0, len(batch), share):
         yield batch.slice(start, share)
+
+
+# --- words and n-grams as rows, for joins with lexicons ---------------------------------------------------------
+
+#: n-gram families by the tags that keep their lemma; all other words are ``x``.
+MASKED = {"": None, "n": NOUN_TAGS, "adj": ADJECTIVE_TAGS, "v": VERB_TAGS, "v_n": VERB_TAGS + NOUN_TAGS, "a_n": ADJECTIVE_TAGS + NOUN_TAGS}
+UNIGRAMS = {"uni": None, "n_uni": NOUN_TAGS, "v_uni": VERB_TAGS, "v_n_uni": VERB_TAGS + NOUN_TAGS, "adj_uni": ADJECTIVE_TAGS}
+SIZES = {"bi": 2, "tri": 3, "quad": 4}
+NGRAMS = tuple(f"{m}_{s}" if m else s for s in SIZES for m in MASKED)
+ITEM_FAMILIES = (*UNIGRAMS, *NGRAMS)
+
+
+def _rows(docs: DataFrame, key: str, fields: str, make: Callable[[Flat], list[tuple[np.ndarray, list[pa.Array]]]]) -> DataFrame:
+    """Rows made of each document's arrays: (document of each row, its columns) for every part."""
+    nested = "doc" in docs.columns
+    source = docs.select(key, F.col("doc") if nested else paragraphs(F.lower("text")).alias("p"))
+    flat_of = flat_of_nested if nested else flat_of_paragraphs
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _portions(batch):
+                for doc, columns in make(flat_of(part.column(1))):
+                    if len(doc):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *columns], names=[key, *names])
+
+    return source.mapInArrow(rows, StructType([source.schema[key], *StructType.fromDDL(fields).fields]))
+
+
+def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct combinations of keys, in order, and how often each stands."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) if len(order) else order
+    return [k[new] for k in keys], np.diff(np.append(new, len(order)))
+
+
+def segment_words(docs: DataFrame, level: str = "sent", tags: tuple[str, ...] | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, seg, word, k): the lemmas of each segment of a document (``sent``, ``para``, or ``doc``, one segment) with their
+    occurrences; of words with one of the tags, if given. ``verb`` tags leave auxiliaries out."""
+
+    def make(flat: Flat) -> list[tuple[np.ndarray, list[pa.Array]]]:
+        keep = np.ones(len(flat.raw), bool) if tags is None else np.isin(flat.tag, tags) & (~flat.aux if "VB" in tags else True)
+        doc = flat.doc[keep]
+        first = {"sent": flat.doc_sents, "para": flat.docs, "doc": np.arange(flat.n)}[level]
+        segment = {"sent": flat.sent, "para": flat.para, "doc": flat.doc}[level][keep] - first[doc]
+        (doc, segment, word), k = _distinct(doc, segment, flat.lemma[keep])
+        words = pa.array(flat.words, pa.string()).take(pa.array(word))
+        return [(doc, [pa.array(segment, pa.int64()), words, pa.array(k, pa.int64())])]
+
+    return _rows(docs, key, "seg long, word string, k long", make)
+
+
+def items(docs: DataFrame, families: tuple[str, ...] = ITEM_FAMILIES, within: str = "sent", key: str = "doc_id") -> DataFrame:
+    """(key, family, item, k): lemmas and masked n-grams of each document with their occurrences; n-grams lie within a sentence
+    or, with ``doc``, only within the document."""
+
+    def of(flat: Flat, family: str) -> tuple[np.ndarray, list[pa.Array]]:
+        mask, _, size = family.rpartition("_")
+        tags = UNIGRAMS[family] if family in UNIGRAMS else MASKED[mask]
+        keep = np.ones(len(flat.raw), bool) if tags is None else np.isin(flat.tag, tags)
+        if family in UNIGRAMS:
+            (doc, word), k = _distinct(flat.doc[keep], flat.lemma[keep])
+            found = pa.array(flat.words, pa.string()).take(pa.array(word))
+        else:
+            n, unit = SIZES[size], flat.sent if within == "sent" else flat.doc
+            words = np.append(flat.words, "x").astype(object)
+            ids = np.where(keep, flat.lemma, len(flat.words))
+            start = np.arange(max(len(ids) - n + 1, 0))
+            start = start[unit[start] == unit[start + n - 1]]
+            (doc, *grams), k = _distinct(flat.doc[start], *[ids[start + i] for i in range(n)])
+            joined = words[grams[0]] if len(doc) else np.zeros(0, object)
+            for g in grams[1:]:
+                joined = joined + " " + words[g]
+            found = pa.array(joined.tolist(), pa.string())
+        return doc, [pa.array([family] * len(doc), pa.string()), found, pa.array(k, pa.int64())]
+
+    return _rows(docs, key, "family string, item string, k long", lambda flat: [of(flat, f) for f in families])

@@ -43,18 +43,6 @@ def with_segments(annotated: DataFrame) -> DataFrame:
     return annotated.withColumn("sent", F.flatten("doc")).withColumn("para", F.transform("doc", F.flatten)).withColumn("tokens", F.flatten("sent"))
 
 
-def lemmas(tokens: str, condition: str, field: str = "lemma") -> str:
-    return f"transform(filter({tokens}, t -> {condition}), t -> t.{field})"
-
-
-def ratio(a: str, b: str) -> str:
-    return f"coalesce(try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 0D)"
-
-
-def ngrams_sql(array: str, n: int) -> str:
-    return f"CASE WHEN size({array}) < {n} THEN CAST(array() AS array<string>) ELSE transform(sequence(1, size({array}) - {n - 1}), i -> array_join(slice({array}, i, {n}), ' ')) END"
-
-
 def diversity(docs: DataFrame, adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """The 13 type-token and density indices and the two n-gram ratios."""
     return I.indices(docs, {"diversity": I.diversity}, adjectives, key)
@@ -106,11 +94,10 @@ def basic_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return I.indices(docs, {"counts": I.FAMILIES["counts"]}, key=key)
 
 
-def masked_ngrams(docs: DataFrame, n: int, condition: str | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, ngram, count): n-grams of lemmas within sentences; lemmas outside the class are ``x``."""
-    word = f"if({condition}, t.lemma, 'x')" if condition else "t.lemma"
-    grams = docs.select(key, F.explode("sent").alias("s")).select(key, F.expr(f"transform(s, t -> {word})").alias("w")).select(key, F.explode(F.expr(ngrams_sql("w", n))).alias("ngram"))
-    return grams.groupBy(key, "ngram").agg(F.count("*").alias("count"))
+def masked_ngrams(docs: DataFrame, family: str, key: str = "doc_id") -> DataFrame:
+    """(key, ngram, count): n-grams of lemmas within sentences, of a family such as ``bi``, ``n_tri``, ``v_n_quad``; lemmas outside
+    its classes are ``x``."""
+    return I.items(docs, (family,), key=key).select(key, F.col("item").alias("ngram"), F.col("k").alias("count"))
 
 
 def all_families(docs: DataFrame, families: tuple[str, ...] = ("diversity", "overlap", "connectives", "givenness"), adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.operators.joins import frequent_join
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Null where either vector is zero or null."""
@@ -20,12 +22,20 @@ def squares(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
 
 
-def segment_sums(words: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, sums array): the sum of the vectors of a segment's words, by an equi-join on the word; words without a
-    vector are left out. A word's occurrences in a segment are counted before the join, sums are partial before the
-    shuffle."""
-    counted = words.groupBy(*keys, "word").agg(F.count("*").alias("k"))
-    hits = counted.join(vectors.select("word", array_to_vector("vec").alias("v")), "word")
+#: Words, at most, whose vectors are broadcast because they stand in many segments.
+FREQUENT = 1_000
+
+
+def segment_sums(words: DataFrame, vectors: DataFrame, keys: list[str], frequent: DataFrame | None = None) -> DataFrame:
+    """(keys, n, sums array): the sum of the vectors of a segment's words; words without a vector are left out.
+
+    ``words`` have a column k of occurrences in the segment, or are counted first. They meet their vectors in an equi-join on the
+    word; the vectors of the ``frequent`` words, the FREQUENT with most rows if not given, are broadcast, so that a
+    word of every segment fills no task. Sums are partial before the shuffle."""
+    counted = words if "k" in words.columns else words.groupBy(*keys, "word").agg(F.count("*").alias("k"))
+    if frequent is None:
+        frequent = counted.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(FREQUENT).select("word")
+    hits = frequent_join(counted.select(*keys, "word", "k"), vectors.select("word", array_to_vector("vec").alias("v")), "word", frequent)
     summed = hits.groupBy(*keys).agg(F.sum("k").alias("n"), Summarizer.metrics("sum").summary(F.col("v"), F.col("k").cast("double")).alias("s"))
     return summed.select(*keys, "n", vector_to_array("s.sum").alias("sums"))
 
@@ -34,12 +44,12 @@ def divergence_index(s1: Column, n1: Column, s2: Column, n2: Column, dims: int =
     """The topic index in closed form: each side's profile is its positions over the L1 norm of its mean vector, so only
     the norms matter. Null where it would be negative."""
     def scale(s: Column, n: Column) -> Column:
-        norm = F.aggregate(s, F.lit(0.0), lambda a, x: a + F.abs(x)) / n
+        norm = F.try_divide(F.aggregate(s, F.lit(0.0), lambda a, x: a + F.abs(x)), n)
         return F.when(F.coalesce(norm, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.lit(1.0) / norm)
 
     a, b = scale(s1, n1), scale(s2, n2)
     total = dims * (dims - 1) / 2.0
-    term = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x * F.log2(2 * x / (a + b)))
+    term = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x * F.log2(F.try_divide(2 * x, a + b)))
     index = 1.0 - 0.5 * total * (term(a) + term(b))
     return F.when(index >= 0, index)
 

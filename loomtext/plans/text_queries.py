@@ -289,9 +289,35 @@ def basic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.basic_counts(texts(spark, sf_dir))
 
 
+TAGS = {None: "true", M.I.NOUN_TAGS: M.NOUNS, M.I.ADJECTIVE_TAGS: M.ADJECTIVES, M.I.VERB_TAGS: M.VERBS, M.I.VERB_TAGS + M.I.NOUN_TAGS: M.VERBS[:-1] + "," + M.NOUNS[1:], M.I.ADJECTIVE_TAGS + M.I.NOUN_TAGS: M.ADJECTIVES[:-1] + "," + M.NOUNS[1:]}
+
+
+def _items_sql(within: str, families: tuple[str, ...]) -> str:
+    """(doc_id, family, item, k) of the tokens; n-grams within a sentence or a document."""
+    parts = []
+    for family in families:
+        mask, _, size = family.rpartition("_")
+        tags = M.I.UNIGRAMS[family] if family in M.I.UNIGRAMS else M.I.MASKED[mask]
+        cond = "true" if tags is None else f"tag IN {TAGS[tags]}"
+        if family in M.I.UNIGRAMS:
+            parts.append(f"SELECT doc_id, '{family}' AS family, lemma AS item, count(*)::BIGINT AS k FROM toks WHERE {cond} GROUP BY doc_id, lemma")
+        else:
+            unit = "doc_id, sent" if within == "sent" else "doc_id"
+            gram = " || ' ' || ".join(["m", *[f"lead(m, {i}) OVER (PARTITION BY {unit} ORDER BY sent, place)" for i in range(1, M.I.SIZES[size])]])
+            parts.append(f"SELECT doc_id, '{family}' AS family, item, count(*)::BIGINT AS k FROM (SELECT doc_id, {gram} AS item FROM (SELECT doc_id, sent, place, CASE WHEN {cond} THEN lemma ELSE 'x' END AS m FROM toks)) WHERE item IS NOT NULL GROUP BY doc_id, item")
+    return " UNION ALL ".join(parts)
+
+
 @query(with_tokens("SELECT doc_id, ngram, count(*)::BIGINT AS count FROM (SELECT doc_id, m || ' ' || lead(m) OVER (PARTITION BY doc_id, sent ORDER BY place) AS ngram FROM (SELECT *, CASE WHEN tag IN " + M.NOUNS + " THEN lemma ELSE 'x' END AS m FROM toks)) WHERE ngram IS NOT NULL GROUP BY doc_id, ngram"))
 def masked_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.masked_ngrams(annotated(spark, sf_dir), 2, C["noun"])
+    return M.masked_ngrams(texts(spark, sf_dir), "n_bi")
+
+
+@query(with_tokens(f"SELECT family, item, sum(k)::BIGINT AS k, count(*)::BIGINT AS n_docs FROM ({_items_sql('sent', M.I.NGRAMS)}) GROUP BY family, item"))
+def masked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 18 n-gram families, added up over the corpus."""
+    found = M.I.items(texts(spark, sf_dir), M.I.NGRAMS)
+    return found.groupBy("family", "item").agg(F.sum("k").alias("k"), F.count("doc_id").alias("n_docs"))
 
 
 @query(with_tokens("SELECT doc_id, para::BIGINT AS para, sent::BIGINT AS sent, place::BIGINT AS place, raw, lemma, tag, pos, dep FROM (SELECT *, sent - min(sent) OVER (PARTITION BY doc_id, para) AS s FROM toks)").replace("sent::BIGINT", "s::BIGINT"))
@@ -319,22 +345,37 @@ def lexicon_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SYN_SQL = "syn AS (SELECT word, [reverse(word), left(word, 3), word] AS syns FROM (SELECT DISTINCT lemma AS word FROM toks WHERE length(lemma) BETWEEN 4 AND 8))"
+SYN_CLASSES = {"noun": M.I.NOUN_TAGS, "verb": M.I.VERB_TAGS}
 
 
 def _synonyms(words: DataFrame) -> DataFrame:
     return words.select("word").distinct().where(F.length("word").between(4, 8)).select("word", F.array(F.reverse("word"), F.left("word", F.lit(3)), F.col("word")).alias("syns"))
 
 
-@query(
-    with_tokens(f"""SELECT c.doc_id, round(CASE WHEN c.n < 2 THEN 0 ELSE coalesce(k, 0) / (c.n - 1)::DOUBLE END, 6) AS syn_overlap FROM (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id) AS c LEFT JOIN (
-SELECT a.doc_id, count(*) AS k FROM (SELECT DISTINCT doc_id, sent, lemma FROM toks AS t WHERE {C['noun']}) AS a JOIN (SELECT doc_id, sent, list_distinct(coalesce(syns, [lemma])) AS syns FROM toks AS t LEFT JOIN syn ON syn.word = t.lemma WHERE {C['noun']}) AS b ON a.doc_id = b.doc_id AND b.sent = a.sent + 1 AND list_contains(b.syns, a.lemma) GROUP BY a.doc_id) AS f USING (doc_id)""").replace("\nSELECT c.doc_id", f", {SYN_SQL}\nSELECT c.doc_id")
-)
+def _synonym_sql(level: str, c: str) -> str:
+    segments = "numbered" if level == "sent" else "paras"
+    return f"""SELECT c.doc_id, round(CASE WHEN c.n < 2 THEN 0 ELSE coalesce(k, 0) / (c.n - 1)::DOUBLE END, 6) AS syn_overlap_{level}_{c} FROM (SELECT doc_id, count({level}) AS n FROM documents LEFT JOIN {segments} USING (doc_id) GROUP BY doc_id) AS c LEFT JOIN (
+SELECT a.doc_id, count(*) AS k FROM (SELECT DISTINCT doc_id, {level}, lemma FROM toks AS t WHERE {C[c]}) AS a JOIN (SELECT doc_id, {level}, list_distinct(coalesce(syns, [lemma])) AS syns FROM toks AS t LEFT JOIN syn ON syn.word = t.lemma WHERE {C[c]}) AS b ON a.doc_id = b.doc_id AND b.{level} = a.{level} + 1 AND list_contains(b.syns, a.lemma) GROUP BY a.doc_id) AS f USING (doc_id)"""
+
+
+def _segments(docs: DataFrame, level: str) -> DataFrame:
+    return M.basic_counts(docs).select("doc_id", F.col("nsents" if level == "sent" else "nparas").alias("n_segments"))
+
+
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "doc_id")
+    return out
+
+
+@query("SELECT * FROM " + " JOIN ".join(f"({with_tokens(_synonym_sql(level, c)).replace('SELECT c.doc_id', f', {SYN_SQL} SELECT c.doc_id', 1)}) AS {level}_{c}{' USING (doc_id)' if (level, c) != ('sent', 'noun') else ''}" for level in ("sent", "para") for c in SYN_CLASSES))
 def synonym_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = annotated(spark, sf_dir).where(F.size("tokens") > 0)
-    tokens = docs.select("doc_id", F.posexplode("sent").alias("seg", "s")).select("doc_id", "seg", F.explode("s").alias("t"))
-    every = tokens.select(F.col("t.lemma").alias("word"))
-    nouns = tokens.where(F.col("t.tag").isin("NN", "NNS", "NNP", "NNPS")).select("doc_id", "seg", F.col("t.lemma").alias("word"))
-    return rounded(L.synonym_overlap(nouns, _synonyms(every), docs.select("doc_id", F.size("sent").alias("n_segments"))))
+    """The four synonym indices: sentences and paragraphs, nouns and verbs."""
+    docs = texts(spark, sf_dir)
+    lexicon = _synonyms(M.I.segment_words(docs, "doc"))
+    parts = [L.synonym_overlap(M.I.segment_words(docs, level, tags), lexicon, _segments(docs, level)).withColumnRenamed("syn_overlap", f"syn_overlap_{level}_{c}") for level in ("sent", "para") for c, tags in SYN_CLASSES.items()]
+    return rounded(_side_by_side(parts))
 
 
 REF_SQL = "ref AS (SELECT lower(w) AS item, count(*) * 1000000.0::DOUBLE / sum(count(*)) OVER () AS per_million FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY lower(w))"
@@ -352,8 +393,7 @@ SELECT c.doc_id, c.lemma AS item, c.types, c.n / c.total::DOUBLE AS tf, c.n, CAS
 FROM (SELECT doc_id, lemma, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS types FROM toks GROUP BY doc_id, lemma) AS c LEFT JOIN ref ON ref.item = c.lemma WHERE c.n >= 2)) WHERE rank <= floor(types * 0.1)""").replace("\nSELECT doc_id, item", f", {REF_SQL}\nSELECT doc_id, item")
 )
 def keyness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = annotated(spark, sf_dir).select("doc_id", F.explode(F.expr("transform(tokens, t -> t.lemma)")).alias("item"))
-    found = L.keyness(items, _reference(spark, sf_dir))
+    found = L.keyness(M.I.items(texts(spark, sf_dir), ("uni",)), _reference(spark, sf_dir))
     return found.select("doc_id", "item", F.round("diff", 4).alias("diff"), F.round("tf", 6).alias("tf"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -362,38 +402,73 @@ def keyness(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, lemma IN (SELECT item FROM ref) AS k FROM toks) GROUP BY doc_id""").replace("\nSELECT doc_id, round", f", {REF_SQL}\nSELECT doc_id, round")
 )
 def keyword_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = annotated(spark, sf_dir).select("doc_id", F.explode(F.expr("transform(tokens, t -> t.lemma)")).alias("word"))
-    own = words.distinct().join(_reference(spark, sf_dir).select(F.col("item").alias("word")), "word", "left_semi")
+    words = M.I.segment_words(texts(spark, sf_dir), "doc").select("doc_id", "word", "k")
+    own = words.join(_reference(spark, sf_dir).select(F.col("item").alias("word")), "word", "left_semi")
     return rounded(L.keyword_share(words, own))
 
 
+def _family_reference(items: DataFrame) -> DataFrame:
+    """A frequency for two of three items, by their letters."""
+    known = items.select("family", "item").distinct().where((F.length("item") + F.ascii("item")) % 3 > 0)
+    return known.select("family", F.lower("item").alias("item"), (F.length("item") * 40.0 + F.ascii("item")).alias("per_million")).distinct()
+
+
+SHARES_SQL = with_tokens(f"""SELECT d.doc_id, {', '.join(f"round(coalesce(max(share) FILTER (WHERE family = '{f}'), 0), 6) AS {f}_keywords_percentage" for f in M.I.ITEM_FAMILIES)} FROM documents AS d LEFT JOIN (
+SELECT t.doc_id, t.family, sum(CASE WHEN s.item IS NOT NULL THEN t.k ELSE 0 END) / sum(t.k)::DOUBLE AS share FROM ({_items_sql('doc', M.I.ITEM_FAMILIES)}) AS t LEFT JOIN keys_ AS s ON s.doc_id = t.doc_id + 1 AND s.family = t.family AND s.item = t.item GROUP BY t.doc_id, t.family) USING (doc_id) GROUP BY d.doc_id""").replace("\nSELECT d.doc_id", f""", own AS ({_items_sql('sent', M.I.ITEM_FAMILIES)}),
+ref AS (SELECT DISTINCT family, lower(item) AS item, length(item) * 40.0 + ascii(item) AS per_million FROM own WHERE (length(item) + ascii(item)) % 3 > 0),
+keys_ AS (SELECT doc_id, family, item FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, family ORDER BY diff DESC, tf DESC, item) AS rank FROM (
+SELECT c.doc_id, c.family, c.item, c.types, c.k / c.total::DOUBLE AS tf, CASE WHEN per_million IS NULL THEN 1000000.0 ELSE (c.k / c.total::DOUBLE - per_million / 1000000) * 100 / (per_million / 1000000) END AS diff
+FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id, family) AS total, count(*) OVER (PARTITION BY doc_id, family) AS types FROM own) AS c LEFT JOIN ref ON ref.item = lower(c.item) AND ref.family = c.family WHERE c.k >= 2)) WHERE rank <= floor(types * 0.1) AND item NOT IN ('x x', 'x x x', 'x x x x'))
+SELECT d.doc_id""", 1)
+
+
+@query(SHARES_SQL)
+def source_keyword_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 23 keyword shares of each document, its source being the next one: of the document's items those that are keywords
+    of the source."""
+    docs = texts(spark, sf_dir)
+    own = M.I.items(docs)
+    keywords = L.keyness(own, _family_reference(own), key=("doc_id", "family")).withColumn("doc_id", F.col("doc_id") - 1)
+    shares = L.keyword_share(M.I.items(docs, within="doc"), keywords, key=("doc_id", "family"))
+    wide = shares.groupBy("doc_id").pivot("family", list(M.I.ITEM_FAMILIES)).agg(F.first("share"))
+    return rounded(docs.select("doc_id").join(wide, "doc_id", "left").select("doc_id", *[F.coalesce(f, F.lit(0.0)).alias(f"{f}_keywords_percentage") for f in M.I.ITEM_FAMILIES]))
+
+
 VEC_SQL = "vec AS (SELECT word, embedding AS v FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS vec_id FROM (SELECT lemma AS word, count(*) AS n FROM toks GROUP BY lemma)) JOIN embeddings USING (vec_id))"
 
 
-def _vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+def _vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    """The word vectors of the fixture: the words of the corpus by frequency get the vectors in the order of their ids."""
     ranked = S.row_index(counts, F.col("n").desc(), F.col("word"), name="vec_id")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ranked.join(vectors, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vec"))
 
 
-def _similar(spark: SparkSession, sf_dir: str, width: int, kind: str) -> DataFrame:
-    lemmas = F.transform("sent", lambda s: F.transform(s, lambda t: t["lemma"]))
-    docs = annotated(spark, sf_dir).where(F.size("tokens") > 0).select("doc_id", lemmas.alias("sent")).persist()  # read three times
-    words = docs.select("doc_id", F.posexplode("sent").alias("seg", "s")).select("doc_id", "seg", F.explode("s").alias("word"))
-    sums = V.segment_sums(words, _vectors(spark, sf_dir, words), ["doc_id", "seg"])
-    found = V.adjacent_similarity(sums, docs.select("doc_id", F.size("sent").alias("n_segments")), "doc_id", "seg", width, kind, dims=64)
-    return found.select("doc_id", F.round("similarity", 4).alias("similarity"))
-
-
-def _similar_sql(width: int, value: str) -> str:
-    return with_tokens(f"""SELECT c.doc_id, round(coalesce(avg({value}), 0), 4) AS similarity FROM (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id) AS c LEFT JOIN (
-SELECT a.doc_id, a.a AS a, {'b.a' if width == 1 else 'list_transform(range(1, 65), lambda i: b.a[i] + d.a[i])'} AS b, a.k AS n1, {'b.k' if width == 1 else 'b.k + d.k'} AS n2 FROM full_ AS a JOIN full_ AS b ON a.doc_id = b.doc_id AND b.sent = a.sent + 1 {'' if width == 1 else 'JOIN full_ AS d ON a.doc_id = d.doc_id AND d.sent = a.sent + 2'}) AS p USING (doc_id) GROUP BY c.doc_id""").replace(
-        "\nSELECT c.doc_id",
+def _similar(spark: SparkSession, sf_dir: str, kinds: list[tuple[str, int, str]], level: str) -> DataFrame:
+    """For each (column, width, kind) the mean similarity of adjacent segments; sums are made once for a level."""
+    docs = texts(spark, sf_dir)
+    counts = M.I.segment_words(docs, "doc").groupBy("word").agg(F.sum("k").alias("n"))
+    sums = V.segment_sums(M.I.segment_words(docs, level), _vectors(spark, sf_dir, counts), ["doc_id", "seg"])
+    parts = [V.adjacent_similarity(sums, _segments(docs, level), "doc_id", "seg", width, kind, dims=64).select("doc_id", F.round("similarity", 4).alias(name)) for name, width, kind in kinds]
+    return _side_by_side(parts)
+
+
+def _similar_sql(kinds: list[tuple[str, int, str]], level: str) -> str:
+    values = {"cosine": COSINE, "divergence": DIVERGENCE}
+    segments = "numbered" if level == "sent" else "paras"
+    each = [
+        f"""(SELECT c.doc_id, round(coalesce(avg({values[kind]}), 0), 4) AS {name} FROM documents AS c LEFT JOIN (
+SELECT a.doc_id, a.a AS a, {'b.a' if width == 1 else 'list_transform(range(1, 65), lambda i: b.a[i] + d.a[i])'} AS b, a.k AS n1, {'b.k' if width == 1 else 'b.k + d.k'} AS n2 FROM full_ AS a JOIN full_ AS b ON a.doc_id = b.doc_id AND b.seg = a.seg + 1 {'' if width == 1 else 'JOIN full_ AS d ON a.doc_id = d.doc_id AND d.seg = a.seg + 2'}) AS p USING (doc_id) GROUP BY c.doc_id) AS q{i}"""
+        for i, (name, width, kind) in enumerate(kinds)
+    ]
+    joined = each[0] + "".join(f" JOIN {e} USING (doc_id)" for e in each[1:])
+    return with_tokens(f"""SELECT doc_id, {', '.join(name for name, _, _ in kinds)} FROM {joined}""").replace(
+        "\nSELECT doc_id",
         f""", {VEC_SQL},
-sums AS (SELECT doc_id, sent, count(*) AS k, {', '.join(f'sum(v[{i}]::DOUBLE) AS s{i}' for i in range(1, 65))} FROM toks JOIN vec ON vec.word = toks.lemma GROUP BY doc_id, sent),
-full_ AS (SELECT n.doc_id, n.sent, coalesce(sums.k, 0) AS k, [{', '.join(f'coalesce(s{i}, 0)' for i in range(1, 65))}] AS a FROM numbered AS n LEFT JOIN sums USING (doc_id, sent))
-SELECT c.doc_id""",
+sums AS (SELECT doc_id, {level} AS seg, count(*) AS k, {', '.join(f'sum(v[{i}]::DOUBLE) AS s{i}' for i in range(1, 65))} FROM toks JOIN vec ON vec.word = toks.lemma GROUP BY doc_id, {level}),
+full_ AS (SELECT n.doc_id, n.{level} AS seg, coalesce(sums.k, 0) AS k, [{', '.join(f'coalesce(s{i}, 0)' for i in range(1, 65))}] AS a FROM {segments} AS n LEFT JOIN sums ON sums.doc_id = n.doc_id AND sums.seg = n.{level})
+SELECT doc_id""",
+        1,
     )
 
 
@@ -406,19 +481,18 @@ _Y = f"CASE WHEN ({_B}) = 0 THEN 0 ELSE ({_B}) * log2(2 * ({_B}) / (({_A}) + ({_
 DIVERGENCE = f"CASE WHEN p.doc_id IS NOT NULL AND ({_S.format(x=_X, y=_Y)}) >= 0 THEN {_S.format(x=_X, y=_Y)} END"
 
 
-@query(_similar_sql(1, COSINE))
-def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, 1, "cosine")
+VECTOR_KINDS = {level: [(f"{space}_{width}_all_{level}", width, "divergence" if space == "lda" else "cosine") for space in ("lsa", "lda") for width in (1, 2)] for level in ("sent", "para")}
 
 
-@query(_similar_sql(2, COSINE))
-def vector_similarity_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, 2, "cosine")
+@query(_similar_sql(VECTOR_KINDS["sent"], "sent"))
+def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and topics of adjacent sentences, one and two on; word2vec is lsa with other vectors."""
+    return _similar(spark, sf_dir, VECTOR_KINDS["sent"], "sent")
 
 
-@query(_similar_sql(1, DIVERGENCE))
-def topic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, 1, "divergence")
+@query(_similar_sql(VECTOR_KINDS["para"], "para"))
+def vector_similarity_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir, VECTOR_KINDS["para"], "para")
 
 
 @query(r"""SELECT word, least(count(*), 512)::BIGINT AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word IN ('the', 'of', 'and', 'thing') GROUP BY word""")
@@ -429,19 +503,21 @@ def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.contexts(targets, sentences).groupBy("word").agg(F.count("*").alias("n"))
 
 
-SOURCE_SQL = with_tokens(f"""SELECT p.doc_id, round({COSINE}, 4) AS similarity FROM (SELECT x.doc_id, x.a AS a, y.a AS b FROM of_ AS x JOIN of_ AS y ON y.doc_id = x.doc_id + 1) AS p""").replace(
+SOURCE_SQL = with_tokens(f"""SELECT p.doc_id, round({COSINE}, 4) AS source_similarity_lsa, round({DIVERGENCE}, 4) AS source_similarity_lda FROM (SELECT x.doc_id, x.a AS a, y.a AS b, x.k AS n1, y.k AS n2 FROM of_ AS x JOIN of_ AS y ON y.doc_id = x.doc_id + 1) AS p""").replace(
     "\nSELECT p.doc_id",
-    f""", {VEC_SQL}, of_ AS (SELECT doc_id, [{', '.join(f'sum(v[{i}]::DOUBLE)' for i in range(1, 65))}] AS a FROM toks JOIN vec ON vec.word = toks.lemma GROUP BY doc_id)
+    f""", {VEC_SQL}, of_ AS (SELECT doc_id, count(*) AS k, [{', '.join(f'sum(v[{i}]::DOUBLE)' for i in range(1, 65))}] AS a FROM toks JOIN vec ON vec.word = toks.lemma GROUP BY doc_id)
 SELECT p.doc_id""",
 )
 
 
 @query(SOURCE_SQL)
 def source_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the next one as its source."""
-    words = annotated(spark, sf_dir).select("doc_id", F.explode(F.expr("transform(tokens, t -> t.lemma)")).alias("word"))
-    sums = V.segment_sums(words, _vectors(spark, sf_dir, words), ["doc_id"])
-    return V.text_similarity(sums, sums.withColumn("doc_id", F.col("doc_id") - 1), "doc_id").select("doc_id", F.round("similarity", 4).alias("similarity"))
+    """Each document against the next one as its source, by sums (lsa and word2vec) and by topics."""
+    words = M.I.segment_words(texts(spark, sf_dir), "doc").select("doc_id", "word", "k")
+    sums = V.segment_sums(words, _vectors(spark, sf_dir, words.groupBy("word").agg(F.sum("k").alias("n"))), ["doc_id"])
+    source = sums.withColumn("doc_id", F.col("doc_id") - 1)
+    parts = [V.text_similarity(sums, source, "doc_id", kind, dims=64).select("doc_id", F.round("similarity", 4).alias(f"source_similarity_{name}")) for name, kind in (("lsa", "cosine"), ("lda", "divergence"))]
+    return _side_by_side(parts)
 
 
 FAMILY_NAMES = {"diversity": [*DIVERSE, *MOVING], "connectives": list(M.I.connectives(M.I.flat_of_paragraphs(M.I.pa.array([], M.I.pa.list_(M.I.pa.string()))))), "givenness": ["pronoun_density", "pronoun_noun_ratio", "repeated_content_lemmas", "repeated_content_and_pronoun_lemmas"]}
