@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomtext.operators.scan import numbered_turns
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -14,32 +15,27 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return kept.select(*[c for c in lines.columns if c != line], F.trim(parts[0]).alias("speaker"), F.trim(F.get(parts, F.lit(1))).alias("text"))
 
 
+def _joined(utterances: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, turn, speaker, text): the utterances of a turn as one text, in order."""
+    listed = utterances.groupBy(*keys, "turn").agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("text").alias("t")))).alias("parts"))
+    return listed.select(*keys, "turn", "speaker", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"))
+
+
 def merge_turns(utterances: DataFrame, group: str, order: str) -> DataFrame:
-    """Runs of one speaker as turns: (group, turn, speaker, text)."""
-    ordered = Window.partitionBy(group).orderBy(order)
-    change = F.when(F.lag("speaker").over(ordered).eqNullSafe(F.col("speaker")), 0).otherwise(1)
-    numbered = utterances.withColumn("__turn", F.sum(F.coalesce(change, F.lit(1))).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    listed = numbered.groupBy(group, "__turn").agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("text").alias("t")))).alias("parts"))
-    return listed.select(group, F.col("__turn").cast("long").alias("turn"), "speaker", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"))
+    """Runs of one speaker as turns, from 1: (group, turn, speaker, text)."""
+    numbered = numbered_turns(utterances.select(group, order, "speaker", "text"), group, order)
+    return _joined(numbered, [group], order)
 
 
 def chunk_dialogues(utterances: DataFrame, group: str, order: str, turns: int = 5) -> DataFrame:
     """Dialogues of ``turns`` turns: (group, dialogue, turns array<struct<speaker, text>>).
 
     A dialogue closes with the first utterance of its last turn; the rest of that run begins the next one. What is
-    left at the end of a group goes. A group is folded in the order of its utterances."""
-    lists = utterances.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("speaker"), F.col("text")))).alias("u"))
-    turn = "struct<speaker:string,utts:array<string>>"
-    start = f"named_struct('open', CAST(array() AS array<{turn}>), 'done', CAST(array() AS array<array<{turn}>>))"
-    new = "named_struct('speaker', x.speaker, 'utts', array(x.text))"
-    longer = f"""CASE WHEN size(a.open) > 0 AND element_at(a.open, -1).speaker <=> x.speaker
-        THEN concat(slice(a.open, 1, size(a.open) - 1), array(named_struct('speaker', x.speaker, 'utts', concat(element_at(a.open, -1).utts, array(x.text)))))
-        ELSE concat(a.open, array({new})) END"""
-    step = f"""CASE WHEN size({longer}) = {turns} THEN named_struct('open', CAST(array() AS array<{turn}>), 'done', concat(a.done, array({longer})))
-        ELSE named_struct('open', {longer}, 'done', a.done) END"""
-    folded = lists.select(group, F.expr(f"aggregate(u, {start}, (a, x) -> {step}).done").alias("dialogues"))
-    each = folded.select(group, F.posexplode("dialogues").alias("dialogue", "d"))
-    return each.select(group, F.col("dialogue").cast("long").alias("dialogue"), F.transform("d", lambda t: F.struct(t["speaker"].alias("speaker"), F.array_join(t["utts"], " ").alias("text"))).alias("turns"))
+    left at the end of a group goes. A group of any size is folded in parallel (``scan.py``); what is collected in one
+    row is a dialogue."""
+    numbered = numbered_turns(utterances.select(group, order, "speaker", "text"), group, order, turns)
+    listed = _joined(numbered, [group, "dialogue"], order).groupBy(group, "dialogue").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("t"))
+    return listed.where(F.size("t") == turns).select(group, "dialogue", F.transform("t", lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))).alias("turns"))
 
 
 def dialogue_text(turns: Column) -> Column:

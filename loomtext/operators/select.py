@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.operators.scan import PART, in_ranges
+
 
 def row_index(df: DataFrame, *order: Column, name: str = "row") -> DataFrame:
     """Adds the row's place, from 0, in a global order: a range sort, counts of its partitions and local numbers; no
@@ -17,17 +19,17 @@ def running_sum(df: DataFrame, value: Column, *order: Column, name: str = "runni
     """Adds the sum of ``value`` over all rows up to this one in a global order.
 
     Two phases: rows are range-partitioned and summed by partition, a row a partition; the sums before each
-    partition are joined back, and a window runs within each partition only."""
+    partition are joined back, and a window runs within each partition only. Both read the rows from the shared folder."""
     spark = df.sparkSession
-    placed = df.withColumn("__v", value.cast("long")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
-    sums = sorted((r["__part"], r["s"] or 0) for r in placed.groupBy("__part").agg(F.sum("__v").alias("s")).collect())
+    placed = in_ranges(df.withColumn("__v", value.cast("long")), *order)
+    sums = sorted((r[PART], r["s"] or 0) for r in placed.groupBy(PART).agg(F.sum("__v").alias("s")).collect())
     before, offsets = 0, []
     for part, s in sums:
         offsets.append((part, before))
         before += s
-    table = spark.createDataFrame(offsets or [(0, 0)], "__part int, __before long")
-    local = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return placed.join(F.broadcast(table), "__part").withColumn(name, F.coalesce(F.sum("__v").over(local), F.lit(0)) + F.col("__before")).drop("__v", "__part", "__before")
+    table = spark.createDataFrame(offsets or [(0, 0)], f"{PART} int, __before long")
+    local = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return placed.join(F.broadcast(table), PART).withColumn(name, F.coalesce(F.sum("__v").over(local), F.lit(0)) + F.col("__before")).drop("__v", PART, "__before")
 
 
 def token_budget(docs: DataFrame, size: str, budget: int, key: str = "doc_id") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.operators.scan import running_sums
+
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
@@ -172,10 +174,20 @@ def classification(rows: DataFrame) -> DataFrame:
 
 
 def running_normalised(rows: DataFrame, value: str, group: str, order: str, bound: float = 3.0) -> DataFrame:
-    """Adds ``normalised``: value by mean and deviation of all values up to it in its group, then clipped."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sd = F.stddev_pop(value).over(w)
-    return rows.withColumn("normalised", clip(F.coalesce(F.try_divide(F.col(value) - F.avg(value).over(w), sd), F.lit(0.0)), -bound, bound))
+    """Adds ``normalised``: value by mean and deviation of all values up to it in its group, then clipped. Sums run over groups
+    of any size (``scan.py``); a null value counts nothing and stays null."""
+    x = F.col(value).cast("double")
+    summed = running_sums(rows, group, order, {"__n": F.when(x.isNotNull(), 1).otherwise(0), "__s": x, "__q": x * x})
+    n = F.col("__n")
+    mean = F.try_divide(F.col("__s"), n)
+    deviation = F.sqrt(F.greatest(F.try_divide(F.col("__q"), n) - mean * mean, F.lit(0.0)))
+    scaled = F.when(deviation < 1e-9, F.lit(0.0)).otherwise(F.try_divide(F.col(value) - mean, deviation))
+    return summed.withColumn("normalised", F.when(F.col(value).isNotNull(), clip(F.coalesce(scaled, F.lit(0.0)), -bound, bound))).drop("__n", "__s", "__q")
+
+
+def token_usage(rows: DataFrame, size: Column, group: str, order: str, period: int = 100_000) -> DataFrame:
+    """Adds ``place``: the sum of sizes up to a row in its group, modulo the period."""
+    return running_sums(rows, group, order, {"__used": size}).withColumn("place", F.pmod(F.col("__used").cast("long"), F.lit(period))).drop("__used")
 
 
 def pad_ids(ids: Column, size: int, pad: int = 0, left: bool = False) -> Column:

@@ -272,10 +272,7 @@ def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, running % 100000 AS place FROM (SELECT user_id, event_id, (sum(length(event_type)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM events)")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _read(spark, sf_dir, "events").select("user_id", "event_id", F.pmod(F.sum(F.length("event_type")).over(w), F.lit(100_000)).alias("place"))
+    return G.token_usage(_read(spark, sf_dir, "events"), F.length("event_type"), "user_id", "event_id").select("user_id", "event_id", "place")
 
 
 # --- sequences --------------------------------------------------------------------------------------------------
