@@ -62,3 +62,23 @@ def checkpoint_interval(total: Column, parts: int = 10) -> Column:
 
 def word_milestone(words_seen: Column, million: int = 1_000_000) -> Column:
     return F.concat(F.floor(words_seen / million).cast("string"), F.lit("M"))
+
+
+def global_step(round_no: Column, epoch: Column, epoch_size: Column, sft_epochs: int, po_epochs: int, sft: Column) -> Column:
+    """Steps done when an epoch of a round ends; the second phase of a round follows its first."""
+    done = round_no * (sft_epochs + po_epochs) * epoch_size + epoch_size * (epoch + 1)
+    return F.when(sft, done).otherwise(done + F.lit(sft_epochs) * epoch_size)
+
+
+def epoch_checkpoint(round_no: Column, epoch: Column, sft: Column) -> Column:
+    """The name of the checkpoint that an epoch leaves, null where there is none: 5M after the first epoch, then every second
+    epoch of the first two rounds."""
+    second = ((epoch + 1) % 2 == 0) & (round_no < 2)
+    words = F.when(sft & (epoch == 0) & (round_no == 0), F.lit(5)).when(sft & second, round_no * 50 + (epoch + 1) * 5).when(~sft & second, (round_no + 1) * 50)
+    return F.when(words.isNotNull(), F.concat(F.lit("checkpoint_"), words.cast("string"), F.lit("M")))
+
+
+def early_checkpoint(step: Column, epoch: Column, round_no: Column, sft: Column, steps_a_million: int) -> Column:
+    """The checkpoint within the first two epochs, one for each million words; null where there is none."""
+    here = sft & (epoch < 2) & (round_no == 0) & (step % steps_a_million == 0) & (step > 0)
+    return F.when(here, F.concat(F.lit("checkpoint_"), (epoch * 5 + F.floor(step / steps_a_million)).cast("string"), F.lit("M")))

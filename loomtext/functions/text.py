@@ -105,6 +105,42 @@ def turn_prompt(conversation: Column, speaker: Column) -> Column:
     return F.concat(conversation, F.lit("\n"), speaker, F.lit("::"))
 
 
+#: What a model is told to do: fixed values.
+CORRECTION_SYSTEM = (
+    "You are a writer capable of continuing partial dialogues or stories that are given to you. "
+    "You will be given a partial text (labeled 'Partial Text') and a completion of said text produced by a student of English (labeled 'Student Completion'). "
+    "Your goal is to produce a corrected version of the student's completion. This corrected version should be grammatically "
+    "correct, coherent and relevant to the initial partial text. If the student's response is gibberish, output your own independent completion."
+    "You should only provide your own completion without any added commentary or feedback."
+)
+CORRECTION_REQUEST = "Now produce your own completion of the Partial Text. Do not include any external commentary."
+TEACHER_REQUEST = "Please generate a high-quality completion of the dialogue, taking into account the child's attempt but improving:"
+
+
+def messages(*parts: tuple[str, Column]) -> Column:
+    """A chat as an array of (role, content)."""
+    return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in parts])
+
+
+def correction_chat(context: Column, completion: Column) -> Column:
+    """The chat that asks for a corrected completion of a partial text."""
+    return messages(
+        ("system", F.lit(CORRECTION_SYSTEM)),
+        ("user", F.concat(F.lit("Partial Text: "), context)),
+        ("user", F.concat(F.lit("Student Completion: "), completion)),
+        ("user", F.lit(CORRECTION_REQUEST)),
+        ("assistant", F.concat(F.lit("Partial Text: "), context, F.lit("\n Corrected Completion:"))),
+    )
+
+
+def teacher_prompt(system: Column, dialogue: Column, continuation: Column) -> Column:
+    """One string with header marks: the system's text, the dialogue and the child's continuation of it."""
+    head = lambda role: F.lit(f"<|start_header_id|>{role}<|end_header_id|>\n")
+    end = F.lit("<|eot_id|>")
+    asked = [F.lit("Original partial dialogue:\n"), dialogue, F.lit("\n\nChild model's continuation:\n"), continuation, F.lit(f"\n\n{TEACHER_REQUEST}")]
+    return F.concat(F.lit("<|begin_of_text|>"), head("system"), system, end, head("user"), *asked, end, head("assistant"))
+
+
 def first_rounds(text: Column, rounds: int, version: int = 2) -> Column:
     """The first ``rounds`` pairs of marked turns. Version 1 loses turns whose body has a capital A or B, version 2 keeps
     them and joins turns by a space, without a space after the marker."""

@@ -80,3 +80,16 @@ def token_table(annotated: DataFrame, key: str = "doc_id") -> DataFrame:
     paras = annotated.select(key, F.posexplode("doc").alias("para", "p"))
     sents = paras.select(key, "para", F.posexplode("p").alias("sent", "s"))
     return sents.select(key, "para", "sent", F.posexplode("s").alias("place", "t")).select(key, "para", "sent", "place", "t.*")
+
+
+def tagged_table(annotated: DataFrame, conditions: dict[str, str], key: str = "doc_id") -> DataFrame:
+    """The diagnostic form: the token table with CW or FW, a flag for each word class, and where a sentence or paragraph ends.
+    ``conditions`` are those of ``metrics.class_conditions`` over ``t``."""
+    paras = annotated.select(key, F.posexplode("doc").alias("para", "p"))
+    sents = paras.select(key, "para", F.size("p").alias("n_sents"), F.posexplode("p").alias("sent", "s"))
+    tokens = sents.select(key, "para", "sent", "n_sents", F.size("s").alias("n"), F.posexplode("s").alias("place", "t"))
+    last = F.col("place") == F.col("n") - 1
+    kind = F.when(F.expr(conditions["cw"]), "CW").when(F.expr(conditions["fw"]), "FW")
+    ends = F.when(last & (F.col("sent") == F.col("n_sents") - 1), "paragraph").when(last, "sentence")
+    flags = [F.expr(cond).alias(f"is_{name}") for name, cond in conditions.items() if name not in ("all", "cw", "fw")]
+    return tokens.select(key, "para", "sent", "place", F.col("t.raw").alias("word"), F.col("t.lemma").alias("lemma"), F.col("t.tag").alias("tag"), kind.alias("kind"), *flags, ends.alias("ends"))

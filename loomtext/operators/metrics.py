@@ -21,7 +21,7 @@ CLASSES, CONNECTIVES = I.CLASSES, I.CONNECTIVES
 def class_conditions(adjectives: list[str] | None = None, t: str = "t") -> dict[str, str]:
     """For each word class the SQL condition on a token. Auxiliaries are function words; an adverb is a content word if
     it, or it without -ly, is in the adjective list."""
-    known = ", ".join("'" + a.replace("'", "''") + "'" for a in adjectives or []) or "''"
+    known = ", ".join("'" + a.replace("'", "''") + "'" for a in adjectives or []) or "' '"  # no word
     main = f"(t.tag IN {VERBS} AND t.pos <> 'AUX')"
     contentful = f"(t.lemma IN ({known}) OR (t.lemma LIKE '%ly' AND substr(t.lemma, 1, length(t.lemma) - 2) IN ({known})))"
     found = {

@@ -15,6 +15,10 @@ from loomtext.functions.text import strip, words
 SCORED = ("noun_ttr", "verb_ttr", "adj_ttr", "lemma_ttr", "bigram_lemma_ttr", "trigram_lemma_ttr", "adjacent_overlap_all_sent", "repeated_content_lemmas", "repeated_content_and_pronoun_lemmas")
 
 
+#: The metrics of an annotated dialogue's aggregate: those of a score and the topic similarity of adjacent sentences.
+ANNOTATED = (*SCORED[:7], "lda_1_all_sent", *SCORED[7:])
+
+
 def z_mean(rows: DataFrame, columns: list[str], name: str = "aggregate", by: int | None = None) -> DataFrame:
     """Adds the mean of the columns' z-scores (population deviation; 0 where it is 0). One aggregate row is joined back."""
     stats = rows.agg(*[f(c).alias(f"__{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -89,3 +93,20 @@ def valid_rates(rows: DataFrame, batch: str) -> DataFrame:
 def positive_score(scores: Column, label: str = "POSITIVE") -> Column:
     """The score under one label of an array<struct<label, score>>."""
     return F.get(F.filter(scores, lambda s: s["label"] == label), F.lit(0))["score"]
+
+
+def ranked_only(pairs: DataFrame, rankings: DataFrame, key: str) -> DataFrame:
+    """The pairs that have a ranking, with its columns; an empty ranking, all of whose columns are null, is none."""
+    given = [c for c in rankings.columns if c != key]
+    return pairs.join(rankings.where(F.coalesce(*[F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in given], F.lit(False))), key)
+
+
+def single_token_words(words: DataFrame, ids: str) -> DataFrame:
+    """The words that a tokenizer gives one id."""
+    return words.where(F.size(ids) == 1)
+
+
+def weighted_metrics(metrics: dict[str, Column], weights: dict[str, float]) -> Column:
+    """A struct of the metrics that have a weight, each times its weight."""
+    return F.struct(*[(F.coalesce(metrics[name], F.lit(0.0)) * weight).alias(name) for name, weight in weights.items() if name in metrics])
+

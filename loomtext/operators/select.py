@@ -72,3 +72,19 @@ def datapoints(ids: Column, size: int, proportion: float) -> Column:
     return F.when(n < 1, F.expr("CAST(array() AS array<struct<context:array<bigint>,completion:array<bigint>>>)")).otherwise(
         F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.slice(ids, i * size + 1, cut).alias("context"), F.slice(ids, i * size + cut + 1, size - cut).alias("completion")))
     )
+
+
+def longest_first(rows: DataFrame, batch: str, ids: str, key: str) -> DataFrame:
+    """Adds ``place``, from 0: a row's place in its batch by the number of its ids, most first, ties by key."""
+    order = Window.partitionBy(batch).orderBy(F.size(ids).desc(), key)
+    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
+def row_range(df: DataFrame, key: str, n: int, start: int = 0) -> DataFrame:
+    """Rows ``start`` to ``start + n`` in the order of key, fewer where there are fewer."""
+    return df.orderBy(key).offset(start).limit(n)
+
+
+def seeded_take(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in an order that a hash gives, with their place in it."""
+    return row_index(hash_sample(df, key, n, seed), F.xxhash64(key, F.lit(seed)), F.col(key), name="place")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loomtext.operators.scan import running_sums
@@ -266,11 +270,35 @@ def weighted_epoch_mean(steps: DataFrame, loss: str, weight: str, *by: str) -> D
     return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col(loss) * F.col(weight)), F.sum(weight).cast("double")).alias(f"mean_{loss}"))
 
 
-#: Metrics by name, each an expression over a row's logits.
-METRICS = {"kl": kl_divergence, "entropy": lambda teacher, student: entropy(student)}
+def reward_stats(rewards: Column) -> Column:
+    """Mean, population deviation, least and largest of an array of rewards."""
+    n = F.size(rewards)
+    mean = F.try_divide(F.aggregate(rewards, F.lit(0.0), lambda a, x: a + x), n)
+    square = F.try_divide(F.aggregate(rewards, F.lit(0.0), lambda a, x: a + x * x), n)
+    return F.struct(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.array_min(rewards).alias("min"), F.array_max(rewards).alias("max"))
+
+
+#: Metrics by name, each an expression over a row's arrays.
+METRICS = {"kl": kl_divergence, "entropy": lambda teacher, student: entropy(student), "reward_stats": lambda teacher, student: reward_stats(student)}
 
 
 def metric(name: str, teacher: Column, student: Column) -> Column:
     if name not in METRICS:
         raise ValueError(f"metrics are {', '.join(METRICS)}")
     return METRICS[name](teacher, student)
+
+
+def tokenised(rows: DataFrame, text: str, tokenizer: Callable[[pd.Series], pd.Series], size: int, pad: int = 0, label: str | None = None) -> DataFrame:
+    """Adds input_ids and attention_mask of exactly ``size`` entries, and a label as a number: a tokenizer, any function from texts to
+    lists of ids, sees Arrow batches; cutting and padding stay expressions."""
+    schema = StructType([*rows.schema.fields, StructField("__ids", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(__ids=tokenizer(batch[text].fillna("")))
+
+    made = rows.mapInPandas(run, schema)
+    ids = F.col("__ids")
+    out = made.withColumn("input_ids", pad_ids(ids, size, pad)).withColumn("attention_mask", attention_mask(ids, size))
+    return (out.withColumn("labels", F.col(label).cast("float")) if label else out).drop("__ids")
+

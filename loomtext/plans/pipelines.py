@@ -14,12 +14,14 @@ from pyspark.sql.window import Window
 
 from loomtext.config import EngineConfig
 from loomtext.functions import text as T
-from loomtext.operators import annotate as A
 from loomtext.operators import dialogue as D
 from loomtext.operators import lexicon as L
+from loomtext.operators import indices as I
 from loomtext.operators import metrics as M
 from loomtext.operators import prefs as P
 from loomtext.operators import select as S
+from loomtext.operators import similarity as V
+from loomtext.shared import cut
 
 Generator = Callable[[pd.Series], pd.Series]
 Scorer = Callable[[pd.Series], pd.Series]
@@ -42,35 +44,59 @@ def apply_batches(rows: DataFrame, source: str, target: str, model: Callable[[pd
 
 
 def composite_scores(texts: DataFrame, key: str = "id", adjectives: list[str] | None = None) -> DataFrame:
-    """(key, score): sigmoid of the mean of the selected indices; 0 for texts of fewer than two words."""
-    docs = M.with_segments(A.annotate(texts.select(key, F.coalesce(T.strip(F.col("text")), F.lit("")).alias("text"))))
-    fit = docs.where(F.size("tokens") > 1)
-    rows = M.diversity(fit, adjectives, key).join(M.overlap(fit, ("sent",), ("all",), adjectives, key), key).join(M.givenness(fit, adjectives, key), key)
-    scored = rows.select(key, P.composite({c: F.col(c) for c in P.SCORED}).alias("score"))
-    return texts.select(key).join(scored, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    """(key, score): sigmoid of the mean of the selected indices; 0 for texts of fewer than two words. One pass over the texts."""
+    rows = scored_metrics(texts, key, adjectives)
+    score = P.composite({c: F.col(c) for c in P.SCORED})
+    return rows.select(key, F.when(F.col("status") == "ok", score).otherwise(0.0).alias("score"))
+
+
+def scored_metrics(texts: DataFrame, key: str = "id", adjectives: list[str] | None = None) -> DataFrame:
+    """(key, status, the metrics of a score) for each text, without white space around it."""
+    docs = texts.select(key, F.coalesce(T.strip(F.col("text")), F.lit("")).alias("text"))
+    return M.all_families(docs, ("diversity", "overlap", "givenness"), adjectives, key).select(key, "status", *P.SCORED)
+
+
+def detailed_analysis(texts: DataFrame, weights: dict[str, float], key: str = "id", adjectives: list[str] | None = None) -> DataFrame:
+    """(key, composite_score, detailed_metrics, weighted_metrics): the score of each text and what it is made of."""
+    rows = scored_metrics(texts, key, adjectives)
+    score = F.when(F.col("status") == "ok", P.composite({c: F.col(c) for c in P.SCORED})).otherwise(0.0)
+    return rows.select(key, score.alias("composite_score"), F.struct(*P.SCORED).alias("detailed_metrics"), P.weighted_metrics({c: F.col(c) for c in P.SCORED}, weights).alias("weighted_metrics"))
 
 
 def compute_rewards(pairs: DataFrame, key: str = "id") -> DataFrame:
     """(key, child, teacher) texts -> (key, child_score, teacher_score, reward)."""
-    child = composite_scores(pairs.select(key, F.col("child").alias("text")), key).withColumnRenamed("score", "child_score")
-    teacher = composite_scores(pairs.select(key, F.col("teacher").alias("text")), key).withColumnRenamed("score", "teacher_score")
-    return child.join(teacher, key).select(key, "child_score", "teacher_score", P.reward(F.col("child_score"), F.col("teacher_score")).alias("reward"))
+    both = pairs.select(F.struct(key, F.lit(0).alias("s")).alias("k"), F.col("child").alias("text")).unionByName(pairs.select(F.struct(key, F.lit(1).alias("s")).alias("k"), F.col("teacher").alias("text")))
+    scores = composite_scores(both, "k").select(F.col(f"k.{key}").alias(key), F.col("k.s").alias("s"), "score")
+    wide = scores.groupBy(key).agg(*[F.max(F.when(F.col("s") == i, F.col("score"))).alias(name) for i, name in enumerate(("child_score", "teacher_score"))])
+    return wide.select(key, "child_score", "teacher_score", P.reward(F.col("child_score"), F.col("teacher_score")).alias("reward"))
 
 
-def annotate_dialogues(utterances: DataFrame, group: str, order: str, lexicon: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008  frozen
-    """Utterances to annotated dialogues: five-turn chunks, cleaned text and word counts, the token budget, indices packed
-    in a struct, the lexicon mean, and the mean z-score of the selected indices."""
+def annotate_dialogues(utterances: DataFrame, group: str, order: str, lexicon: DataFrame, topics: DataFrame | None = None, speakers: tuple[str, ...] = (), config: EngineConfig = EngineConfig(), dims: int = 300) -> DataFrame:  # noqa: B008  frozen
+    """Utterances to annotated dialogues: five-turn chunks, cleaned text and word counts, the token budget, and, for the dialogue and
+    for each of the ``speakers``' turns in it, the indices packed in a struct, the lexicon mean, and the mean z-score of the
+    selected indices: ten with ``topics`` (word, vec), else the nine that need no lexicon."""
     d = D.chunk_dialogues(utterances, group, order).withColumn("text", D.dialogue_text(F.col("turns")))
-    keyed = d.withColumn("doc_id", F.xxhash64(group, "dialogue")).withColumn("cleaned", T.strip_markers(F.col("text"))).withColumn("num_words", T.word_count(F.col("cleaned")))
-    kept = S.token_budget(keyed, "num_words", config.budget).drop("running")
-    docs = M.with_segments(A.annotate(kept.select("doc_id", F.col("cleaned").alias("text"))))
-    rows = M.all_families(docs, config.families, list(config.adjectives)).drop("status")
-    packed = rows.select("doc_id", F.struct(*[c for c in rows.columns if c != "doc_id"]).alias("metrics"))
-    words = kept.select("doc_id", F.explode(F.split(T.alnum_only(F.lower("cleaned")), " ")).alias("word"))
-    joined = kept.join(packed, "doc_id", "left").join(L.normalised_mean(words, lexicon).withColumnRenamed("score", "lexicon_mean"), "doc_id", "left")
-    scored = [c for c in P.SCORED if c in rows.columns]
-    z = P.z_mean(joined.select("doc_id", *[F.col(f"metrics.{c}").alias(c) for c in scored]), scored, "aggregate")
-    return joined.join(z.select("doc_id", "aggregate"), "doc_id", "left")
+    cleaned = d.withColumn("cleaned", T.strip_markers(F.col("text"))).withColumn("num_words", T.word_count(F.col("cleaned")))
+    kept = cut(S.token_budget(cleaned.withColumn("id", F.struct(group, "dialogue")), "num_words", config.budget, "id").drop("running"))
+    out = kept
+    for name, text in (("dialog", F.col("cleaned")), *[(s, D.speaker_view(F.col("turns"), s)) for s in speakers]):
+        out = out.join(_described(kept.select("id", text.alias("text")), name, lexicon, topics, config, dims), "id", "left")
+    return out.drop("id")
+
+
+def _described(docs: DataFrame, name: str, lexicon: DataFrame, topics: DataFrame | None, config: EngineConfig, dims: int) -> DataFrame:
+    """(id, metrics, lexicon mean, aggregate), the columns named after what is described."""
+    rows = M.all_families(docs, config.families, list(config.adjectives), "id").drop("status")
+    if topics is not None:
+        sums = V.segment_sums(I.segment_words(docs, "sent", key="id"), topics, ["id", "seg"])
+        segments = M.basic_counts(docs, "id").select("id", F.col("nsents").alias("n_segments"))
+        rows = rows.join(V.adjacent_similarity(sums, segments, "id", "seg", 1, "divergence", dims).withColumnRenamed("similarity", "lda_1_all_sent"), "id")
+    packed = rows.select("id", F.struct(*[c for c in rows.columns if c != "id"]).alias(f"metrics_{name}"))
+    words = docs.select("id", F.explode(F.split(T.alnum_only(F.lower("text")), " ")).alias("word"))
+    scored = [c for c in (P.ANNOTATED if topics is not None else P.SCORED) if c in rows.columns]
+    z = P.z_mean(rows.select("id", *scored), scored, f"aggregate_{name}").select("id", f"aggregate_{name}")
+    mean = L.normalised_mean(words, lexicon, "id").withColumnRenamed("score", f"lexicon_{name}")
+    return packed.join(mean, "id", "left").join(z, "id", "left")
 
 
 def preference_dataset(prompts: DataFrame, child: Generator, teacher: Generator, scorer: Scorer | None = None, threshold: float = 0.8) -> DataFrame:

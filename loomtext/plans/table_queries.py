@@ -369,19 +369,6 @@ def last_and_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.last_and_periodic(_read(spark, sf_dir, "events").select("event_id"), "event_id", 10, 100)
 
 
-@query(None)
-def child_teacher_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite scores of assistant turns and of the turns after them, and their difference."""
-    pairs = _pairs(spark, sf_dir).select(F.xxhash64("conv_id", "turn").alias("id"), F.col("rejected").alias("child"), F.col("chosen").alias("teacher"))
-    return R.compute_rewards(pairs)
-
-
-@query(None)
-def annotated_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = _read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).distinct().select("word", F.length("word").cast("double").alias("value"), F.lit(1).alias("line"))
-    return R.annotate_dialogues(_utterances(spark, sf_dir), "conv_id", "k", lexicon)
-
-
 @query("SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, round(avg(value), 6) AS mean, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def windowed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming aggregate run over the whole table."""

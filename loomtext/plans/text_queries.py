@@ -10,7 +10,7 @@ from loomtext.operators import annotate as A
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import select as S
-from loomtext.operators import similarity as V
+from loomtext.plans import cohesion as CO
 from loomtext.plans.registry import ORACLES, query, rounded
 
 #: Adjectives of the test lexicon: syllables of the fixture's invented prose.
@@ -358,24 +358,11 @@ def _synonym_sql(level: str, c: str) -> str:
 SELECT a.doc_id, count(*) AS k FROM (SELECT DISTINCT doc_id, {level}, lemma FROM toks AS t WHERE {C[c]}) AS a JOIN (SELECT doc_id, {level}, list_distinct(coalesce(syns, [lemma])) AS syns FROM toks AS t LEFT JOIN syn ON syn.word = t.lemma WHERE {C[c]}) AS b ON a.doc_id = b.doc_id AND b.{level} = a.{level} + 1 AND list_contains(b.syns, a.lemma) GROUP BY a.doc_id) AS f USING (doc_id)"""
 
 
-def _segments(docs: DataFrame, level: str) -> DataFrame:
-    return M.basic_counts(docs).select("doc_id", F.col("nsents" if level == "sent" else "nparas").alias("n_segments"))
-
-
-def _side_by_side(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "doc_id")
-    return out
-
-
 @query("SELECT * FROM " + " JOIN ".join(f"({with_tokens(_synonym_sql(level, c)).replace('SELECT c.doc_id', f', {SYN_SQL} SELECT c.doc_id', 1)}) AS {level}_{c}{' USING (doc_id)' if (level, c) != ('sent', 'noun') else ''}" for level in ("sent", "para") for c in SYN_CLASSES))
 def synonym_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four synonym indices: sentences and paragraphs, nouns and verbs."""
     docs = texts(spark, sf_dir)
-    lexicon = _synonyms(M.I.segment_words(docs, "doc"))
-    parts = [L.synonym_overlap(M.I.segment_words(docs, level, tags), lexicon, _segments(docs, level)).withColumnRenamed("syn_overlap", f"syn_overlap_{level}_{c}") for level in ("sent", "para") for c, tags in SYN_CLASSES.items()]
-    return rounded(_side_by_side(parts))
+    return rounded(CO.synonym_indices(docs, _synonyms(M.I.segment_words(docs, "doc"))))
 
 
 REF_SQL = "ref AS (SELECT lower(w) AS item, count(*) * 1000000.0::DOUBLE / sum(count(*)) OVER () AS per_million FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY lower(w))"
@@ -427,11 +414,11 @@ def source_keyword_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 23 keyword shares of each document, its source being the next one: of the document's items those that are keywords
     of the source."""
     docs = texts(spark, sf_dir)
-    own = M.I.items(docs)
-    keywords = L.keyness(own, _family_reference(own), key=("doc_id", "family")).withColumn("doc_id", F.col("doc_id") - 1)
-    shares = L.keyword_share(M.I.items(docs, within="doc"), keywords, key=("doc_id", "family"))
-    wide = shares.groupBy("doc_id").pivot("family", list(M.I.ITEM_FAMILIES)).agg(F.first("share"))
-    return rounded(docs.select("doc_id").join(wide, "doc_id", "left").select("doc_id", *[F.coalesce(f, F.lit(0.0)).alias(f"{f}_keywords_percentage") for f in M.I.ITEM_FAMILIES]))
+    return rounded(CO.source_keywords(docs, next_texts(docs), _family_reference(M.I.items(docs))))
+
+
+def next_texts(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id") - 1)
 
 
 VEC_SQL = "vec AS (SELECT word, embedding AS v FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS vec_id FROM (SELECT lemma AS word, count(*) AS n FROM toks GROUP BY lemma)) JOIN embeddings USING (vec_id))"
@@ -444,13 +431,15 @@ def _vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
     return ranked.join(vectors, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vec"))
 
 
-def _similar(spark: SparkSession, sf_dir: str, kinds: list[tuple[str, int, str]], level: str) -> DataFrame:
-    """For each (column, width, kind) the mean similarity of adjacent segments; sums are made once for a level."""
-    docs = texts(spark, sf_dir)
-    counts = M.I.segment_words(docs, "doc").groupBy("word").agg(F.sum("k").alias("n"))
-    sums = V.segment_sums(M.I.segment_words(docs, level), _vectors(spark, sf_dir, counts), ["doc_id", "seg"])
-    parts = [V.adjacent_similarity(sums, _segments(docs, level), "doc_id", "seg", width, kind, dims=64).select("doc_id", F.round("similarity", 4).alias(name)) for name, width, kind in kinds]
-    return _side_by_side(parts)
+def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = M.I.segment_words(texts(spark, sf_dir), "doc").groupBy("word").agg(F.sum("k").alias("n"))
+    return _vectors(spark, sf_dir, counts)
+
+
+def _similar(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    docs, vectors = texts(spark, sf_dir), corpus_vectors(spark, sf_dir)
+    parts = [CO.vector_indices(docs, vectors, space, dims=64, levels=(level,)) for space in ("lsa", "lda")]
+    return rounded(CO.side_by_side(parts, "doc_id"), 4)
 
 
 def _similar_sql(kinds: list[tuple[str, int, str]], level: str) -> str:
@@ -487,12 +476,12 @@ VECTOR_KINDS = {level: [(f"{space}_{width}_all_{level}", width, "divergence" if
 @query(_similar_sql(VECTOR_KINDS["sent"], "sent"))
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums and topics of adjacent sentences, one and two on; word2vec is lsa with other vectors."""
-    return _similar(spark, sf_dir, VECTOR_KINDS["sent"], "sent")
+    return _similar(spark, sf_dir, "sent")
 
 
 @query(_similar_sql(VECTOR_KINDS["para"], "para"))
 def vector_similarity_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(spark, sf_dir, VECTOR_KINDS["para"], "para")
+    return _similar(spark, sf_dir, "para")
 
 
 @query(r"""SELECT word, least(count(*), 512)::BIGINT AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word IN ('the', 'of', 'and', 'thing') GROUP BY word""")
@@ -503,21 +492,29 @@ def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.contexts(targets, sentences).groupBy("word").agg(F.count("*").alias("n"))
 
 
-SOURCE_SQL = with_tokens(f"""SELECT p.doc_id, round({COSINE}, 4) AS source_similarity_lsa, round({DIVERGENCE}, 4) AS source_similarity_lda FROM (SELECT x.doc_id, x.a AS a, y.a AS b, x.k AS n1, y.k AS n2 FROM of_ AS x JOIN of_ AS y ON y.doc_id = x.doc_id + 1) AS p""").replace(
-    "\nSELECT p.doc_id",
+SOURCE_SQL = with_tokens(f"""SELECT d.doc_id, round({COSINE}, 4) AS source_similarity_lsa, round({DIVERGENCE}, 4) AS source_similarity_lda FROM documents AS d LEFT JOIN (SELECT x.doc_id, x.a AS a, y.a AS b, x.k AS n1, y.k AS n2 FROM of_ AS x JOIN of_ AS y ON y.doc_id = x.doc_id + 1) AS p USING (doc_id)""").replace(
+    "\nSELECT d.doc_id",
     f""", {VEC_SQL}, of_ AS (SELECT doc_id, count(*) AS k, [{', '.join(f'sum(v[{i}]::DOUBLE)' for i in range(1, 65))}] AS a FROM toks JOIN vec ON vec.word = toks.lemma GROUP BY doc_id)
-SELECT p.doc_id""",
+SELECT d.doc_id""",
 )
 
 
 @query(SOURCE_SQL)
 def source_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next one as its source, by sums (lsa and word2vec) and by topics."""
-    words = M.I.segment_words(texts(spark, sf_dir), "doc").select("doc_id", "word", "k")
-    sums = V.segment_sums(words, _vectors(spark, sf_dir, words.groupBy("word").agg(F.sum("k").alias("n"))), ["doc_id"])
-    source = sums.withColumn("doc_id", F.col("doc_id") - 1)
-    parts = [V.text_similarity(sums, source, "doc_id", kind, dims=64).select("doc_id", F.round("similarity", 4).alias(f"source_similarity_{name}")) for name, kind in (("lsa", "cosine"), ("lda", "divergence"))]
-    return _side_by_side(parts)
+    docs, vectors = texts(spark, sf_dir), corpus_vectors(spark, sf_dir)
+    found = CO.source_similarity(docs, next_texts(docs), {"lsa": vectors, "lda": vectors}, dims=64)
+    return rounded(found, 4)
+
+
+def without_adjectives(sql: str) -> str:
+    """The SQL for an empty adjective list."""
+    return sql.replace("(" + ", ".join(f"'{a}'" for a in ADJECTIVES) + ")", "(' ')")
+
+
+def unrounded(sql: str) -> str:
+    """The SQL with its results to 14 places, for further calculation."""
+    return sql.replace(", 6) AS", ", 14) AS").replace(", 4) AS", ", 14) AS")
 
 
 FAMILY_NAMES = {"diversity": [*DIVERSE, *MOVING], "connectives": list(M.I.connectives(M.I.flat_of_paragraphs(M.I.pa.array([], M.I.pa.list_(M.I.pa.string()))))), "givenness": ["pronoun_density", "pronoun_noun_ratio", "repeated_content_lemmas", "repeated_content_and_pronoun_lemmas"]}

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomtext.operators.select import row_index
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, line): lines in order within each file; blank lines and rulers go. The line number is an order within
@@ -33,6 +39,60 @@ def write_text_by_key(df: DataFrame, key: str, text: str, path: str) -> None:
     df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_files(df: DataFrame, name: str, text: str, path: str) -> int:
+    """One file a row, under the row's name in a folder that the cluster shares; a repeated attempt writes the same file again. Returns
+    the number of files."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{folder}/{own}") as file:
+                    file.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return df.select(F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(rows, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def numbered_names(df: DataFrame, *order: Column, pattern: str = "dialog_%05d.txt", start: int = 1) -> DataFrame:
+    """Adds ``filename``: the pattern with the row's number in an order."""
+    return row_index(df, *order, name="__row").withColumn("filename", F.format_string(pattern, F.col("__row") + start)).drop("__row")
+
+
+def split_summaries(df: DataFrame, path: str) -> None:
+    """(id, src, sys) rows as two folders of files named by id: sources and summaries."""
+    named = df.withColumn("__file", F.concat(F.col("id").cast("string"), F.lit(".txt")))
+    for column in ("src", "sys"):
+        write_files(named, "__file", column, f"{path}/{column}")
+
+
+def write_log(df: DataFrame, path: str, kind: str = "json") -> None:
+    """Appends rows to a log: json, csv or tsv, with a header where the kind has one."""
+    writer = df.write.mode("append")
+    if kind == "json":
+        writer.json(path)
+    elif kind in ("csv", "tsv"):
+        writer.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+    else:
+        raise ValueError("logs are json, csv or tsv")
+
+
+def read_log(spark: SparkSession, path: str, schema: StructType | str, kind: str = "json") -> DataFrame:
+    if kind == "json":
+        return spark.read.schema(schema).json(path)
+    return spark.read.csv(path, schema=schema, header=True, sep="\t" if kind == "tsv" else ",")
+
+
+def lexicon_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(value, line) of one or several lexicon files; later files come later."""
+    parts = [spark.read.text(p).select("value", (F.lit(i << 48).cast("long") + F.monotonically_increasing_id()).alias("line")) for i, p in enumerate(paths)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def read_json_folder(spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Rows with ``task``, the file's name without its suffix."""
     reader = spark.read.option("multiLine", multi_line)
