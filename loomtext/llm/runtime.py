@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROW = "__key", "__row"
-#: Lines, at most, of a table that are broadcast for keys with many rows; a key with fewer rows than LEAST_HOT is none of them.
-HOT, LEAST_HOT = 1_000, 1_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. A local session without one (tests) gets a temporary folder,
-    which goes when the process ends; a cluster without one is an error, as its executors share no other folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="loomtext-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+from loomtext.operators.joins import hot_join
+from loomtext.shared import cut, fresh_dir, shared_dir
 
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+__all__ = ["KEY", "ROW", "carried", "cut", "fresh_dir", "hot_join", "keyed", "shared_dir", "unkeyed"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+KEY, ROW = "__key", "__row"
 
 
 def carried(docs: DataFrame) -> DataFrame:
@@ -78,18 +52,3 @@ def unkeyed(out: DataFrame, source: DataFrame, same: bool) -> DataFrame:
     if same:
         return out.select(F.col(KEY).alias("doc_id"), *[c for c in out.columns if c != KEY])
     return source.select(KEY, "doc_id").join(out, KEY).drop(KEY)
-
-
-def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """The inner join on ``key``, of which ``table`` has each value once, with the number of its ``rows`` in ``count``.
-
-    Keys that hold more than one in ``HOT`` of all ``total`` rows are joined by a broadcast of at most ``HOT`` lines of the table, the
-    others by a shuffle, so no task gets all rows of one key."""
-    least = max(total // HOT, LEAST_HOT)
-    table = table.withColumn("__hot", F.col(count) > least)
-    hot = table.where("__hot").select(F.col(key).alias("__k"), *[F.col(c).alias(f"__h_{c}") for c in table.columns if c not in (key, "__hot")])
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
-    names = [c for c in table.columns if c not in (key, "__hot")]
-    done = marked.where("__k IS NOT NULL").select(*rows.columns, *[F.col(f"__h_{c}").alias(c) for c in names])
-    rest = marked.where("__k IS NULL").select(*rows.columns).join(table.where("NOT __hot").drop("__hot"), key).select(*rows.columns, *names)
-    return done.unionByName(rest)

@@ -143,12 +143,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     if total > max_labelled:
         marked = marked.where(F.pmod(F.xxhash64("__doc", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = cut(texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, s array<long>"))
-    for k in range(MEET):  # at most max_labelled heads, combined map-side, go back to the rows by a broadcast
-        heads = one.groupBy(F.col("__toxic").alias("t"), F.col("s")[k].alias("h")).agg(F.min(F.struct("__doc", "s")).alias("head"))
+    one = cut(texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, s array<int>"))
+    for k in range(MEET):  # heads of several rows only, a bounded number, go back to the rows by a broadcast
+        heads = one.groupBy(F.col("__toxic").alias("t"), F.col("s")[k].alias("h")).agg(F.min(F.struct("__doc", "s")).alias("head"), F.count("__doc").alias("n")).where("n > 1").drop("n")
         alike = F.aggregate(F.zip_with("s", "head.s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-        met = one.join(F.broadcast(heads), (F.col("__toxic") == F.col("t")) & (F.col("s")[k] == F.col("h")))
-        one = met.where((F.col("head.__doc") == F.col("__doc")) | (alike < ALIKE)).select("__doc", "__toxic", "s")
+        met = one.join(F.broadcast(heads), (F.col("__toxic") == F.col("t")) & (F.col("s")[k] == F.col("h")), "left")
+        one = met.where(F.col("t").isNull() | (F.col("head.__doc") == F.col("__doc")) | (alike < ALIKE)).select("__doc", "__toxic", "s")
     one = cut(one.select("__doc", "__toxic").distinct())
     rows = texts.join(F.broadcast(one), F.col("doc_id") == F.col("__doc")).select("text", "__toxic")
     n_toxic, n_clean = (one.where(F.col("__toxic") == k).count() for k in (1, 0))
@@ -189,7 +189,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (a, b) in enumerate(zip(of_docs[:-1].tolist(), of_docs[1:].tolist(), strict=True)):
             own = grams[a : b - 2] if b - a >= 3 else spans.hash(np.array([a]), np.array([b])) if b > a else np.zeros(1, np.uint64)
             found[i] = [mix(own ^ salt).min() for salt in salts(SKETCH, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["__doc", "__toxic", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((found >> np.uint64(33)).astype(np.int64).tolist(), pa.list_(pa.int32()))], names=["__doc", "__toxic", "s"])
 
 
 def _entries(most_hits: int) -> Callable:
