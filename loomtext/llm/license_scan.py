@@ -124,12 +124,10 @@ class Templates:
                 if size > 1:
                     least = np.minimum.reduceat(least, heads[size])
                 start, end, of = blocks[size]
-                joined, taken = least, 1
+                joined, taken = least.copy(), 1
                 for m in self.windows[size]:
-                    for t in range(taken, m):  # min-hashes of t + 1 blocks from those of t
-                        more = joined.copy()
-                        more[:-t] = np.where(of[t:] == of[:-t], np.minimum(joined[:-t], least[t:]), joined[:-t]) if t < len(of) else joined[:-t]
-                        joined = more
+                    for t in range(taken, min(m, len(of))):  # min-hashes of t + 1 blocks from those of t; past a document's end they
+                        np.minimum(joined[:-t], least[t:], out=joined[:-t])  # only add candidates that do not hold
                     taken = m
                     low, table = self.bands[size, m][k]
                     for i in np.flatnonzero(low[(joined & np.uint64(0xFFFF)).astype(np.int64)]).tolist():
