@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,14 +81,18 @@ def word_class(word: str, weights: dict[str, float]) -> tuple[int, float]:
 
 
 class Reader:
-    """Scores texts by the composed transducers, remembering the classes of words."""
+    """Scores texts by the composed transducers. An automaton over the learnt entries and the threats finds the lines that can
+    hold an offence or threat; only these are cut into words and read."""
 
-    ROOM = 1 << 17
+    ROOM = 1 << 16
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.known: dict[str, tuple[int, float]] = {}
-        self.harmless: set[str] = set()  # words that can start no pattern: neither offences nor threats
+        self.starts = ahocorasick.Automaton()
+        for entry in {*(w.rstrip("*") for w in weights), *THREATS}:
+            self.starts.add_word(entry, len(entry))
+        self.starts.make_automaton()
 
     def _class(self, token: str) -> tuple[int, float]:
         own = self.known.get(token)
@@ -95,25 +100,24 @@ class Reader:
             own = word_class(token, self.weights)
             if len(self.known) < self.ROOM:
                 self.known[token] = own
-                if own[0] not in (O, T):
-                    self.harmless.add(token)
         return own
 
+    def _lines(self, text: str) -> Iterator[str]:
+        done = -1  # the end of the last line given
+        for last, size in self.starts.iter(text):
+            first = last + 1 - size
+            if first > done and not (first and text[first - 1].isalnum()):
+                done = text.find("\n", last)
+                done = len(text) if done < 0 else done
+                yield text[text.rfind("\n", 0, first) + 1 : done]
+
     def scores(self, text: str) -> tuple[float, int]:
-        """(sum of the matched clauses' scores, matched clauses): the transducers run over each line with an offence or threat."""
-        text = text.lower()
-        if self.harmless.issuperset(TOKEN.findall(text)):
-            return 0.0, 0
+        """(sum of the matched clauses' scores, matched clauses)."""
         total, matched = 0.0, 0
-        for line in text.split("\n"):
-            tokens = TOKEN.findall(line)
-            if self.harmless.issuperset(tokens):
-                continue
-            found = [self._class(t) for t in tokens]
-            classes = [c for c, _ in found]
-            if O in classes or T in classes:
-                score, n = line_scores(classes, [w for _, w in found])
-                total, matched = total + score, matched + n
+        for line in self._lines(text.lower()):
+            found = [self._class(t) for t in TOKEN.findall(line)]
+            score, n = line_scores([c for c, _ in found], [w for _, w in found])
+            total, matched = total + score, matched + n
         return total, matched
 
 

@@ -464,6 +464,20 @@ def test_quotations_and_reports_count():
     assert score("not an idiot\nan idiot") == 9.0 and score("do not kill you") == 0.5
 
 
+def test_lines_without_entries_may_be_skipped():
+    draw = np.random.default_rng(4)
+    pieces = ["idiot", "Idiots", "blorp", "xblorp", "x_blorp", "kill", "killer", "you", "not", "said", "a", "'", "\"", ",", ".", "\n", " ", " ", " ", "é", "don't"]
+    reader = toxicity.Reader(WEIGHTS)
+    for _ in range(500):
+        text = "".join(draw.choice(pieces, 30))
+        want = [0.0, 0]
+        for line in text.lower().split("\n"):
+            found = [toxicity.word_class(t, WEIGHTS) for t in toxicity.TOKEN.findall(line)]
+            score, n = grammar.line_scores([c for c, _ in found], [w for _, w in found])
+            want = [want[0] + score, want[1] + n]
+        assert list(reader.scores(text)) == pytest.approx(want)
+
+
 def test_composition_equals_each_machine_by_itself():
     """All machines walked one by one over random classes, their factors multiplied place by place."""
     draw = np.random.default_rng(21)
