@@ -100,6 +100,41 @@ def test_packing_round_trip(spark, kind):
         assert any(len(ids) == p.doc_tokens and zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for ids in want[p.doc_id])
 
 
+def nnls(a, b):
+    """Lawson and Hanson's active set: least squares over x >= 0."""
+    n = a.shape[1]
+    x, passive = np.zeros(n), np.zeros(n, bool)
+    while True:
+        w = a.T @ (b - a @ x)
+        if passive.all() or w[~passive].max(initial=0) < 1e-9:
+            return x
+        passive[np.argmax(np.where(passive, -np.inf, w))] = True
+        while True:
+            z = np.zeros(n)
+            z[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            if z[passive].min() > 0:
+                x = z
+                break
+            low = passive & (z <= 0)
+            x += (x[low] / (x[low] - z[low])).min() * (z - x)
+            passive &= x > 1e-12
+
+
+def test_repeat_counts_come_near_least_squares():
+    draw = np.random.default_rng(7)
+    for window in (16, 24):
+        counts = np.zeros(window + 1, np.int64)
+        counts[1:window] = draw.integers(0, 60, window - 1)
+        combos = packing.combinations_of(counts, window)
+        a = np.zeros((window + 1, len(combos)))
+        for j, row in enumerate(combos):
+            for v in row[row > 0]:
+                a[v, j] += 1
+        error = lambda x: float(((a @ x - counts) ** 2).sum())
+        own, best = packing.repeat_counts(combos, counts), nnls(a, counts.astype(float))
+        assert (own >= 0).all() and error(own) <= error(best) + 0.02 * float((counts**2).sum())
+
+
 def test_patterns_fill_windows():
     draw = np.random.default_rng(1)
     lengths = draw.integers(1, 3000, 4000)

@@ -1,7 +1,10 @@
 import hashlib
+import os
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from loomtext.llm import tokens, toxicity
@@ -51,3 +54,14 @@ def test_stages_against_plain_code(spark, tmp_path):
 def test_registered_queries():
     assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = con.execute(ORACLES[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(tuple(r) for r in QUERIES[name](spark, folder).select(*columns).collect()) == sorted(found.fetchall())
