@@ -50,16 +50,17 @@ def _alike(prompt: pd.Series, response: pd.Series, threshold: pd.Series) -> pd.S
 
 
 def repetitive_native(prompt: Column, response: Column) -> Column:
-    """The rules that need no sequence matcher: too short, too few words, or the prompt's end inside."""
+    """The rules that need no sequence matcher: too short, too few words, or the prompt's end inside; a null or empty prompt's end
+    is in every response."""
     own = words(F.coalesce(response, F.lit("")))
     tail = lambda a, n: F.when(F.size(a) > n, F.slice(a, F.size(a) - n + 1, n)).otherwise(a)
-    end = F.array_join(tail(words(prompt), 50), " ")
+    end = F.array_join(tail(words(F.coalesce(prompt, F.lit(""))), 50), " ")
     return response.isNull() | (F.length(strip(response)) < 10) | (F.size(own) < 5) | F.contains(response, end)
 
 
 def repetitive(prompt: Column, response: Column, threshold: float = 0.8) -> Column:
     """Whether a response only repeats its prompt. The matcher sees rows that the other rules leave, in Arrow batches."""
-    p, r = words(prompt), words(F.coalesce(response, F.lit("")))
+    p, r = words(F.coalesce(prompt, F.lit(""))), words(F.coalesce(response, F.lit("")))
     tail = F.when(F.size(p) > 20, F.slice(p, F.size(p) - 19, 20)).otherwise(p)
     head = F.slice(r, 1, 20)
     return F.when(repetitive_native(prompt, response), F.lit(True)).when(F.size(head) >= 10, _alike(tail, head, F.lit(threshold))).otherwise(F.lit(False))
