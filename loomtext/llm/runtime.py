@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators.joins import hot_join
 from loomtext.shared import cut, fresh_dir, shared_dir
 
-__all__ = ["KEY", "ROW", "carried", "cut", "fresh_dir", "hot_join", "keyed", "shared_dir", "unkeyed"]
+__all__ = ["KEY", "ROW", "carried", "cut", "drop_dir", "fresh_dir", "hot_join", "keyed", "shared_dir", "unkeyed"]
 
 KEY, ROW = "__key", "__row"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """doc_id, text and the whole row as the struct ``__row``, so that no column of the table can clash with an own one."""
     return docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
