@@ -4,8 +4,9 @@ Fingerprints that differ in at most four of 64 bits agree in two of six blocks a
 the index are masked patterns, one for each choice of two blocks, and these deal the index out to tasks:
 what two fingerprints of a link share lies under one top node. Below a top node fingerprints stand in
 the order of their Gray rank and form leaves and, over these, nodes; a node keeps the bits that all its
-members share. The shared bits in which two nodes differ are a lower bound of every difference between
-their members, which rules out whole groups; so does a component that already holds all of both.
+members share. Going down a pair of nodes, differences accumulate: a child's pattern adds those bits that its parent's did
+not fix. The sum is a lower bound of every difference between their members, which rules out whole groups; so
+does a component that already holds all of both.
 
 Links are reduced to a spanning forest where they are found, so that a group of n close
 fingerprints gives n - 1 edges. A top node with more fingerprints than ``crowd`` is cut into slices by
@@ -92,12 +93,15 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def forest(group: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all links within a group; rows stand by group and Gray rank."""
+    """Edges of a spanning forest of all links within a group; rows stand by group and Gray rank.
+
+    A node's pattern is the bits that all its members share (``known``) and their values. Two nodes carry down the differences
+    counted so far, in the bits that both patterns know; a pair of their children adds those in the bits that are
+    known anew, and is dropped with all below it once the sum exceeds the distance."""
     n = len(prints)
     root = np.arange(n)
-    levels = []  # of each: (group, bits that are 1 in all, bits that are 1 in some, first member, end)
-    first = np.arange(n)
-    end, of, every, some = first + 1, group, prints, prints
+    levels = []  # of each: known bits, their values, first member, end
+    of, every, some = group, prints, prints
     while True:
         start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         sizes = np.diff(np.append(start, len(of)))
@@ -109,43 +113,42 @@ def forest(group: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.nda
         stop = np.minimum(at + FANOUT, np.repeat(start + sizes, chunks))
         every, some = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
         of = of[at]
-        levels.append((every, some, at, stop))
-        first, end = at, stop
+        levels.append((every | ~some, every, at, stop))
         if len(of) == len(start):
             break
-    del first, end
     a = np.arange(len(levels[-1][0]))
-    b = a.copy()
+    b, sofar = a.copy(), np.zeros(len(a), np.int64)
+    all_bits = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for depth in range(len(levels) - 1, -1, -1):
-        every, some, at, stop = levels[depth]
-        below = levels[depth - 1] if depth else (prints, prints)
-        x_pairs, y_pairs = [], []
+        known, _, at, stop = levels[depth]
+        below, values = levels[depth - 1][:2] if depth else (all_bits, prints)
+        found = []
         for k in range(0, len(a), 4096):
-            x, y = a[k : k + 4096], b[k : k + 4096]
+            x, y, before = a[k : k + 4096], b[k : k + 4096], sofar[k : k + 4096]
             if depth == 0 and k:  # leaves whose members are all in one component add nothing
                 low = np.minimum.reduceat(root, at)
                 same = low == np.maximum.reduceat(root, at)
                 open_ = ~(same[x] & same[y] & (low[x] == low[y]))
-                x, y = x[open_], y[open_]
+                x, y, before = x[open_], y[open_], before[open_]
             if not len(x):
                 continue
             i = at[x][:, None, None] + np.arange(FANOUT)[None, :, None]
             j = at[y][:, None, None] + np.arange(FANOUT)[None, None, :]
             ok = (i < stop[x][:, None, None]) & (j < stop[y][:, None, None]) & ((i < j) if depth == 0 else (i <= j))
             i, j = np.broadcast_arrays(i, j)
+            counted = np.broadcast_to((known[x] & known[y])[:, None, None], ok.shape)[ok]
+            total = np.broadcast_to(before[:, None, None], ok.shape)[ok]
             i, j = i[ok], j[ok]
-            apart = (below[0][i] & ~below[1][j]) | (below[0][j] & ~below[1][i])
-            near = np.bitwise_count(apart) <= distance
-            i, j = i[near], j[near]
+            total = total + np.bitwise_count((values[i] ^ values[j]) & below[i] & below[j] & ~counted)
+            near = total <= distance
             if depth:
-                x_pairs.append(i)
-                y_pairs.append(j)
+                found.append((i[near], j[near], total[near]))
             else:
-                _unite(root, i, j)
+                _unite(root, i[near], j[near])
         if depth:
-            a, b = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (x_pairs, y_pairs))
+            a, b, sofar = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
             close = np.argsort(b - a, kind="stable")  # neighbours in Gray order first: they join most
-            a, b = a[close], b[close]
+            a, b, sofar = a[close], b[close], sofar[close]
     child = np.flatnonzero(root != np.arange(n))
     return child, root[child]
 
