@@ -98,3 +98,17 @@ def test_row_numbers_over_many_partitions(many_partitions):
     df = many_partitions.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(50)))
     rows = sorted((r.x, r.id, r.row) for r in S.row_index(df, F.col("x"), F.col("id")).collect())
     assert [r[2] for r in rows] == list(range(1000))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomtext.shared import shared_dir
+
+    named: list[str] = []
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: named[-1] if named else None, setCheckpointDir=named.append)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+    session.conf = SimpleNamespace(get=lambda name, default: "hdfs://host/shared/")
+    assert shared_dir(session) == "hdfs://host/shared" and named == ["hdfs://host/shared/"]
