@@ -27,8 +27,8 @@ from loomtext.llm.units import pieces
 
 #: An interval of windows in one long: start << SHIFT | count. Runs hold fewer than 1 << SHIFT windows.
 SHIFT = 8
-#: Units of a text that are hashed at once.
-STRETCH = 1 << 18
+#: Units of a text that are hashed at once, and runs after which a batch of rows goes out.
+STRETCH, ROWS = 1 << 18, 1 << 16
 #: Declared not null, or filters for nulls would tell equal shuffles apart.
 RUN_ROW = f"seed long not null, content long not null, {KEY} long not null, at long not null"
 PACKED_ROW = f"{KEY} long not null, packed binary"
@@ -45,30 +45,36 @@ def first_of_each(*keys: np.ndarray) -> np.ndarray:
 
 
 def run_rows(units_of: Callable, length: int, gram: int, stretch: int) -> Callable:
-    """mapInArrow function: (key, text) -> one row for each distinct run of each document."""
+    """mapInArrow function: (key, text) -> a row for each distinct run of each document, in batches of a bounded size."""
+
+    def made(parts: list[tuple], keys: np.ndarray) -> pa.RecordBatch:
+        doc, start, count, seed, content, loops = map(np.concatenate, zip(*parts, strict=True))
+        one = first_of_each(doc, seed, content)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(seed[one].view(np.int64)),
+                pa.array(content[one].view(np.int64)),
+                pa.array(keys[doc[one]].astype(np.int64)),
+                pa.array((start[one] << SHIFT | count[one]) << 1 | loops[one]),
+            ],
+            names=["seed", "content", KEY, "at"],
+        )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             units, bounds = units_of(batch.column(1))
-            parts = []
+            parts, waiting = [], 0
             for doc, start, end, inner in pieces(bounds, stretch, length - 1):
                 runs, _ = seed_runs(units(start, end), inner, length, gram)
                 at = runs.doc + doc
                 parts.append((at, runs.start + start - bounds[at], runs.count, runs.seed, runs.content, runs.loops))
-            if not parts:
-                continue
-            doc, start, count, seed, content, loops = map(np.concatenate, zip(*parts, strict=True))
-            one = first_of_each(doc, seed, content)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(seed[one].view(np.int64)),
-                    pa.array(content[one].view(np.int64)),
-                    pa.array(keys[doc[one]].astype(np.int64)),
-                    pa.array((start[one] << SHIFT | count[one]) << 1 | loops[one]),
-                ],
-                names=["seed", "content", KEY, "at"],
-            )
+                waiting += len(at)
+                if waiting > ROWS:
+                    yield made(parts, keys)
+                    parts, waiting = [], 0
+            if parts:
+                yield made(parts, keys)
 
     return rows
 
@@ -77,8 +83,7 @@ def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as Zstandard frames, for the one shuffle that carries them; further columns go along."""
     pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        frames = pa.array([None if x is None else pack.compress(x) for x in texts.to_pylist()], pa.binary())
+        frames = pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(1).cast(pa.binary())], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), frames, *batch.columns[2:]], names=[KEY, "packed", *batch.schema.names[2:]])
 
 

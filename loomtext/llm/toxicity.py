@@ -202,8 +202,8 @@ def _entries(most_hits: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Counter(w for w in TOKEN.findall((text or "").lower()) if w not in MARKS)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = Counter(w for w in TOKEN.findall((text.as_py() or "").lower()) if w not in MARKS)
                 own.update(w[:k] + "*" for w in list(own) for k in STEMS if len(w) > k)
                 for entry, n in own.items():
                     tally = counts.setdefault(entry, [0, 0, 0])
@@ -226,7 +226,7 @@ def _tallies(weights: dict[str, float]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(weights)
         for batch in batches:
-            scores = [reader.scores(t or "")[0] for t in batch.column(0).to_pylist()]
+            scores = [reader.scores(t.as_py() or "")[0] for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1).cast(pa.int64())], names=["score", "toxic"])
 
     return rows
@@ -252,7 +252,7 @@ def _scores(grammar: Grammar) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(grammar.weights)
         for batch in batches:
-            found = [reader.scores(t or "") for t in batch.column(2).to_pylist()]
+            found = [reader.scores(t.as_py() or "") for t in batch.column(2)]
             scores = [logistic(grammar.bias + grammar.slope * math.log1p(s)) for s, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([n for _, n in found], pa.int32())],
@@ -276,7 +276,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(grammar.weights)
         for batch in batches:
-            sums = [reader.scores(t or "")[0] for t in batch.column(at).to_pylist()]
+            sums = [reader.scores(t.as_py() or "")[0] for t in batch.column(at)]
             keep = [logistic(grammar.bias + grammar.slope * math.log1p(s)) < threshold for s in sums]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
