@@ -3,8 +3,8 @@
 Every window belongs to a run of windows with one seed (``seeds.py``). Three steps, none of which
 forms pairs or collects a group in one task unless the group is small:
 
-1. Runs are grouped by (seed, content); the aggregate keeps the smallest document and combines map-side,
-   so copies by the thousand shrink to one row a task. Any other occurrence is a copy as a whole.
+1. Runs are grouped by (seed, content); of each group the smallest document is kept. Groups are combined before the
+   shuffle, so copies by the thousand shrink to a row a batch. Any other occurrence is a copy as a whole.
 2. A first occurrence whose seed has one content only holds windows that occur nowhere earlier.
 3. The rest, runs at the rims of repeats, are extended from their anchors to both sides (``extend.py``).
 
@@ -27,8 +27,8 @@ from loomtext.llm.units import pieces
 
 #: An interval of windows in one long: start << SHIFT | count. Runs hold fewer than 1 << SHIFT windows.
 SHIFT = 8
-#: Units of a text that are hashed at once, and runs after which a batch of rows goes out.
-STRETCH, ROWS = 1 << 18, 1 << 16
+#: Units of a text that are hashed at once, and runs that are combined before a batch of rows goes out.
+STRETCH, ROWS = 1 << 18, 1 << 19
 #: Declared not null, or filters for nulls would tell equal shuffles apart.
 RUN_ROW = f"seed long not null, content long not null, {KEY} long not null, at long not null"
 PACKED_ROW = f"{KEY} long not null, packed binary"
@@ -45,17 +45,22 @@ def first_of_each(*keys: np.ndarray) -> np.ndarray:
 
 
 def run_rows(units_of: Callable, length: int, gram: int, stretch: int) -> Callable:
-    """mapInArrow function: (key, text) -> a row for each distinct run of each document, in batches of a bounded size."""
+    """mapInArrow function: (key, text) -> a row for each distinct run of about ``ROWS`` runs, at its first place among them: copies
+    are combined before the shuffle."""
 
     def made(parts: list[tuple], keys: np.ndarray) -> pa.RecordBatch:
         doc, start, count, seed, content, loops = map(np.concatenate, zip(*parts, strict=True))
-        one = first_of_each(doc, seed, content)
+        key = keys[doc].astype(np.int64)
+        order = np.lexsort((start, key, content, seed))
+        seed, content = seed[order], content[order]
+        one = np.append(True, (seed[1:] != seed[:-1]) | (content[1:] != content[:-1]))
+        first = order[one]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(seed[one].view(np.int64)),
                 pa.array(content[one].view(np.int64)),
-                pa.array(keys[doc[one]].astype(np.int64)),
-                pa.array((start[one] << SHIFT | count[one]) << 1 | loops[one]),
+                pa.array(key[first]),
+                pa.array((start[first] << SHIFT | count[first]) << 1 | loops[first]),
             ],
             names=["seed", "content", KEY, "at"],
         )
@@ -96,9 +101,11 @@ def first_runs(source: DataFrame, units_of: Callable, length: int, gram: int, st
     """For each document the first occurrences among its runs: ``runs`` array<struct<at, seed, n>>, of which those
     with a seed must still be compared (n runs have it), and ``open``, whether there are any.
 
-    Every consumer asks for the same columns, so that the shuffles below are written once and reused."""
-    runs = source.mapInArrow(run_rows(units_of, length, gram, stretch), RUN_ROW)
-    firsts = runs.groupBy("seed", "content").agg(F.min(KEY).alias(KEY), F.min_by("at", KEY).alias("at"))
+    Runs are shuffled once, by seed: the first place of each content, the number of a seed's contents and their join all
+    follow from that partitioning. Every consumer asks for the same columns, so that shuffles are written once and reused."""
+    runs = source.mapInArrow(run_rows(units_of, length, gram, stretch), RUN_ROW).repartition("seed")
+    in_docs = runs.groupBy("seed", "content", KEY).agg(F.min("at").alias("at"))  # a long document comes in several batches
+    firsts = in_docs.groupBy("seed", "content").agg(F.min(KEY).alias(KEY), F.min_by("at", KEY).alias("at"))
     contents = firsts.groupBy("seed").agg(F.count(F.coalesce(KEY, "at")).alias("n"))
     several = (F.col("n") > 1) | (F.col("at").bitwiseAND(F.lit(1)) == 1)
     marked = firsts.join(contents, "seed").select(KEY, F.shiftright("at", 1).alias("at"), F.when(several, F.col("seed")).alias("seed"), F.when(several, F.col("n")).alias("n"))
