@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.repeats import SHIFT, compared_runs, first_of_each, unzipped
-from loomtext.llm.runtime import KEY
+from loomtext.llm.runtime import KEY, released
 from loomtext.llm.units import Spans, batch_bytes, mix, ranges, word_units, words
 
 #: Different runs of one anchor beyond which windows, not runs, are dealt out.
@@ -162,8 +162,8 @@ def _compared(window: int, gram: int, symbols_of: SymbolsOf) -> Callable:
 def extended(runs: DataFrame, packed: DataFrame, window: int, gram: int, crowd: int, cuts_of: CutsOf, symbols_of: SymbolsOf) -> DataFrame:
     """(``__key``, more array<long>): of the runs that must be compared, the intervals of windows that start first."""
     met = runs.where("open").join(packed, KEY).select(KEY, "packed", "runs", *[c for c in packed.columns if c not in (KEY, "packed")])
-    dealt = met.mapInArrow(_dealt(window, crowd, cuts_of), DEALT)
-    firsts = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_compared(window, gram, symbols_of), f"{KEY} long, at long")
+    dealt = met.mapInArrow(released(_dealt(window, crowd, cuts_of)), DEALT)
+    firsts = dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(released(_compared(window, gram, symbols_of)), f"{KEY} long, at long")
     return firsts.repartition(KEY).groupBy(KEY).agg(F.collect_list("at").alias("more"))
 
 

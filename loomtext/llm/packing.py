@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from loomtext.llm.runtime import released
 from loomtext.llm.tokens import default_vocabulary, encoder
 
 WINDOW = 1024
@@ -159,4 +160,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``closing`` is an id put
     after each document."""
     source = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
-    return source.mapInArrow(_pieces(path or default_vocabulary(), window, stretch, closing), ", ".join(f"{n} long" for n in NAMES))
+    return source.mapInArrow(released(_pieces(path or default_vocabulary(), window, stretch, closing)), ", ".join(f"{n} long" for n in NAMES))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.runtime import KEY
+from loomtext.llm.runtime import KEY, released
 from loomtext.llm.seeds import seed_runs
 from loomtext.llm.units import pieces
 
@@ -103,7 +103,7 @@ def first_runs(source: DataFrame, units_of: Callable, length: int, gram: int, st
 
     Runs are shuffled once, by seed: the first place of each content, the number of a seed's contents and their join all
     follow from that partitioning. Every consumer asks for the same columns, so that shuffles are written once and reused."""
-    runs = source.mapInArrow(run_rows(units_of, length, gram, stretch), RUN_ROW).repartition("seed")
+    runs = source.mapInArrow(released(run_rows(units_of, length, gram, stretch)), RUN_ROW).repartition("seed")
     in_docs = runs.groupBy("seed", "content", KEY).agg(F.min("at").alias("at"))  # a long document comes in several batches
     firsts = in_docs.groupBy("seed", "content").agg(F.min(KEY).alias(KEY), F.min_by("at", KEY).alias("at"))
     contents = firsts.groupBy("seed").agg(F.count(F.coalesce(KEY, "at")).alias("n"))

@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators.joins import hot_join
 from loomtext.shared import cut, fresh_dir, shared_dir
 
-__all__ = ["KEY", "ROW", "carried", "cut", "drop_dir", "fresh_dir", "hot_join", "keyed", "shared_dir", "unkeyed"]
+__all__ = ["KEY", "ROW", "carried", "cut", "drop_dir", "fresh_dir", "hot_join", "keyed", "released", "shared_dir", "unkeyed"]
 
 KEY, ROW = "__key", "__row"
 
 
+def released(rows: Callable) -> Callable:
+    """The mapInArrow function, giving back to the system at its end what the allocators hold: Python workers wait for further
+    tasks, beside the JVM in the same executor."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

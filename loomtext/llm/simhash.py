@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import components
-from loomtext.llm.runtime import KEY, ROW, carried, cut, hot_join, keyed
+from loomtext.llm.runtime import KEY, ROW, carried, cut, hot_join, keyed, released
 
 SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -211,7 +211,7 @@ def linked(prints: DataFrame, distance: int = 4, blocks: tuple[int, ...] = BLOCK
     sliced = routed.join(crowded, ["top", "pattern"], "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
     dealt = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("top", "pattern", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "fp")
     node = ["top", "pattern", "x", "y"]
-    edges = dealt.repartition(*node).sortWithinPartitions(*node).mapInArrow(_edges(distance), "a long, b long")
+    edges = dealt.repartition(*node).sortWithinPartitions(*node).mapInArrow(released(_edges(distance)), "a long, b long")
     return components(edges)
 
 
@@ -219,7 +219,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, cro
     """((``__key``, fp, component), keyed documents, whether the key is the doc_id); component is the
     least key that links reach."""
     source, same = keyed(docs)
-    prints = cut(source.select(KEY, "text").mapInArrow(_fingerprints(shingle), f"{KEY} long not null, fp long not null"))
+    prints = cut(source.select(KEY, "text").mapInArrow(released(_fingerprints(shingle)), f"{KEY} long not null, fp long not null"))
     distinct = cut(prints.groupBy("fp").agg(F.min(KEY).alias("least"), F.count(KEY).alias("n")))
     roots = linked(distinct.select("fp"), distance, crowd=crowd)
     members = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from loomtext.llm.extend import CROWD, extended, word_symbols
 from loomtext.llm.repeats import PACKED_ROW, STRETCH, alone_runs, first_runs, long_lists, removed_units, unzipped, zipped
-from loomtext.llm.runtime import KEY, keyed, unkeyed
+from loomtext.llm.runtime import KEY, keyed, released, unkeyed
 from loomtext.llm.units import batch_bytes, word_units, words
 
 GRAM = 6
@@ -70,9 +70,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = GRAM, with_te
     """doc_id, n_words, n_removed, kept_sha256 and, on demand, kept (the remaining words, joined by a space)."""
     source, same = keyed(docs.select("doc_id", "text"))
     texts = source.select(KEY, "text")
-    packed = texts.mapInArrow(zipped, PACKED_ROW)
+    packed = texts.mapInArrow(released(zipped), PACKED_ROW)
     runs = first_runs(texts, _units, window, gram, stretch)
     more = extended(runs, packed, window, gram, crowd, _cuts, word_symbols)
     joined = packed.join(runs, KEY, "left").join(more, KEY, "left")
-    out = joined.mapInArrow(_kept(window, with_text), f"{KEY} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    out = joined.mapInArrow(released(_kept(window, with_text)), f"{KEY} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return unkeyed(out, source, same)

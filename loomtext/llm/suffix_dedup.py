@@ -30,7 +30,7 @@ from pyspark.sql.types import StructField, StructType
 
 from loomtext.llm.extend import CROWD, byte_symbols, extended
 from loomtext.llm.repeats import PACKED_ROW, STRETCH, alone_runs, first_runs, long_lists, removed_units, unzipped, zipped
-from loomtext.llm.runtime import KEY, ROW, carried, keyed, unkeyed
+from loomtext.llm.runtime import KEY, ROW, carried, keyed, released, unkeyed
 from loomtext.llm.units import batch_bytes
 
 GRAM = 20
@@ -69,12 +69,12 @@ def _deduped(texts: DataFrame, window: int, gram: int, crowd: int, with_text: bo
     """(``__key``, text) and, it may be, one more column, which comes out again -> the results by key. Both uses of the texts
     ask for all columns, so that one shuffle serves both."""
     more_fields = texts.schema.fields[2:]
-    packed = texts.mapInArrow(zipped, StructType([*_parse(PACKED_ROW), *more_fields]))
+    packed = texts.mapInArrow(released(zipped), StructType([*_parse(PACKED_ROW), *more_fields]))
     runs = first_runs(texts.select(KEY, "text"), _units, window, gram, stretch)
     more = extended(runs, packed, window, gram, crowd, _cuts, byte_symbols)
     joined = packed.join(runs, KEY, "left").join(more, KEY, "left")
     out = f"{KEY} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return joined.mapInArrow(_kept(window, with_text, [f.name for f in more_fields]), StructType([*_parse(out), *more_fields]))
+    return joined.mapInArrow(released(_kept(window, with_text, [f.name for f in more_fields])), StructType([*_parse(out), *more_fields]))
 
 
 def _parse(row: str) -> list[StructField]:

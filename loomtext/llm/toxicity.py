@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.grammar import C, N, O, P, Q, R, S, T, W, line_scores
-from loomtext.llm.runtime import cut
+from loomtext.llm.runtime import cut, released
 from loomtext.llm.units import Spans, batch_bytes, mix, salts, word_units, words
 
 #: Labelled rows, at most, from which words and stems are learnt; a larger table is sampled by hash.
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     if total > max_labelled:
         marked = marked.where(F.pmod(F.xxhash64("__doc", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = cut(texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(_sketches, "__doc long, __toxic int, s array<int>"))
+    one = cut(texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__doc")).select("__doc", "__toxic", "text").mapInArrow(released(_sketches), "__doc long, __toxic int, s array<int>"))
     for k in range(MEET):  # heads of several rows only, a bounded number, go back to the rows by a broadcast
         heads = one.groupBy(F.col("__toxic").alias("t"), F.col("s")[k].alias("h")).agg(F.min(F.struct("__doc", "s")).alias("head"), F.count("__doc").alias("n")).where("n > 1").drop("n")
         alike = F.aggregate(F.zip_with("s", "head.s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     n_toxic, n_clean = (one.where(F.col("__toxic") == k).count() for k in (1, 0))
     weights: dict[str, float] = {}
     if n_toxic and n_clean:
-        counted = rows.mapInArrow(_entries(most_hits), "entry string, toxic long, hits long, others long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "hits", "others")])
+        counted = rows.mapInArrow(released(_entries(most_hits)), "entry string, toxic long, hits long, others long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "hits", "others")])
         odds = F.log((F.col("hits") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("others") + 0.5) / (n_clean + 1.0))
         share = n_toxic / (n_toxic + n_clean)
         n = F.col("hits") + F.col("others")
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         strong = counted.where((F.col("toxic") >= LEAST_DOCS) & (sided >= math.log(ENTRIES_A_DOC * (n_toxic + n_clean)) + MARGIN)).withColumn("w", odds).where(F.col("w") >= LEAST_LOG_ODDS)
         best = strong.orderBy(F.col("w").desc(), F.length("entry"), "entry").limit(max_entries).collect()
         weights = _own_evidence([(r["entry"], float(r["w"]), int(r["hits"])) for r in best])
-    tallies = rows.mapInArrow(_tallies(weights), "score double, toxic long").groupBy(F.round("score", 1).alias("score"), "toxic").count().collect() if weights else []
+    tallies = rows.mapInArrow(released(_tallies(weights)), "score double, toxic long").groupBy(F.round("score", 1).alias("score"), "toxic").count().collect() if weights else []
     bias, slope = _fit([tuple(r) for r in tallies])
     return Grammar(weights, bias, slope)
 
@@ -265,7 +265,7 @@ def _scores(grammar: Grammar) -> Callable:
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, held_out, score, predicted, clauses (matched ones) for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_scores(grammar), "doc_id long, held_out boolean, score double, predicted int, clauses int")
+    return rows.mapInArrow(released(_scores(grammar)), "doc_id long, held_out boolean, score double, predicted int, clauses int")
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> DataFrame:
@@ -280,4 +280,4 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
             keep = [logistic(grammar.bias + grammar.slope * math.log1p(s)) < threshold for s in sums]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(released(rows), docs.schema)
