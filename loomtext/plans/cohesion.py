@@ -59,14 +59,17 @@ def synonym_indices(docs: DataFrame, synonyms: DataFrame, key: str = "doc_id") -
     return side_by_side(parts, key)
 
 
-def vector_indices(docs: DataFrame, vectors: DataFrame, space: str, key: str = "doc_id", dims: int = 300, levels: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
-    """The similarity of a segment to the next one and the next two, for each level; a level's sums are made once."""
+def vector_indices(docs: DataFrame, vectors: DataFrame, spaces: tuple[str, ...], key: str = "doc_id", dims: int = 300, levels: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
+    """The similarity of a segment to the next one and the next two, for each level; a level's sums are made once, also for spaces
+    that share their vectors."""
     parts = []
     for level in levels:
         sums = V.segment_sums(I.segment_words(docs, level, key=key), vectors, [key, "seg"])
-        for width in (1, 2):
-            found = V.adjacent_similarity(sums, segments(docs, level, key), key, "seg", width, SPACES[space], dims)
-            parts.append(found.withColumnRenamed("similarity", f"{space}_{width}_all_{level}"))
+        counts = segments(docs, level, key)
+        for space in spaces:
+            for width in (1, 2):
+                found = V.adjacent_similarity(sums, counts, key, "seg", width, SPACES[space], dims)
+                parts.append(found.withColumnRenamed("similarity", f"{space}_{width}_all_{level}"))
     return side_by_side(parts, key)
 
 
@@ -96,8 +99,12 @@ def process_texts(docs: DataFrame, lexicons: Lexicons = Lexicons(), families: tu
     parts = [M.all_families(docs, tuple(f for f in PLAIN if f in families), list(lexicons.adjectives), key)]
     if "synonyms" in families:
         parts.append(synonym_indices(docs, _given(lexicons.synonyms, "synonyms"), key))
-    spaces = {s: _given(getattr(lexicons, s), s) for s in SPACES if s in families}
-    parts += [vector_indices(docs, vectors, s, key, lexicons.dims) for s, vectors in spaces.items()]
+    shared: dict[int, tuple[DataFrame, list[str]]] = {}
+    for s in SPACES:
+        if s in families:
+            vectors = _given(getattr(lexicons, s), s)
+            shared.setdefault(id(vectors), (vectors, []))[1].append(s)
+    parts += [vector_indices(docs, vectors, tuple(own), key, lexicons.dims) for vectors, own in shared.values()]
     if "source_keywords" in families:
         parts.append(source_keywords(docs, _given(sources, "sources"), _given(lexicons.references, "references"), key))
     if "source_similarity" in families:

@@ -437,9 +437,8 @@ def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
-    docs, vectors = texts(spark, sf_dir), corpus_vectors(spark, sf_dir)
-    parts = [CO.vector_indices(docs, vectors, space, dims=64, levels=(level,)) for space in ("lsa", "lda")]
-    return rounded(CO.side_by_side(parts, "doc_id"), 4)
+    found = CO.vector_indices(texts(spark, sf_dir), corpus_vectors(spark, sf_dir), ("lsa", "lda"), dims=64, levels=(level,))
+    return rounded(found, 4)
 
 
 def _similar_sql(kinds: list[tuple[str, int, str]], level: str) -> str:
