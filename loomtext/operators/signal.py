@@ -123,9 +123,10 @@ def mixed_reward(teacher: Column, base: Column, weight: float = 0.5) -> Column:
     return weight * teacher + (1 - weight) * base
 
 
-def gradient_scale(norms: Column, max_norm: float = 1.0, min_scale: float = 0.1) -> Column:
-    """The factor of a loss from an array of gradient norms; 1 where there are none."""
-    return F.coalesce(F.greatest(F.least(F.lit(max_norm) / (F.array_max(norms) + 1e-6), F.lit(1.0)), F.lit(min_scale)), F.lit(1.0))
+def gradient_scale(norms: Column, max_norm: float = 1.0, min_scale: float | None = 0.1) -> Column:
+    """The factor of a loss from an array of gradient norms; 1 where there are none. Without ``min_scale`` it has no lower bound."""
+    scale = F.least(F.lit(max_norm) / (F.array_max(norms) + 1e-6), F.lit(1.0))
+    return F.coalesce(scale if min_scale is None else F.greatest(scale, F.lit(min_scale)), F.lit(1.0))
 
 
 def layer_scale(layers: Column, weights: dict[str, float]) -> Column:

@@ -385,7 +385,7 @@ def mixed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def teacher_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("t"))
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("t").alias("s")), "vec_id")
-    return rounded(pairs.select("vec_id", G.teacher_reward(F.col("t"), F.col("s"), 2.0).alias("reward"), G.gradient_scale(F.transform("t", lambda x: x * 20)).alias("scale")), 4)
+    return rounded(pairs.select("vec_id", G.teacher_reward(F.col("t"), F.col("s"), 2.0).alias("reward"), G.gradient_scale(F.transform("t", lambda x: x * 20), min_scale=None).alias("scale")), 4)
 
 
 @query("SELECT conv_id, turn, text AS made FROM conversations")
