@@ -70,6 +70,18 @@ def strip_markers(text: Column) -> Column:
     return F.regexp_replace(text, r"\b[AB]::", "")
 
 
+#: Letters that Unicode's full mapping writes as several capitals, with the single capital that some of them have.
+_LIGATED = "ß" + "".join(chr(i) for start in (0x1F80, 0x1F90, 0x1FA0) for i in range(start, start + 8)) + "\u1fb3\u1fc3\u1ff3"
+_CAPITALS = "ẞ" + "".join(chr(i + 8) for start in (0x1F80, 0x1F90, 0x1FA0) for i in range(start, start + 8)) + "\u1fbc\u1fcc\u1ffc"
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case letter by letter, so that the length stays: ß is ẞ, and a letter without a single capital stays as it is."""
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    own = lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, _LIGATED, _CAPITALS)).otherwise(F.upper(c))
+    return F.array_join(F.transform(letters, own), "")
+
+
 def alnum_only(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N} ]", "")
 

@@ -129,7 +129,7 @@ RANKED = "SELECT conv_id, turn, text AS losing, CASE WHEN turn % 4 = 1 THEN uppe
 def ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs without a ranking go."""
     c = _read(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn"))
-    rankings = c.select("k", F.when(F.col("turn") % 4 == 1, F.upper(F.left("text", F.lit(5)))).alias("winning"))
+    rankings = c.select("k", F.when(F.col("turn") % 4 == 1, T.upper_each(F.left("text", F.lit(5)))).alias("winning"))
     return P.ranked_only(c.select("k", F.col("text").alias("losing")), rankings, "k").select("k.conv_id", "k.turn", "losing", "winning")
 
 

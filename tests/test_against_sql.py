@@ -23,3 +23,10 @@ def both(spark, folder, name, **tables):
 def test_scales_below_a_tenth(spark, tmp_path):
     got, want = both(spark, tmp_path, "q_teacher_rewards", embeddings="SELECT i::BIGINT AS vec_id, [i / 3, 0.5, 0.1]::FLOAT[] AS embedding FROM range(6) AS t(i)")
     assert got == want and min(r[1] for r in got) < 0.1
+
+
+def test_capitals_keep_the_length(spark, tmp_path):
+    texts = ["äß bc", "größe", "ΐᾳﬁnis", "plain", "", "İıŉxy"]
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS conv_id, 1::BIGINT AS turn, 'user' AS role, '{t}' AS text" for i, t in enumerate(texts))
+    got, want = both(spark, tmp_path, "q_ranked_pairs", conversations=rows + " UNION ALL SELECT 9, 1, 'user', NULL")
+    assert got == want and len(got) == 5
