@@ -188,7 +188,8 @@ def _types(doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 def moving_ratio(doc: np.ndarray, ids: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
     """The mean share of different ids in all windows of a document's ids; of all of them, if they fit one window. An id counts
-    in the windows in which it stands first, which its last place before tells."""
+    in the windows in which it stands first, which its last place before tells. Shares are added in the order of the windows, as an
+    engine does that holds them in a list."""
     sizes = np.bincount(doc, minlength=n)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     order = np.lexsort((place, ids, doc))
@@ -197,8 +198,14 @@ def moving_ratio(doc: np.ndarray, ids: np.ndarray, n: int, window: int = WINDOW)
     last[order[1:][same]] = place[order[:-1][same]]
     first = np.maximum(np.maximum(last + 1, place - window + 1), 0)
     end = np.minimum(place, sizes[doc] - window)
-    total = np.bincount(doc, np.maximum(end - first + 1, 0), n)
-    return np.where(sizes <= window, ratio(_types(doc, ids, n), sizes), ratio(total / window, np.maximum(sizes - window + 1, 1)))
+    stands = end >= first
+    starts = np.cumsum(sizes) - sizes
+    at, stop = (starts[doc] + first)[stands], (starts[doc] + end)[stands] + 1
+    held = np.cumsum(np.bincount(at, minlength=len(ids) + 1) - np.bincount(stop, minlength=len(ids) + 1)) / window
+    total = np.zeros(n)
+    for d in np.flatnonzero(sizes > window).tolist():
+        total[d] = np.cumsum(held[starts[d] : starts[d] + sizes[d] - window + 1])[-1]
+    return np.where(sizes <= window, ratio(_types(doc, ids, n), sizes), ratio(total, np.maximum(sizes - window + 1, 1)))
 
 
 DIVERSE = {"lemma": "all", "content": "cw", "function": "fw", "noun": "noun", "verb": "verb", "adj": "adj", "adv": "adv", "prp": "pronoun", "argument": "argument"}

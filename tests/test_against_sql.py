@@ -1,9 +1,12 @@
 """Queries against their SQL on small tables made for it."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from loomtext.operators import indices as I
+from loomtext.plans.registry import rounded
 
 
 def both(spark, folder, name, **tables):
@@ -30,3 +33,24 @@ def test_capitals_keep_the_length(spark, tmp_path):
     rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS conv_id, 1::BIGINT AS turn, 'user' AS role, '{t}' AS text" for i, t in enumerate(texts))
     got, want = both(spark, tmp_path, "q_ranked_pairs", conversations=rows + " UNION ALL SELECT 9, 1, 'user', NULL")
     assert got == want and len(got) == 5
+
+
+def test_moving_ratio_adds_windows_in_order():
+    draw = np.random.default_rng(5)
+    docs = [draw.integers(0, 40, n) for n in (0, 3, 50, 51, 130, 700, 64)]
+    doc, ids = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs)
+    want = []
+    for d in docs:
+        shares = [len(set(d[i : i + 50])) / 50 for i in range(len(d) - 49)] if len(d) > 50 else [len(set(d)) / max(len(d), 1)]
+        total = 0.0
+        for x in shares:
+            total += x
+        want.append(total / len(shares))
+    assert I.moving_ratio(doc, ids, len(docs)).tolist() == want
+
+
+def test_rounding_follows_sql(spark):
+    values = [0.1234565, 0.8984375, 2.0000005, -0.1053125, 1.0000015, 0.0, 123.4567895, None]
+    con = duckdb.connect()
+    got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)).collect()]
+    assert got == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
