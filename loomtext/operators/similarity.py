@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.operators import indices as I
 from loomtext.operators.joins import frequent_join
 
 
@@ -74,6 +81,104 @@ def adjacent_similarity(sums: DataFrame, counts: DataFrame, doc: str, seg: str,
 
 def text_similarity(targets: DataFrame, sources: DataFrame, key: str, kind: str = "cosine", dims: int = 300) -> DataFrame:
     """(key, similarity) of whole texts to their sources, both as (key, sums, n); null where there is none."""
+    return text_similarities(targets, sources, key, {"similarity": kind}, dims)
+
+
+def text_similarities(targets: DataFrame, sources: DataFrame, key: str, kinds: dict[str, str], dims: int = 300) -> DataFrame:
+    """(key, a column for each name: kind) of whole texts to their sources, met once."""
     both = targets.select(key, F.col("sums").alias("a"), F.col("n").alias("m")).join(sources.select(key, F.col("sums").alias("b"), F.col("n").alias("k")), key)
-    value = cosine(F.col("a"), F.col("b")) if kind == "cosine" else divergence_index(F.col("a"), F.col("m"), F.col("b"), F.col("k"), dims)
-    return both.select(key, value.alias("similarity"))
+    value = {"cosine": cosine(F.col("a"), F.col("b")), "divergence": divergence_index(F.col("a"), F.col("m"), F.col("b"), F.col("k"), dims)}
+    return both.select(key, *[value[kind].alias(name) for name, kind in kinds.items()])
+
+
+# --- one pass over the texts, for lexicons that fit a task ------------------------------------------------------
+
+#: Numbers, at most, of a vector lexicon that every task may hold; larger ones meet the words in a join.
+NUMBERS = 1 << 24
+
+
+def lookup(vectors: DataFrame, dims: int) -> Broadcast | None:
+    """The words and vectors of (word, vec) as arrays for every task, or None if they are more than ``NUMBERS``."""
+    most = NUMBERS // max(dims, 1)
+    table = vectors.select("word", "vec").where("word IS NOT NULL AND vec IS NOT NULL").limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return None
+    words, column = table.column("word").combine_chunks(), table.column("vec").combine_chunks()
+    numbers = column.flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1) if len(words) else np.zeros((0, dims))
+    small = numbers.astype(np.float32)
+    return vectors.sparkSession.sparkContext.broadcast((words, (small if (small == numbers).all() else numbers).T.copy()))
+
+
+def _rows_of(flat: I.Flat, words: pa.Array) -> np.ndarray:
+    """The line of each token's lemma in the lexicon, -1 where it has none."""
+    if not len(flat.lemma):
+        return np.zeros(0, np.int64)
+    found = pc.index_in(pa.array(flat.words, pa.string()), value_set=words.cast(pa.string()))
+    return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[flat.lemma]
+
+
+def _divergences(l1: np.ndarray, n1: np.ndarray, l2: np.ndarray, n2: np.ndarray, dims: int) -> np.ndarray:
+    """``divergence_index`` over arrays of L1 norms of sums and of numbers of words; nan where it would be negative."""
+    a, b = (np.divide(n, norm, out=np.zeros(len(n)), where=norm != 0) for norm, n in ((l1, n1), (l2, n2)))
+    term = lambda x: x * np.log2(np.divide(2 * x, a + b, out=np.ones(len(x)), where=x != 0))
+    index = 1.0 - 0.5 * (dims * (dims - 1) / 2.0) * (term(a) + term(b))
+    return np.where(index >= 0, index, np.nan)
+
+
+def adjacent_family(known: Broadcast, spaces: dict[str, str], levels: tuple[str, ...], dims: int) -> Callable:
+    """A family of indices for ``indices.indices``: ``adjacent_similarity`` of each space (name: kind), level and width, one dimension at
+    a time, so that no vector of a segment is held."""
+
+    def family(flat: I.Flat, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        words, numbers = known.value
+        row = _rows_of(flat, words)
+        out = {}
+        for level in levels:
+            of_token, bounds = (flat.sent, flat.doc_sents) if level == "sent" else (flat.para, flat.docs)
+            total = int(bounds[-1])
+            doc = np.repeat(np.arange(flat.n), np.diff(bounds))
+            seg, at = of_token[row >= 0], row[row >= 0]
+            n = np.bincount(seg, minlength=total)
+            ahead = lambda x, k: np.append(x[k:], np.zeros(min(k, len(x)), x.dtype))
+            size, norm = np.zeros(total), np.zeros(total)
+            dot, size2, norm2 = ({w: np.zeros(total) for w in (1, 2)} for _ in range(3))
+            for line in numbers:
+                s = np.bincount(seg, line[at], total)
+                size, norm = size + s * s, norm + np.abs(s)
+                for w, o in ((1, ahead(s, 1)), (2, ahead(s, 1) + ahead(s, 2))):
+                    dot[w] += s * o
+                    size2[w] += o * o
+                    norm2[w] += np.abs(o)
+            for space, kind in spaces.items():
+                for w in (1, 2):
+                    m = ahead(n, 1) if w == 1 else ahead(n, 1) + ahead(n, 2)
+                    pairs = np.flatnonzero(ahead(doc + 1, w) == doc + 1)
+                    if kind == "cosine":
+                        length = np.sqrt(size[pairs]) * np.sqrt(size2[w][pairs])
+                        value = np.divide(dot[w][pairs], length, out=np.full(len(pairs), np.nan), where=length != 0)
+                    else:
+                        value = _divergences(norm[pairs], n[pairs], norm2[w][pairs], m[pairs], dims)
+                    kept = ~np.isnan(value)
+                    held = doc[pairs[kept]]
+                    out[f"{space}_{w}_all_{level}"] = I.ratio(np.bincount(held, value[kept], flat.n), np.bincount(held, minlength=flat.n))
+        return out
+
+    return family
+
+
+def text_sums(docs: DataFrame, known: Broadcast, key: str) -> DataFrame:
+    """(key, n, sums) of whole texts, those with a word in the lexicon, as ``segment_sums`` gives them, without a shuffle."""
+
+    def make(flat: I.Flat) -> list[tuple[np.ndarray, list[pa.Array]]]:
+        words, numbers = known.value
+        row = _rows_of(flat, words)
+        doc, at = flat.doc[row >= 0], row[row >= 0]
+        n = np.bincount(doc, minlength=flat.n)
+        found = np.flatnonzero(n)
+        sums = np.empty((len(found), len(numbers)))
+        for j, line in enumerate(numbers):
+            sums[:, j] = np.bincount(doc, line[at], flat.n)[found]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(numbers), pa.int32()), pa.array(sums.ravel()))
+        return [(found, [pa.array(n[found], pa.int64()), lists])]
+
+    return I._rows(docs, key, "n long, sums array<double>", make)

@@ -60,8 +60,11 @@ def synonym_indices(docs: DataFrame, synonyms: DataFrame, key: str = "doc_id") -
 
 
 def vector_indices(docs: DataFrame, vectors: DataFrame, spaces: tuple[str, ...], key: str = "doc_id", dims: int = 300, levels: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
-    """The similarity of a segment to the next one and the next two, for each level; a level's sums are made once, also for spaces
-    that share their vectors."""
+    """The similarity of a segment to the next one and the next two, for each level, for spaces that share their vectors: one pass over
+    the texts; with a lexicon too large for a task by joins, a level's sums being made once."""
+    known = V.lookup(vectors, dims)
+    if known is not None:
+        return I.indices(docs, {"vectors": V.adjacent_family(known, {s: SPACES[s] for s in spaces}, levels, dims)}, key=key)
     parts = []
     for level in levels:
         sums = V.segment_sums(I.segment_words(docs, level, key=key), vectors, [key, "seg"])
@@ -84,10 +87,14 @@ def source_keywords(docs: DataFrame, sources: DataFrame, references: DataFrame,
 def source_similarity(docs: DataFrame, sources: DataFrame, spaces: dict[str, DataFrame], key: str = "doc_id", dims: int = 300) -> DataFrame:
     """Whole texts against their sources in each space."""
     parts = [docs.select(key)]
+    shared: dict[int, tuple[DataFrame, list[str]]] = {}
     for space, vectors in spaces.items():
-        own, other = (V.segment_sums(I.segment_words(t, "doc", key=key).drop("seg"), vectors, [key]) for t in (docs, sources))
-        parts.append(V.text_similarity(own, other, key, SPACES[space], dims).withColumnRenamed("similarity", f"source_similarity_{space}"))
-    return side_by_side(parts, key)
+        shared.setdefault(id(vectors), (vectors, []))[1].append(space)
+    for vectors, names in shared.values():
+        known = V.lookup(vectors, dims)
+        own, other = (V.text_sums(t, known, key) if known is not None else V.segment_sums(I.segment_words(t, "doc", key=key).drop("seg"), vectors, [key]) for t in (docs, sources))
+        parts.append(V.text_similarities(own, other, key, {f"source_similarity_{s}": SPACES[s] for s in names}, dims))
+    return side_by_side(parts, key).select(key, *[f"source_similarity_{s}" for s in spaces])
 
 
 def process_texts(docs: DataFrame, lexicons: Lexicons = Lexicons(), families: tuple[str, ...] = PLAIN, sources: DataFrame | None = None, key: str = "doc_id") -> DataFrame:

@@ -12,6 +12,8 @@ from loomtext.operators import metrics as M
 from loomtext.operators import select as S
 from loomtext.plans import cohesion as CO
 from loomtext.plans.registry import ORACLES, query, rounded
+from loomtext.shared import fresh_dir
+from loomtext.sources import io
 
 #: Adjectives of the test lexicon: syllables of the fixture's invented prose.
 ADJECTIVES = ["er", "on", "en", "and", "the", "thon", "hand"]
@@ -425,10 +427,20 @@ VEC_SQL = "vec AS (SELECT word, embedding AS v FROM (SELECT word, row_number() O
 
 
 def _vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
-    """The word vectors of the fixture: the words of the corpus by frequency get the vectors in the order of their ids."""
-    ranked = S.row_index(counts, F.col("n").desc(), F.col("word"), name="vec_id")
+    """The word vectors of the fixture: the words of the corpus by frequency get the vectors in the order of their ids. Words are
+    counted once, and those too rare for any id are not sorted."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return ranked.join(vectors, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vec"))
+    last = vectors.agg(F.max("vec_id")).first()[0]
+    folder = fresh_dir(spark, "words")
+    counts = io.save_table(counts, f"{folder}/counts")
+    wanted, least = (-1 if last is None else last) + 1, None
+    for n, times in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):  # a row a frequency
+        if wanted <= 0:
+            break
+        wanted, least = wanted - times, n
+    known = counts.where("false") if least is None else counts.where(F.col("n") >= least)
+    ranked = S.row_index(known, F.col("n").desc(), F.col("word"), name="vec_id")
+    return io.save_table(ranked.join(vectors, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vec")), f"{folder}/vectors")
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__
 from loomtext.operators import indices as I
+from loomtext.operators import similarity as V
+from loomtext.plans import cohesion as CO
 from loomtext.plans.registry import rounded
 
 
@@ -54,3 +56,31 @@ def test_rounding_follows_sql(spark):
     con = duckdb.connect()
     got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)).collect()]
     assert got == [con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
+TEXTS = "SELECT i::BIGINT AS doc_id, CASE i % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'One.' ELSE 'The dogs run to ' || i || '. A dog sat here!' || chr(10) || 'Then dogs ' || (i % 3) || ' ran. It was the house. No.' || chr(10) || chr(10) || 'So the end' END AS text FROM range(30) AS t(i)"
+VECTORS = "SELECT i::BIGINT AS vec_id, list_transform(range(64), lambda j: sin(i * 7 + j)::FLOAT) AS embedding FROM range(12) AS t(i)"
+
+
+def test_similarity_in_one_pass_needs_no_shuffle(spark, tmp_path):
+    for name in ("q_vector_similarity", "q_vector_similarity_paragraphs", "q_source_similarity"):
+        got, want = both(spark, tmp_path, name, documents=TEXTS, embeddings=VECTORS)
+        assert got == want and len({r[1:] for r in got}) > 1
+    vectors = spark.createDataFrame([("dog", [1.0, 0.5]), ("the", [0.25, 1.0])], "word string, vec array<double>")
+    docs = spark.createDataFrame([(1, "The dogs. The dog the.")], "doc_id long, text string")
+    found = CO.vector_indices(docs, vectors, ("lsa",), dims=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_lexicons_meet_words_in_a_join(spark, monkeypatch):
+    vectors = spark.createDataFrame([("dog", [1.0, 0.5]), ("the", [0.25, 1.0]), ("run", [-0.5, 0.125])], "word string, vec array<double>")
+    docs = spark.createDataFrame([(1, "The dogs run. The dog.\nA cat. The runs the"), (2, None), (3, "dog"), (4, "x. y. z")], "doc_id long, text string")
+    sources = docs.selectExpr("5 - doc_id AS doc_id", "text")
+
+    def made() -> list:
+        parts = [CO.vector_indices(docs, vectors, ("lsa", "lda"), dims=2), CO.source_similarity(docs, sources, {"lsa": vectors, "lda": vectors}, dims=2)]
+        return [sorted(tuple(r) for r in rounded(p).collect()) for p in parts]
+
+    small = made()
+    monkeypatch.setattr(V, "NUMBERS", 4)
+    assert V.lookup(vectors, 2) is None and made() == small
