@@ -2,8 +2,8 @@
 
 1. toxicity: rows that the clause grammar scores at one half or more go.
 2. simhash: of each group of near copies, linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the
-   document with the least doc_id stays. Several fingerprints (bands of min-hashes) retrieve, the shingles decide: at 0.8 one
-   64-bit SimHash differs in ten bits, out of an index' reach (``near_copies.py``).
+   document with the least doc_id stays. SimHash and its index retrieve, and bands of min-hashes what lies out of
+   its reach (at 0.8 about ten of 64 bits differ); the shingles decide (``near_copies.py``).
 3. suffix_dedup: bytes in repeats of 100 bytes and more go where they also start earlier; a document of which nothing
    is left goes.
 4. mixing: sources are taken towards their target weights; a document may come twice or in part.

@@ -1,8 +1,9 @@
-"""Near copies by several fingerprints: bands of min-hashes retrieve, the exact similarity of shingle sets decides.
+"""Near copies by several fingerprints: SimHash and bands of min-hashes retrieve, the exact similarity of shingle sets decides.
 
 A document is its set of five-word shingles (lower-cased bytes, words as in ``simhash``); a text of fewer words is
-one shingle. Two documents are linked if the Jaccard similarity of their sets is 0.8 or more. One 64-bit SimHash
-cannot tell that: at 0.8 the fingerprints differ in about ten bits. So each set gets ``BANDS`` fingerprints of
+one shingle. Two documents are linked if the Jaccard similarity of their sets is 0.8 or more. The SimHash fingerprints of the
+same shingles go through the Gray-order index (``simhash.py``); what its links join is a bucket. They
+reach only four bits, and at 0.8 fingerprints differ in about ten. So each set also gets ``BANDS`` fingerprints of
 ``ROWS`` min-hashes; two sets of similarity s meet in one of them with the chance 1 - (1 - s ** ROWS) ** BANDS, which
 at 0.8 is above 0.9999. Of equal sets the document with the least key stands for all.
 
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.components import components
-from loomtext.llm.runtime import KEY, ROW, carried, cut, keyed, released
+from loomtext.llm.runtime import KEY, ROW, carried, cut, hot_join, keyed, released
+from loomtext.llm.simhash import fingerprint, linked
 from loomtext.llm.units import Spans, batch_bytes, mix, ranges, salts, word_units, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Bits in which the SimHash fingerprints of a link of the index differ at most.
+DISTANCE = 4
 ROOM, CROWD = 1 << 19, 1 << 11
 STRETCH = 1 << 16
 #: Bytes of texts, at most, that are hashed at once (one longer text is hashed alone).
@@ -89,7 +93,7 @@ def band_prints(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketches(shingle: int) -> Callable:
-    """(key, text) -> (key, shingles, two hashes of the set, fingerprints)"""
+    """(key, text) -> (key, shingles, two hashes of the set, SimHash, fingerprints)"""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +105,8 @@ def _sketches(shingle: int) -> Callable:
             for i, own in zip(full, prints, strict=True):
                 bands[i] = own
             one, two = (pa.array([int(mix(s ^ np.uint64(k)).sum(dtype=np.uint64)) for s in sets], pa.uint64()).view(pa.int64()) for k in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), one, two, pa.array(bands, pa.list_(pa.int64()))], names=[KEY, "size", "s1", "s2", "bands"])
+            fp = pa.array([fingerprint(x.as_py() or b"", shingle) for x in batch.column(1).cast(pa.large_binary())], pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), one, two, fp, pa.array(bands, pa.list_(pa.int64()))], names=[KEY, "size", "s1", "s2", "fp", "bands"])
 
     return rows
 
@@ -178,12 +183,21 @@ def _edges(shingle: int, similarity: float) -> Callable:
     return rows
 
 
+def simhash_buckets(several: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(key, size, bucket) of the documents (key, size, fp) whose fingerprints the index links to others; a bucket is a component."""
+    alike = several.groupBy("fp").agg(F.count(KEY).alias("n"))
+    roots = linked(alike.select("fp"), distance).select(F.col("node").alias("fp"), "root")
+    met = cut(alike.join(roots, "fp", "left").where("n > 1 OR root IS NOT NULL").select("fp", F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash")).alias("bucket"), "n"))
+    return hot_join(several, met, "fp", "n", several.count()).select(KEY, "size", "bucket")
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, room: int = ROOM, crowd: int = CROWD) -> DataFrame:
     """The document with the least doc_id of each component that links reach, all columns."""
     source, _ = keyed(carried(docs))
-    sketched = cut(source.select(KEY, "text").mapInArrow(released(_sketches(shingle)), f"{KEY} long not null, size long, s1 long, s2 long, bands array<long>"))
+    sketched = cut(source.select(KEY, "text").mapInArrow(released(_sketches(shingle)), f"{KEY} long not null, size long, s1 long, s2 long, fp long, bands array<long>"))
     distinct = cut(sketched.groupBy("s1", "s2").agg(F.min(KEY).alias(KEY)).select(KEY))
-    routed = sketched.join(distinct, KEY, "left_semi").select(KEY, "size", F.explode("bands").alias("bucket"))
+    own = sketched.join(distinct, KEY, "left_semi").where("size > 0")
+    routed = own.select(KEY, "size", F.explode("bands").alias("bucket")).unionByName(simhash_buckets(own.select(KEY, "size", "fp")))
     buckets = routed.groupBy("bucket").agg(F.count(KEY).alias("n"), F.sum("size").alias("weight"), *[F.bit_xor(F.xxhash64(KEY, F.lit(k))).alias(f"m{k}") for k in (1, 2)])
     slices = F.greatest(F.ceil(F.col("weight") / room), F.ceil(F.col("n") / crowd)).cast("int")
     several = buckets.where("n > 1").groupBy("n", "weight", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", slices.alias("slices"))
