@@ -127,11 +127,12 @@ def _given(table: DataFrame | None, name: str) -> DataFrame:
     return table
 
 
-def run_folder(spark: SparkSession, indir: str, outdir: str | None = None, lexicons: Lexicons = Lexicons(), families: tuple[str, ...] = PLAIN, source: str | None = None, tagged: bool = False, counts: bool = False) -> DataFrame:
+def run_folder(spark: SparkSession, indir: str, outdir: str | None = None, lexicons: Lexicons = Lexicons(), families: tuple[str, ...] = PLAIN, source: str | None = None, tagged: bool = False, counts: bool = False, spread: int | None = None) -> DataFrame:
     """Every text file of a folder -> a CSV of indices by filename under ``outdir``, read back; on demand the tagged tokens and
-    the basic counts beside it. ``source`` is a file to which all texts are compared."""
+    the basic counts beside it. ``source`` is a file to which all texts are compared. Files in ``spread`` sub-folders are
+    listed by the tasks, those of a plain folder by the driver."""
     out = outdir or fresh_dir(spark, "indices")
-    docs = io.read_folder(spark, indir)
+    docs = io.read_folder(spark, indir) if spread is None else io.read_spread(spark, indir, spread)
     sources = None
     if source is not None:
         text = io.read_folder(spark, source).select(F.col("text").alias("t"))

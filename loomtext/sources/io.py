@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql.types import StructType
 
 from loomtext.operators.select import row_index
 
+#: Bytes of files that a task gives out at once.
+BATCH_BYTES = 1 << 22
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, line): lines in order within each file; blank lines and rulers go. The line number is an order within
@@ -39,16 +43,46 @@ def write_text_by_key(df: DataFrame, key: str, text: str, path: str) -> None:
     df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
-def write_files(df: DataFrame, name: str, text: str, path: str) -> int:
-    """One file a row, under the row's name in a folder that the cluster shares; a repeated attempt writes the same file again. Returns
-    the number of files."""
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+
+
+def read_spread(spark: SparkSession, path: str, spread: int) -> DataFrame:
+    """(filename, text) of the files that ``write_files`` spread over sub-folders. Each task lists and reads its own sub-folder, so the
+    driver holds no list of files."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = _file_system(path)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                names, texts, held = [], [], 0
+                for info in fs.get_file_info(pafs.FileSelector(f"{folder}/{part}", allow_not_found=True)):
+                    if info.type != pafs.FileType.File or info.base_name[0] in "._":
+                        continue
+                    with fs.open_input_stream(info.path) as file:
+                        texts.append(file.read().decode(errors="replace"))
+                    names.append(info.base_name)
+                    held += info.size
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["filename", "text"])
+                        names, texts, held = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["filename", "text"])
+
+    return spark.range(0, spread, 1, spread).mapInArrow(rows, "filename string, text string")
+
+
+def write_files(df: DataFrame, name: str, text: str, path: str, spread: int | None = None) -> int:
+    """One file a row, under the row's name in a folder that the cluster shares, or in one of ``spread`` sub-folders of it by a hash of
+    the name; a repeated attempt writes the same file again. Returns the number of files."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
-        fs.create_dir(folder, recursive=True)
+        fs, folder = _file_system(path)
+        for part in [""] if spread is None else [f"/{i}" for i in range(spread)]:
+            fs.create_dir(f"{folder}{part}", recursive=True)
         for batch in batches:
             for own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with fs.open_output_stream(f"{folder}/{own}") as file:
+                where = folder if spread is None else f"{folder}/{zlib.crc32(own.encode()) % spread}"
+                with fs.open_output_stream(f"{where}/{own}") as file:
                     file.write((body or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
 

@@ -9,6 +9,7 @@ from loomtext.operators import indices as I
 from loomtext.operators import similarity as V
 from loomtext.plans import cohesion as CO
 from loomtext.plans.registry import rounded
+from loomtext.sources import io
 
 
 def both(spark, folder, name, **tables):
@@ -84,3 +85,12 @@ def test_large_lexicons_meet_words_in_a_join(spark, monkeypatch):
     small = made()
     monkeypatch.setattr(V, "NUMBERS", 4)
     assert V.lookup(vectors, 2) is None and made() == small
+
+
+def test_spread_files_are_listed_by_tasks(spark, tmp_path):
+    rows = [(f"{i}.txt", f"text {i}\nä" if i % 5 else None) for i in range(60)]
+    folder = f"{tmp_path}/texts"
+    assert io.write_files(spark.createDataFrame(rows, "name string, text string"), "name", "text", folder, 7) == 60
+    found = io.read_spread(spark, folder, 7)
+    assert sorted(map(tuple, found.collect())) == sorted((n, t or "") for n, t in rows)
+    assert "Scan text" not in found._jdf.queryExecution().executedPlan().toString()
