@@ -19,27 +19,32 @@ from pyspark.sql import DataFrame, SparkSession
 from loomtext.llm.mixing import mixed_documents
 from loomtext.llm.near_copies import drop_near_copies
 from loomtext.llm.packing import pack_documents
-from loomtext.llm.runtime import drop_dir, fresh_dir
+from loomtext.llm.runtime import bounded_batches, drop_dir, fresh_dir
 from loomtext.llm.suffix_dedup import deduped_documents
 from loomtext.llm.toxicity import drop_toxic, learn
 
 
+@bounded_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@bounded_batches
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
+@bounded_batches
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduped_documents(docs)
 
 
+@bounded_batches
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+@bounded_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
