@@ -446,10 +446,10 @@ _TOKEN = pa.struct([(n, pa.string()) for n in ("raw", "lemma", "tag", "pos", "de
 _NESTED = pa.list_(pa.list_(pa.list_(_TOKEN)))
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``PORTION`` characters each, or one document."""
+def _portions(batch: pa.RecordBatch, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` characters each, or one document."""
     column = batch.column(1)
-    share = max(1, int(len(batch) * PORTION / max(column.nbytes, 1)))
+    share = max(1, int(len(batch) * size / max(column.nbytes, 1)))
     for start in range(0, len(batch), share):
         yield batch.slice(start, share)
 

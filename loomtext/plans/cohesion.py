@@ -16,6 +16,7 @@ from loomtext.operators import indices as I
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import similarity as V
+from loomtext.operators.synonyms import synonym_overlaps
 from loomtext.shared import fresh_dir
 from loomtext.sources import io
 
@@ -51,12 +52,7 @@ def segments(docs: DataFrame, level: str, key: str = "doc_id") -> DataFrame:
 
 def synonym_indices(docs: DataFrame, synonyms: DataFrame, key: str = "doc_id") -> DataFrame:
     """The four synonym indices: sentences and paragraphs, nouns and verbs."""
-    parts = []
-    for level in SEGMENTS:
-        for c, tags in SYNONYM_TAGS.items():
-            found = L.synonym_overlap(I.segment_words(docs, level, tags, key), synonyms, segments(docs, level, key), key)
-            parts.append(found.withColumnRenamed("syn_overlap", f"syn_overlap_{level}_{c}"))
-    return side_by_side(parts, key)
+    return synonym_overlaps(docs, synonyms, SYNONYM_TAGS, key)
 
 
 def vector_indices(docs: DataFrame, vectors: DataFrame, spaces: tuple[str, ...], key: str = "doc_id", dims: int = 300, levels: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
