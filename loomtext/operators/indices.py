@@ -19,6 +19,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -73,6 +74,26 @@ class Flat:
     def sizes(self) -> np.ndarray:
         return np.diff(self.doc_tokens)
 
+    @cached_property
+    def tag_codes(self) -> tuple[np.ndarray, dict[str, int]]:
+        """A number for each token's tag, and the numbers by tag."""
+        letters = np.ascontiguousarray(self.tag).view(np.uint32).reshape(len(self.tag), -1) if len(self.tag) else np.zeros((0, 1), np.uint32)
+        if letters.shape[1] <= 4 and letters.max(initial=0) < 256:
+            codes = (letters.astype(np.int64) << (8 * np.arange(letters.shape[1]))).sum(axis=1)
+            first = np.unique(codes, return_index=True)
+            return codes, dict(zip(self.tag[first[1]].tolist(), first[0].tolist(), strict=True))
+        found, codes = np.unique(self.tag, return_inverse=True)
+        return codes, {tag: i for i, tag in enumerate(found.tolist())}
+
+    def tagged(self, tags: tuple[str, ...]) -> np.ndarray:
+        """Which tokens have one of the tags."""
+        codes, known = self.tag_codes
+        keep = np.zeros(len(codes), bool)
+        for tag in tags:
+            if tag in known:
+                keep |= codes == known[tag]
+        return keep
+
     def each(self, keep: np.ndarray) -> np.ndarray:
         """How many marked tokens each document has."""
         return np.bincount(self.doc[keep], minlength=self.n)
@@ -483,10 +504,26 @@ def _rows(docs: DataFrame, key: str, fields: str, make: Callable[[Flat], list[tu
 
 def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct combinations of keys, in order, and how often each stands."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) if len(order) else order
-    return [k[new] for k in keys], np.diff(np.append(new, len(order)))
+    if not len(keys[0]):
+        return [k[:0] for k in keys], np.zeros(0, np.int64)
+    code, size, steps = np.asarray(keys[0], np.int64), int(keys[0].max()) + 1, []
+    for key in keys[1:]:  # one number for all keys; where it would be too long, what there is so far is numbered anew
+        width = int(key.max()) + 1
+        if size * width >= 1 << 62:
+            table, code = np.unique(code, return_inverse=True)
+            steps.append((0, table))
+            size = len(table)
+        code, size = code * width + key, size * width
+        steps.append((width, None))
+    code, counts = np.unique(code, return_counts=True)
+    found = []
+    for width, table in reversed(steps):
+        if table is None:
+            code, own = np.divmod(code, width)
+            found.append(own)
+        else:
+            code = table[code]
+    return [code, *reversed(found)], counts
 
 
 def segment_words(docs: DataFrame, level: str = "sent", tags: tuple[str, ...] | None = None, key: str = "doc_id") -> DataFrame:
@@ -505,28 +542,35 @@ def segment_words(docs: DataFrame, level: str = "sent", tags: tuple[str, ...] |
     return _rows(docs, key, "seg long, word string, k long", make)
 
 
-def items(docs: DataFrame, families: tuple[str, ...] = ITEM_FAMILIES, within: str = "sent", key: str = "doc_id") -> DataFrame:
-    """(key, family, item, k): lemmas and masked n-grams of each document with their occurrences; n-grams lie within a sentence
-    or, with ``doc``, only within the document."""
+def grams_of(flat: Flat, family: str, within: str) -> list[np.ndarray]:
+    """The document and the words of each occurrence of a family's items; a masked word is the word ``x``, whether the texts have it
+    or not."""
+    mask, _, size = family.rpartition("_")
+    tags = UNIGRAMS[family] if family in UNIGRAMS else MASKED[mask]
+    keep = np.ones(len(flat.raw), bool) if tags is None else flat.tagged(tags)
+    if family in UNIGRAMS:
+        return [flat.doc[keep], flat.lemma[keep]]
+    n, unit = SIZES[size], flat.sent if within == "sent" else flat.doc
+    ids = np.where(keep, flat.lemma, flat.number.get("x", len(flat.words)))
+    start = np.arange(max(len(ids) - n + 1, 0))
+    start = start[unit[start] == unit[start + n - 1]]
+    return [flat.doc[start], *[ids[start + i] for i in range(n)]]
+
+
+def item_texts(flat: Flat, grams: list[np.ndarray]) -> pa.Array:
+    words = pa.array([*flat.words, "x"], pa.string())
+    each = [words.take(pa.array(g, pa.int64())) for g in grams]
+    return pc.binary_join_element_wise(*each, " ") if len(each) > 1 else each[0]
+
+
+def items(docs: DataFrame, families: tuple[str, ...] = ITEM_FAMILIES, within: str = "sent", key: str = "doc_id", least: int = 1) -> DataFrame:
+    """(key, family, item, k): lemmas and masked n-grams of each document with their occurrences, ``least`` at least; n-grams lie
+    within a sentence or, with ``doc``, only within the document."""
 
     def of(flat: Flat, family: str) -> tuple[np.ndarray, list[pa.Array]]:
-        mask, _, size = family.rpartition("_")
-        tags = UNIGRAMS[family] if family in UNIGRAMS else MASKED[mask]
-        keep = np.ones(len(flat.raw), bool) if tags is None else np.isin(flat.tag, tags)
-        if family in UNIGRAMS:
-            (doc, word), k = _distinct(flat.doc[keep], flat.lemma[keep])
-            found = pa.array(flat.words, pa.string()).take(pa.array(word))
-        else:
-            n, unit = SIZES[size], flat.sent if within == "sent" else flat.doc
-            words = np.append(flat.words, "x").astype(object)
-            ids = np.where(keep, flat.lemma, len(flat.words))
-            start = np.arange(max(len(ids) - n + 1, 0))
-            start = start[unit[start] == unit[start + n - 1]]
-            (doc, *grams), k = _distinct(flat.doc[start], *[ids[start + i] for i in range(n)])
-            joined = words[grams[0]] if len(doc) else np.zeros(0, object)
-            for g in grams[1:]:
-                joined = joined + " " + words[g]
-            found = pa.array(joined.tolist(), pa.string())
-        return doc, [pa.array([family] * len(doc), pa.string()), found, pa.array(k, pa.int64())]
+        (doc, *grams), k = _distinct(*grams_of(flat, family, within))
+        if least > 1:
+            doc, k, grams = doc[k >= least], k[k >= least], [g[k >= least] for g in grams]
+        return doc, [pa.array([family] * len(doc), pa.string()), item_texts(flat, grams), pa.array(k, pa.int64())]
 
     return _rows(docs, key, "family string, item string, k long", lambda flat: [of(flat, f) for f in families])

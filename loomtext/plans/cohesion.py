@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import annotate as A
 from loomtext.operators import indices as I
-from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import similarity as V
+from loomtext.operators.keywords import keyword_shares
 from loomtext.operators.synonyms import synonym_overlaps
 from loomtext.shared import fresh_dir
 from loomtext.sources import io
@@ -74,10 +74,7 @@ def vector_indices(docs: DataFrame, vectors: DataFrame, spaces: tuple[str, ...],
 
 def source_keywords(docs: DataFrame, sources: DataFrame, references: DataFrame, key: str = "doc_id", share: float = 0.1) -> DataFrame:
     """The 23 keyword shares of texts whose sources are (key, text): of a text's items those that are keywords of its source."""
-    keywords = L.keyness(I.items(sources, key=key), references, share, key=(key, "family"))
-    shares = L.keyword_share(I.items(docs, within="doc", key=key), keywords, key=(key, "family"))
-    wide = shares.groupBy(key).pivot("family", list(I.ITEM_FAMILIES)).agg(F.first("share"))
-    return docs.select(key).join(wide, key, "left").select(key, *[F.coalesce(f, F.lit(0.0)).alias(f"{f}_keywords_percentage") for f in I.ITEM_FAMILIES])
+    return keyword_shares(docs, sources, references, key, share)
 
 
 def source_similarity(docs: DataFrame, sources: DataFrame, spaces: dict[str, DataFrame], key: str = "doc_id", dims: int = 300) -> DataFrame:

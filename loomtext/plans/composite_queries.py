@@ -35,7 +35,7 @@ def _gated(parts: list[str], names: list[str]) -> str:
 def process_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families with and without lexicons in one call; the next document is a document's source."""
     docs, vectors = X.texts(spark, sf_dir), X.corpus_vectors(spark, sf_dir)
-    lexicons = CO.Lexicons(X._synonyms(I.segment_words(docs, "doc")), vectors, vectors, None, X._family_reference(I.items(docs)), tuple(X.ADJECTIVES), 64)
+    lexicons = CO.Lexicons(X._synonyms(I.segment_words(docs, "doc")), vectors, vectors, None, X._family_reference(docs), tuple(X.ADJECTIVES), 64)
     found = CO.process_texts(docs, lexicons, ("givenness", "synonyms", "lsa", "lda", "source_keywords", "source_similarity"), X.next_texts(docs))
     rough = [*VECTORS, "source_similarity_lsa", "source_similarity_lda"]
     return found.select(*[F.round(c, 4 if c in rough else 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])

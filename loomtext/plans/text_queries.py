@@ -396,9 +396,9 @@ def keyword_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.keyword_share(words, own))
 
 
-def _family_reference(items: DataFrame) -> DataFrame:
-    """A frequency for two of three items, by their letters."""
-    known = items.select("family", "item").distinct().where((F.length("item") + F.ascii("item")) % 3 > 0)
+def _family_reference(docs: DataFrame) -> DataFrame:
+    """A frequency for two of three items, by their letters; of the items that stand twice in some document, as no other is looked up."""
+    known = M.I.items(docs, least=2).where((F.length("item") + F.ascii("item")) % 3 > 0)
     return known.select("family", F.lower("item").alias("item"), (F.length("item") * 40.0 + F.ascii("item")).alias("per_million")).distinct()
 
 
@@ -416,7 +416,7 @@ def source_keyword_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 23 keyword shares of each document, its source being the next one: of the document's items those that are keywords
     of the source."""
     docs = texts(spark, sf_dir)
-    return rounded(CO.source_keywords(docs, next_texts(docs), _family_reference(M.I.items(docs))))
+    return rounded(CO.source_keywords(docs, next_texts(docs), _family_reference(docs)))
 
 
 def next_texts(docs: DataFrame) -> DataFrame:
