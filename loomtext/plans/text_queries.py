@@ -318,8 +318,7 @@ def masked_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tokens(f"SELECT family, item, sum(k)::BIGINT AS k, count(*)::BIGINT AS n_docs FROM ({_items_sql('sent', M.I.NGRAMS)}) GROUP BY family, item"))
 def masked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 n-gram families, added up over the corpus."""
-    found = M.I.items(texts(spark, sf_dir), M.I.NGRAMS)
-    return found.groupBy("family", "item").agg(F.sum("k").alias("k"), F.count("doc_id").alias("n_docs"))
+    return M.I.corpus_items(texts(spark, sf_dir))
 
 
 @query(with_tokens("SELECT doc_id, para::BIGINT AS para, sent::BIGINT AS sent, place::BIGINT AS place, raw, lemma, tag, pos, dep FROM (SELECT *, sent - min(sent) OVER (PARTITION BY doc_id, para) AS s FROM toks)").replace("sent::BIGINT", "s::BIGINT"))
