@@ -13,6 +13,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -20,6 +21,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -177,7 +179,7 @@ def masks(flat: Flat, adjectives: list[str] | None = None) -> dict[str, np.ndarr
     known = set(adjectives or [])
     content = np.array([w in known or w.endswith("ly") and w[:-2] in known for w in flat.words], bool)
     content = content[flat.lemma] if len(flat.words) else np.zeros(0, bool)
-    noun, verb, adj, adv, prp = (np.isin(flat.tag, tags) for tags in (NOUN_TAGS, VERB_TAGS, ADJECTIVE_TAGS, ADVERB_TAGS, PRONOUN_TAGS))
+    noun, verb, adj, adv, prp = (flat.tagged(tags) for tags in (NOUN_TAGS, VERB_TAGS, ADJECTIVE_TAGS, ADVERB_TAGS, PRONOUN_TAGS))
     return {
         "all": np.ones(len(flat.raw), bool),
         "cw": noun | adj | (verb & ~flat.aux) | (adv & content),
@@ -442,29 +444,67 @@ COUNTS = ("nwords", "nsents", "nparas", "ntypes")
 
 def indices(docs: DataFrame, families: dict[str, Family], adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """(key, the indices of the families) for each row of ``docs``, annotated (``doc``) or not (``text``)."""
-    nested = "doc" in docs.columns
-    source = docs.select(key, F.col("doc") if nested else paragraphs(F.lower("text")).alias("p"))
-    flat_of = flat_of_nested if nested else flat_of_paragraphs
+    source, field, pieces = pieces_of(docs, key)
 
-    def of(column: pa.Array) -> dict[str, np.ndarray]:
-        flat = flat_of(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    def of(flat: Flat) -> dict[str, np.ndarray]:
         own = masks(flat, adjectives)
         return {name: values for family in families.values() for name, values in family(flat, own).items()}
 
-    names = list(of(pa.array([], _NESTED if nested else pa.list_(pa.string()))))
+    names = list(of(flat_of_paragraphs(pa.array([], pa.list_(pa.string())))))
     fields = [StructField(n, LongType() if n in COUNTS else DoubleType()) for n in names]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch):
-                found = of(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(found[n], pa.int64() if n in COUNTS else pa.float64()) for n in names]], names=[key, *names])
+            for keys, flat in pieces(batch):
+                found = of(flat)
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(found[n], pa.int64() if n in COUNTS else pa.float64()) for n in names]], names=[key, *names])
+
+    return source.mapInArrow(rows, StructType([field, *fields]))
+
+
+def pieces_of(docs: DataFrame, key: str) -> tuple[DataFrame, StructField, Callable]:
+    """The columns that are read of ``docs``, which are held (``flat``), annotated (``doc``) or neither (``text``); the field of a document's key;
+    and how a batch of them becomes the keys and arrays of portions, of about so many characters unless they are held."""
+    if "flat" in docs.columns:
+
+        def held(batch: pa.RecordBatch, size: int = PORTION) -> Iterator[tuple[pa.Array, Flat]]:
+            for i in range(len(batch)):
+                yield batch.column(0)[i].values, unpacked(batch.column(1)[i].as_py())
+
+        return docs.select(key, "flat"), StructField(key, docs.schema[key].dataType.elementType), held
+    nested = "doc" in docs.columns
+    flat_of = flat_of_nested if nested else flat_of_paragraphs
+
+    def pieces(batch: pa.RecordBatch, size: int = PORTION) -> Iterator[tuple[pa.Array, Flat]]:
+        for part in _portions(batch, size):
+            yield part.column(0), flat_of(part.column(1))
+
+    return docs.select(key, F.col("doc") if nested else paragraphs(F.lower("text")).alias("p")), docs.schema[key], pieces
+
 
-    return source.mapInArrow(rows, StructType([source.schema[key], *fields]))
+def keys_of(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(F.explode(key).alias(key) if "flat" in docs.columns else key)
 
 
-_TOKEN = pa.struct([(n, pa.string()) for n in ("raw", "lemma", "tag", "pos", "dep")])
-_NESTED = pa.list_(pa.list_(pa.list_(_TOKEN)))
+def packed(flat: Flat) -> bytes:
+    """The arrays as a Zstandard frame. What follows from the word is kept once a word; numbers are kept byte by byte."""
+
+    def by_word(values: np.ndarray) -> tuple[bool, np.ndarray]:
+        table = np.zeros(len(flat.words), values.dtype)
+        table[flat.raw] = values
+        same = bool((table[flat.raw] == values).all())
+        return same, table if same else values
+
+    planes = np.ascontiguousarray(flat.raw.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    bounds = [np.diff(b).astype(np.int32) for b in (flat.sents, flat.paras, flat.docs)]
+    return zstandard.compress(pickle.dumps((flat.words, planes, [by_word(x) for x in (flat.lemma, flat.tag, flat.aux)], flat.dep.astype(np.int8), bounds)), 3)
+
+
+def unpacked(frame: bytes) -> Flat:
+    words, planes, columns, dep, bounds = pickle.loads(zstandard.decompress(frame))
+    raw = np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+    lemma, tag, aux = (values[raw] if same else values for same, values in columns)
+    return Flat(words, raw, lemma, tag, aux, dep, *[np.append(0, np.cumsum(b, dtype=np.int64)) for b in bounds])
 
 
 def _portions(batch: pa.RecordBatch, size: int = PORTION) -> Iterator[pa.RecordBatch]:
@@ -487,19 +527,17 @@ ITEM_FAMILIES = (*UNIGRAMS, *NGRAMS)
 
 def _rows(docs: DataFrame, key: str, fields: str, make: Callable[[Flat], list[tuple[np.ndarray, list[pa.Array]]]]) -> DataFrame:
     """Rows made of each document's arrays: (document of each row, its columns) for every part."""
-    nested = "doc" in docs.columns
-    source = docs.select(key, F.col("doc") if nested else paragraphs(F.lower("text")).alias("p"))
-    flat_of = flat_of_nested if nested else flat_of_paragraphs
+    source, field, pieces = pieces_of(docs, key)
     names = [f.split()[0] for f in fields.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch):
-                for doc, columns in make(flat_of(part.column(1))):
+            for keys, flat in pieces(batch):
+                for doc, columns in make(flat):
                     if len(doc):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *columns], names=[key, *names])
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), *columns], names=[key, *names])
 
-    return source.mapInArrow(rows, StructType([source.schema[key], *StructType.fromDDL(fields).fields]))
+    return source.mapInArrow(rows, StructType([field, *StructType.fromDDL(fields).fields]))
 
 
 def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -542,6 +580,20 @@ def segment_words(docs: DataFrame, level: str = "sent", tags: tuple[str, ...] |
     return _rows(docs, key, "seg long, word string, k long", make)
 
 
+def corpus_words(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(word, n): the lemmas of all documents with their occurrences."""
+    source, _, pieces = pieces_of(docs, key)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, flat in pieces(batch):
+                n = np.bincount(flat.lemma, minlength=len(flat.words))
+                found = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.words, pa.string()).take(pa.array(found)), pa.array(n[found], pa.int64())], names=["word", "n"])
+
+    return source.mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def grams_of(flat: Flat, family: str, within: str) -> list[np.ndarray]:
     """The document and the words of each occurrence of a family's items; a masked word is the word ``x``, whether the texts have it
     or not."""

@@ -100,10 +100,10 @@ def masked_ngrams(docs: DataFrame, family: str, key: str = "doc_id") -> DataFram
     return I.items(docs, (family,), key=key).select(key, F.col("item").alias("ngram"), F.col("k").alias("count"))
 
 
-def all_families(docs: DataFrame, families: tuple[str, ...] = ("diversity", "overlap", "connectives", "givenness"), adjectives: list[str] | None = None, key: str = "doc_id") -> DataFrame:
-    """One wide row a document with the families asked for, in one pass. A text of fewer than two words gets a status and no
-    indices."""
-    found = I.indices(docs, {"counts": I.FAMILIES["counts"], **{f: I.FAMILIES[f] for f in families}}, adjectives, key)
+def all_families(docs: DataFrame, families: tuple[str, ...] = ("diversity", "overlap", "connectives", "givenness"), adjectives: list[str] | None = None, key: str = "doc_id", more: dict[str, I.Family] | None = None) -> DataFrame:
+    """One wide row a document with the families asked for, and ``more`` that are given, in one pass. A text of fewer than two words gets a
+    status and no indices."""
+    found = I.indices(docs, {"counts": I.FAMILIES["counts"], **{f: I.FAMILIES[f] for f in families}, **(more or {})}, adjectives, key)
     long = F.col("nwords") > 1
     names = [c for c in found.columns if c not in (key, *I.COUNTS)]
     return found.select(key, F.when(long, "ok").otherwise("text too short").alias("status"), *[F.when(long, F.col(c)).alias(c) for c in names])

@@ -1,7 +1,7 @@
 """All indices of a table or a folder of texts, by options: the entry point that joins readers, families, lexicons, sources and sinks.
 
-Families that need no lexicon come from one pass over the texts; each of the others is a join of words counted by
-segment with its lexicon, made only if asked for.
+Families that need no lexicon come from one pass over the texts; each of the others looks up words in its lexicon, and is made only
+if asked for. Texts that several families read are annotated once (``held.py``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from loomtext.operators import annotate as A
 from loomtext.operators import indices as I
 from loomtext.operators import metrics as M
 from loomtext.operators import similarity as V
+from loomtext.operators import synonyms as Y
+from loomtext.operators.held import hold
 from loomtext.operators.keywords import keyword_shares
-from loomtext.operators.synonyms import synonym_overlaps
 from loomtext.shared import fresh_dir
 from loomtext.sources import io
 
@@ -52,7 +53,7 @@ def segments(docs: DataFrame, level: str, key: str = "doc_id") -> DataFrame:
 
 def synonym_indices(docs: DataFrame, synonyms: DataFrame, key: str = "doc_id") -> DataFrame:
     """The four synonym indices: sentences and paragraphs, nouns and verbs."""
-    return synonym_overlaps(docs, synonyms, SYNONYM_TAGS, key)
+    return Y.synonym_overlaps(docs, synonyms, SYNONYM_TAGS, key)
 
 
 def vector_indices(docs: DataFrame, vectors: DataFrame, spaces: tuple[str, ...], key: str = "doc_id", dims: int = 300, levels: tuple[str, ...] = tuple(SEGMENTS)) -> DataFrame:
@@ -79,7 +80,7 @@ def source_keywords(docs: DataFrame, sources: DataFrame, references: DataFrame,
 
 def source_similarity(docs: DataFrame, sources: DataFrame, spaces: dict[str, DataFrame], key: str = "doc_id", dims: int = 300) -> DataFrame:
     """Whole texts against their sources in each space."""
-    parts = [docs.select(key)]
+    parts = [I.keys_of(docs, key)]
     shared: dict[int, tuple[DataFrame, list[str]]] = {}
     for space, vectors in spaces.items():
         shared.setdefault(id(vectors), (vectors, []))[1].append(space)
@@ -91,20 +92,33 @@ def source_similarity(docs: DataFrame, sources: DataFrame, spaces: dict[str, Dat
 
 
 def process_texts(docs: DataFrame, lexicons: Lexicons = Lexicons(), families: tuple[str, ...] = PLAIN, sources: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, text) -> one row a text: status and the indices of the families. A text of fewer than two words has a status and
+    """(key, text) or held texts -> one row a text: status and the indices of the families. A text of fewer than two words has a status and
     no indices, a null text likewise."""
     if unknown := set(families) - set(FAMILIES):
         raise ValueError(f"families are {', '.join(FAMILIES)}; got {', '.join(sorted(unknown))}")
-    docs = docs.select(key, "text")
-    parts = [M.all_families(docs, tuple(f for f in PLAIN if f in families), list(lexicons.adjectives), key)]
+    if "flat" not in docs.columns:
+        docs = docs.select(key, "text")
+        docs = hold(docs, key) if set(families) - set(PLAIN) else docs
+    more, parts = {}, []
     if "synonyms" in families:
-        parts.append(synonym_indices(docs, _given(lexicons.synonyms, "synonyms"), key))
+        synonyms = _given(lexicons.synonyms, "synonyms")
+        known = Y.lookup(synonyms)
+        if known is not None:
+            more["synonyms"] = Y.overlap_family(known, SYNONYM_TAGS)
+        else:
+            parts.append(synonym_indices(docs, synonyms, key))
     shared: dict[int, tuple[DataFrame, list[str]]] = {}
     for s in SPACES:
         if s in families:
             vectors = _given(getattr(lexicons, s), s)
             shared.setdefault(id(vectors), (vectors, []))[1].append(s)
-    parts += [vector_indices(docs, vectors, tuple(own), key, lexicons.dims) for vectors, own in shared.values()]
+    for vectors, own in shared.values():
+        known = V.lookup(vectors, lexicons.dims)
+        if known is not None:
+            more[",".join(own)] = V.adjacent_family(known, {s: SPACES[s] for s in own}, tuple(SEGMENTS), lexicons.dims)
+        else:
+            parts.append(vector_indices(docs, vectors, tuple(own), key, lexicons.dims))
+    parts.insert(0, M.all_families(docs, tuple(f for f in PLAIN if f in families), list(lexicons.adjectives), key, more))
     if "source_keywords" in families:
         parts.append(source_keywords(docs, _given(sources, "sources"), _given(lexicons.references, "references"), key))
     if "source_similarity" in families:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomtext.operators import indices as I
 from loomtext.operators import metrics as M
 from loomtext.operators import prefs as P
+from loomtext.operators.held import hold
 from loomtext.plans import cohesion as CO
 from loomtext.plans import pipelines as R
 from loomtext.plans import table_queries as Q
@@ -34,8 +35,10 @@ def _gated(parts: list[str], names: list[str]) -> str:
 @query(_gated(["q_givenness", "q_synonym_overlap", "q_vector_similarity", "q_vector_similarity_paragraphs", "q_source_keyword_shares", "q_source_similarity"], [*X.FAMILY_NAMES["givenness"], *SYNONYMS, *VECTORS, *SHARES, "source_similarity_lsa", "source_similarity_lda"]))
 def process_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families with and without lexicons in one call; the next document is a document's source."""
-    docs, vectors = X.texts(spark, sf_dir), X.corpus_vectors(spark, sf_dir)
-    lexicons = CO.Lexicons(X._synonyms(I.segment_words(docs, "doc")), vectors, vectors, None, X._family_reference(docs), tuple(X.ADJECTIVES), 64)
+    docs = hold(X.texts(spark, sf_dir))
+    words = io.save_table(I.corpus_words(docs), f"{fresh_dir(spark, 'words')}/counts")
+    vectors = X._vectors(spark, sf_dir, words)
+    lexicons = CO.Lexicons(X._entries(words), vectors, vectors, None, X._family_reference(docs), tuple(X.ADJECTIVES), 64)
     found = CO.process_texts(docs, lexicons, ("givenness", "synonyms", "lsa", "lda", "source_keywords", "source_similarity"), X.next_texts(docs))
     rough = [*VECTORS, "source_similarity_lsa", "source_similarity_lda"]
     return found.select(*[F.round(c, 4 if c in rough else 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])

@@ -350,7 +350,11 @@ SYN_CLASSES = {"noun": M.I.NOUN_TAGS, "verb": M.I.VERB_TAGS}
 
 
 def _synonyms(words: DataFrame) -> DataFrame:
-    return words.select("word").distinct().where(F.length("word").between(4, 8)).select("word", F.array(F.reverse("word"), F.left("word", F.lit(3)), F.col("word")).alias("syns"))
+    return _entries(words.select("word").distinct())
+
+
+def _entries(words: DataFrame) -> DataFrame:
+    return words.where(F.length("word").between(4, 8)).select("word", F.array(F.reverse("word"), F.left("word", F.lit(3)), F.col("word")).alias("syns"))
 
 
 def _synonym_sql(level: str, c: str) -> str:
@@ -419,7 +423,7 @@ def source_keyword_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_texts(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.col("doc_id") - 1)
+    return docs.withColumn("doc_id", F.transform("doc_id", lambda x: x - 1) if "flat" in docs.columns else F.col("doc_id") - 1)
 
 
 VEC_SQL = "vec AS (SELECT word, embedding AS v FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS vec_id FROM (SELECT lemma AS word, count(*) AS n FROM toks GROUP BY lemma)) JOIN embeddings USING (vec_id))"
