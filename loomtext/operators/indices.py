@@ -626,38 +626,3 @@ def items(docs: DataFrame, families: tuple[str, ...] = ITEM_FAMILIES, within: st
         return doc, [pa.array([family] * len(doc), pa.string()), item_texts(flat, grams), pa.array(k, pa.int64())]
 
     return _rows(docs, key, "family string, item string, k long", lambda flat: [of(flat, f) for f in families])
-
-
-def corpus_items(docs: DataFrame, families: tuple[str, ...] = NGRAMS, key: str = "doc_id", portion: int = 1 << 22) -> DataFrame:
-    """(family, item, k, n_docs): the items of all documents, n-grams within sentences, with their occurrences and the rows that hold them.
-
-    Items are added up over portions of the documents, as numbers, before any becomes a string."""
-    nested = "doc" in docs.columns
-    source = docs.select(key, F.col("doc") if nested else paragraphs(F.lower("text")).alias("p"))
-    flat_of = flat_of_nested if nested else flat_of_paragraphs
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _portions(batch, portion):
-                flat = flat_of(part.column(1))
-                for family in families:
-                    doc, *grams = grams_of(flat, family, "sent")
-                    (*each, _), k = _distinct(*grams, doc)
-                    if not len(k):
-                        continue
-                    first = np.flatnonzero(np.append(True, np.any([g[1:] != g[:-1] for g in each], axis=0)))
-                    total, held = np.add.reduceat(k, first), np.diff(np.append(first, len(k)))
-                    texts = item_texts(flat, [g[first] for g in each])
-                    for at in range(0, len(first), ROWS):
-                        some = slice(at, at + ROWS)
-                        n = len(total[some])
-                        yield pa.RecordBatch.from_arrays([pa.array([families.index(family)] * n, pa.int32()), texts.slice(at, n), pa.array(total[some], pa.int64()), pa.array(held[some], pa.int64())], names=["family", "item", "k", "n_docs"])
-
-    # few items stand in several portions of a task, so they are not added up once more before the shuffle, which would spill
-    found = source.mapInArrow(rows, "family int, item string, k long, n_docs long").repartition("family", "item")
-    added = found.groupBy("family", "item").agg(F.sum("k").alias("k"), F.sum("n_docs").alias("n_docs"))
-    return added.select(F.get(F.array(*map(F.lit, families)), "family").alias("family"), "item", "k", "n_docs")
-
-
-#: Rows of items that go out at once.
-ROWS = 1 << 16

@@ -10,6 +10,7 @@ from loomtext.operators import annotate as A
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import select as S
+from loomtext.operators.corpus_items import corpus_items
 from loomtext.plans import cohesion as CO
 from loomtext.plans.registry import ORACLES, query, rounded
 from loomtext.shared import fresh_dir
@@ -318,7 +319,7 @@ def masked_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tokens(f"SELECT family, item, sum(k)::BIGINT AS k, count(*)::BIGINT AS n_docs FROM ({_items_sql('sent', M.I.NGRAMS)}) GROUP BY family, item"))
 def masked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 n-gram families, added up over the corpus."""
-    return M.I.corpus_items(texts(spark, sf_dir))
+    return corpus_items(texts(spark, sf_dir))
 
 
 @query(with_tokens("SELECT doc_id, para::BIGINT AS para, sent::BIGINT AS sent, place::BIGINT AS place, raw, lemma, tag, pos, dep FROM (SELECT *, sent - min(sent) OVER (PARTITION BY doc_id, para) AS s FROM toks)").replace("sent::BIGINT", "s::BIGINT"))
