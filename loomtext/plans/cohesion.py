@@ -134,20 +134,30 @@ def _given(table: DataFrame | None, name: str) -> DataFrame:
     return table
 
 
-def run_folder(spark: SparkSession, indir: str, outdir: str | None = None, lexicons: Lexicons = Lexicons(), families: tuple[str, ...] = PLAIN, source: str | None = None, tagged: bool = False, counts: bool = False, spread: int | None = None) -> DataFrame:
+def run_folder(spark: SparkSession, indir: str, outdir: str | None = None, lexicons: Lexicons = Lexicons(), families: tuple[str, ...] = PLAIN, source: str | None = None, tagged: bool = False, counts: bool = False, spread: int | None = None, groups: int = 1, compression: str | None = None, consume: bool = False) -> DataFrame:
     """Every text file of a folder -> a CSV of indices by filename under ``outdir``, read back; on demand the tagged tokens and
     the basic counts beside it. ``source`` is a file to which all texts are compared. Files in ``spread`` sub-folders are
-    listed by the tasks, those of a plain folder by the driver."""
+    listed by the tasks, those of a plain folder by the driver.
+
+    Sub-folders may be taken in ``groups``, one after the other; with ``consume`` a group's texts are removed once all is written that was asked
+    of them. ``compression`` (gzip, for instance) is that of the tagged tokens, about ten times the size of the texts without it."""
+    if spread is None and (groups > 1 or consume):
+        raise ValueError("only files in sub-folders can be taken in groups or consumed")
     out = outdir or fresh_dir(spark, "indices")
-    docs = io.read_folder(spark, indir) if spread is None else io.read_spread(spark, indir, spread)
-    sources = None
-    if source is not None:
-        text = io.read_folder(spark, source).select(F.col("text").alias("t"))
-        sources = docs.select("filename").join(F.broadcast(text), F.lit(True)).select("filename", F.col("t").alias("text"))  # one row
-    found = process_texts(docs, lexicons, families, sources, "filename").withColumnRenamed("filename", "Filename")
-    io.write_csv(found, f"{out}/results")
-    if tagged:
-        io.write_csv(A.tagged_table(A.annotate(docs), M.class_conditions(list(lexicons.adjectives)), "filename"), f"{out}/tagged")
-    if counts:
-        io.write_csv(M.basic_counts(docs, "filename"), f"{out}/counts")
+    text = io.read_folder(spark, source).select(F.col("text").alias("t")) if source is not None else None
+    for group in range(groups):
+        parts = None if spread is None else range(spread * group // groups, spread * (group + 1) // groups)
+        docs = io.read_folder(spark, indir) if parts is None else io.read_spread(spark, indir, parts)
+        sources = None
+        if text is not None:
+            sources = docs.select("filename").join(F.broadcast(text), F.lit(True)).select("filename", F.col("t").alias("text"))  # one row
+        found = process_texts(docs, lexicons, families, sources, "filename").withColumnRenamed("filename", "Filename")
+        mode = "append" if group else "overwrite"
+        io.write_csv(found, f"{out}/results", mode)
+        if tagged:
+            io.write_csv(A.tagged_table(A.annotate(docs), M.class_conditions(list(lexicons.adjectives)), "filename"), f"{out}/tagged", mode, compression)
+        if counts:
+            io.write_csv(M.basic_counts(docs, "filename"), f"{out}/counts", mode)
+        if consume:
+            io.remove_spread(spark, indir, parts)
     return io.read_csv(spark, f"{out}/results", found.schema)

@@ -20,8 +20,8 @@ from loomtext.sources import io
 
 SHARES = [f"{f}_keywords_percentage" for f in I.ITEM_FAMILIES]
 SYNONYMS = [f"syn_overlap_{level}_{c}" for level in ("sent", "para") for c in ("noun", "verb")]
-#: Sub-folders of the folder of texts.
-SPREAD = 64
+#: Sub-folders of the folder of texts, and the groups in which they are taken: texts and what is made of them lie on disk together for one group.
+SPREAD, GROUPS = 256, 8
 VECTORS = [name for level in ("sent", "para") for name, _, _ in X.VECTOR_KINDS[level]]
 
 
@@ -49,7 +49,7 @@ def run_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of text files, written first, to a CSV of indices, read back."""
     folder = fresh_dir(spark, "texts")
     io.write_files(X.texts(spark, sf_dir).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))), "name", "text", folder, SPREAD)
-    found = CO.run_folder(spark, folder, None, CO.Lexicons(adjectives=tuple(X.ADJECTIVES)), ("diversity", "givenness"), tagged=True, counts=True, spread=SPREAD)
+    found = CO.run_folder(spark, folder, None, CO.Lexicons(adjectives=tuple(X.ADJECTIVES)), ("diversity", "givenness"), tagged=True, counts=True, spread=SPREAD, groups=GROUPS, compression="gzip", consume=True)
     return rounded(found.select("Filename", "status", *X.DIVERSE, *X.MOVING, *X.FAMILY_NAMES["givenness"]))
 
 

@@ -34,8 +34,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path, compression=compression)
 
 
 def write_text_by_key(df: DataFrame, key: str, text: str, path: str) -> None:
@@ -47,9 +47,14 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
 
 
-def read_spread(spark: SparkSession, path: str, spread: int) -> DataFrame:
-    """(filename, text) of the files that ``write_files`` spread over sub-folders. Each task lists and reads its own sub-folder, so the
-    driver holds no list of files."""
+def _sub_folders(spark: SparkSession, parts: int | range) -> DataFrame:
+    parts = range(parts) if isinstance(parts, int) else parts
+    return spark.range(parts.start, parts.stop, 1, max(len(parts), 1))
+
+
+def read_spread(spark: SparkSession, path: str, parts: int | range) -> DataFrame:
+    """(filename, text) of the files that ``write_files`` spread over sub-folders, or of some of these. Each task lists and reads its own
+    sub-folder, so the driver holds no list of files."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _file_system(path)
@@ -68,7 +73,20 @@ def read_spread(spark: SparkSession, path: str, spread: int) -> DataFrame:
                         names, texts, held = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["filename", "text"])
 
-    return spark.range(0, spread, 1, spread).mapInArrow(rows, "filename string, text string")
+    return _sub_folders(spark, parts).mapInArrow(rows, "filename string, text string")
+
+
+def remove_spread(spark: SparkSession, path: str, parts: int | range) -> int:
+    """Removes the files of sub-folders that ``write_files`` made, each by a task; returns the number of sub-folders."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = _file_system(path)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                fs.delete_dir_contents(f"{folder}/{part}", missing_dir_ok=True)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return _sub_folders(spark, parts).mapInArrow(rows, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_files(df: DataFrame, name: str, text: str, path: str, spread: int | None = None) -> int:
